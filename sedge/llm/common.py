@@ -101,40 +101,63 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that part letters: all of ASCII but letters; other bytes belong to letters.
+_NO_LETTER = np.zeros(256, bool)
+_NO_LETTER[[i for i in range(128) if not chr(i).isalpha()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+class Words:
+    """The words of a run of documents: where each starts and ends (inclusive), its document, and hashes of it or its prefixes."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool, breaks: np.ndarray = _SPACE):
+        self.data = data
+        if not len(data):
+            self.starts = self.ends = self.doc = np.zeros(0, np.int64)
+            return
+        inside = ~breaks[data]
+        before = np.empty_like(inside)
+        before[0] = False
+        before[1:] = inside[:-1]
+        before[offs[:-1][offs[:-1] < len(data)]] = False
+        after = np.empty_like(inside)
+        after[-1] = False
+        after[:-1] = inside[1:]
+        after[offs[1:][offs[1:] > 0] - 1] = False
+        self.starts = np.flatnonzero(inside & ~before)
+        self.ends = np.flatnonzero(inside & ~after)
+        self.doc = np.searchsorted(offs, self.starts, "right") - 1
+        up, self.down = _powers(len(data))
+        value = (_LOWER[data] if lower else data).astype(np.uint64)
+        value += np.uint64(1)
+        value *= up[: len(data)]
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(value, out=self.total[1:])
+
+    def hashes(self, prefix: int | None = None) -> np.ndarray:
+        """64-bit hashes of the words, or of their first `prefix` bytes (of the word, if shorter)."""
+        if not len(self.starts):
+            return np.zeros(0, np.uint64)
+        ends = self.ends if prefix is None else np.minimum(self.ends, self.starts + (prefix - 1))
+        h = self.total[ends + 1]
+        h -= self.total[self.starts]
+        h *= self.down[self.starts]
+        h += (ends - self.starts).astype(np.uint64) * _G
+        return mix(h)
+
+    def points(self) -> np.ndarray:
+        """Code points of each word."""
+        if not len(self.starts):
+            return np.zeros(0, np.int64)
+        points = np.cumsum((self.data & 0xC0) != 0x80)
+        return points[self.ends] - points[self.starts] + 1
+
+
 def words(data: np.ndarray, offs: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hash, document and code points of each word ``[^\\x20\\x09-\\x0D]+``, in order."""
-    if not len(data):
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z
-    inside = ~_SPACE[data]
-    before = np.empty_like(inside)
-    before[0] = False
-    before[1:] = inside[:-1]
-    cut = offs[:-1][offs[:-1] < len(data)]
-    before[cut] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.empty_like(inside)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    last = offs[1:][offs[1:] > 0] - 1
-    after[last] = False
-    ends = np.flatnonzero(inside & ~after)
-    up, down = _powers(len(data))
-    value = (_LOWER[data] if lower else data).astype(np.uint64)
-    value += np.uint64(1)
-    value *= up[: len(data)]
-    total = np.cumsum(value)
-    h = total[ends]
-    h -= total[starts] - value[starts]
-    h *= down[starts]
-    h += (ends - starts).astype(np.uint64) * _G
-    doc = np.searchsorted(offs, starts, "right") - 1
-    points = np.cumsum((data & 0xC0) != 0x80)
-    return mix(h), doc, points[ends] - points[starts] + 1
+    w = Words(data, offs, lower)
+    return w.hashes(), w.doc, w.points()
 
 
 def segment_bounds(doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -147,21 +170,13 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow of a function of one record batch."""
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                yield fn(b)
-
-    return df.mapInArrow(run, schema)
-
-
-def ordered_sample(df: DataFrame, key, rows: int, spark_rows: int | None = None) -> DataFrame:
-    """The `rows` rows with the smallest hash of key: a sample that repeats whatever the partitions."""
-    return df.orderBy(F.xxhash64(key), key).limit(rows)
-
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """docs with an int column `label`: about `rows` labelled documents, or all if there are fewer.
 
-def on_path(path: str) -> bool:
-    return os.path.exists(path)
+    Those with the smallest hash of doc_id, the same ones on every run. Null
+    labels and ids don't count; of unequal labels of one doc_id the least holds.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+    share = min(1.0, rows / max(1, known.count()))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    return docs.drop("label").join(F.broadcast(chosen), "doc_id")  # about `rows` pairs of numbers

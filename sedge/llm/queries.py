@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedge.llm import bpe, dedup, pii, quality, shard, toxicity
+from sedge.llm import bpe, dedup, langid, packing, pii, quality, shard, toxicity
 from sedge.llm.common import table
 
 SHARDS = 24
@@ -24,6 +24,15 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.vocabulary())
 
 
+def op4_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit_on(docs))
+
+
+def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), bpe.vocabulary())
+
+
 def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.assign(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 

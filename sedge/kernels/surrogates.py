@@ -1,0 +1,88 @@
+"""Surrogate series: the same spectrum, or the same spectrum and values, and otherwise random. numpy only."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def checked(x) -> np.ndarray:
+    """A finite one-dimensional series that varies; raises otherwise."""
+    x = np.asarray(x, float)
+    if x.ndim != 1 or len(x) < 4 or not np.isfinite(x).all() or np.ptp(x) == 0:
+        raise ValueError("a finite, varying series of at least four points is needed")
+    return x
+
+
+def phase_randomised(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Random phases under the same amplitudes; mean and, of even lengths, the last frequency stay."""
+    x = checked(x)
+    f = np.fft.rfft(x)
+    turn = np.exp(2j * np.pi * rng.random(len(f)))
+    turn[0] = 1
+    if len(x) % 2 == 0:
+        turn[-1] = 1
+    return np.fft.irfft(f * turn, len(x))
+
+
+def amplitude_adjusted(x: np.ndarray, rng: np.random.Generator, iterations: int = 200) -> np.ndarray:
+    """Alternates between the spectrum and the sorted values until the ranks stay; the values are exactly those of x."""
+    x = checked(x)
+    values, amplitude = np.sort(x), np.abs(np.fft.rfft(x))
+    y, last = rng.permutation(x), None
+    for _ in range(iterations):
+        f = np.fft.rfft(y)
+        size = np.abs(f)
+        f = amplitude * np.where(size > 0, f / np.where(size > 0, size, 1), 1)
+        rank = np.argsort(np.argsort(np.fft.irfft(f, len(x)), kind="stable"), kind="stable")
+        if last is not None and (rank == last).all():
+            break
+        y, last = values[rank], rank
+    return y
+
+
+def spectral_error(x: np.ndarray, y: np.ndarray) -> float:
+    """Relative difference of the amplitudes, without the mean."""
+    a, b = np.abs(np.fft.rfft(x))[1:], np.abs(np.fft.rfft(y))[1:]
+    return float(np.linalg.norm(a - b) / np.linalg.norm(a))
+
+
+def shared_phases(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Columns turned by the same phases, so that their cross spectra stay."""
+    f = np.fft.rfft(x, axis=0)
+    turn = np.exp(2j * np.pi * rng.random(len(f)))
+    turn[0] = 1
+    if len(x) % 2 == 0:
+        turn[-1] = 1
+    return np.fft.irfft(f * turn[:, None], len(x), axis=0)
+
+
+def derangement(n: int, rng: np.random.Generator) -> np.ndarray:
+    """An order of n things with none in its place."""
+    while True:
+        p = rng.permutation(n)
+        if n < 2 or not (p == np.arange(n)).any():
+            return p
+
+
+def wet_shuffled(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The amounts of wet days among the wet days; dry days stay."""
+    y = np.array(x, float)
+    wet = y > 0
+    y[wet] = rng.permutation(y[wet])
+    return y
+
+
+def streams(seed: int, n: int) -> list[np.random.Generator]:
+    """An independent generator for each replicate."""
+    return [np.random.default_rng(s) for s in np.random.SeedSequence(seed).spawn(n)]
+
+
+def p_value(observed: float, null: np.ndarray, side: str = "greater") -> float:
+    """Inclusive resampling p value; NaN in the null counts as absent."""
+    null = np.asarray(null, float)
+    null = null[np.isfinite(null)]
+    n = len(null) + 1
+    up, down = (1 + (null >= observed).sum()) / n, (1 + (null <= observed).sum()) / n
+    if side == "absolute":
+        return float((1 + (np.abs(null) >= abs(observed)).sum()) / n)
+    return float({"greater": up, "less": down, "two_sided": min(1.0, 2 * min(up, down))}[side])

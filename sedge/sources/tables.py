@@ -37,7 +37,7 @@ def many_to_one(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFra
     """A left join that fails if a key of the right side occurs twice."""
     counted = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_k"))
     checked = right.join(counted, list(on)).withColumn("_k", F.expr("assert_true(_k = 1, 'a key of the right side occurs twice')"))
-    return left.join(checked.drop("_k") if not checked.columns else checked, list(on), "left").drop("_k")
+    return left.join(checked, list(on), "left").drop("_k")
 
 
 def write_once(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:

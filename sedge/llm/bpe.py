@@ -24,20 +24,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-#: Chunks of text that a worker remembers before it starts anew; bounds memory, never changes results.
-CACHE_CHUNKS = 250_000
+#: Words that a worker remembers before the older half goes; bounds memory, never changes results.
+CACHE_WORDS = 400_000
 #: Marks the end of a word; no UTF-8 text holds this byte.
 END = b"\xff"
 
 
-#: The pre-split of the tokenizer's own pattern, and the chunks for which Python's tables surely agree with it.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-FAST_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SURE = re.compile("[!-~\xa1-\u012f\u0131-\u017f]+")
+#: The tokenizer's own pattern, and the same split for texts up to U+017F without odd white space, where Python's tables surely agree with it.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \t\n\r\x0b\x0c{_LETTERS}{_NUMBERS}]+")
+SURE = re.compile("[\t\n\x0b\x0c\r -~\xa1-\u012f\u0131-\u017f]*")
 
 
 def byte_letters() -> dict[str, int]:
@@ -158,11 +158,11 @@ class Automaton:
 class Codec:
     """Whole texts to ids and back, with the automaton of a tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, compiled: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.automaton = Automaton(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
+        self.automaton = Automaton(model["vocab"], model["merges"], model["end_of_word_suffix"] or "") if compiled else None
         self.split_by = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*model["vocab"].values(), *self.special.values()]) + 1
@@ -170,48 +170,51 @@ class Codec:
         for k, i in (*model["vocab"].items(), *self.special.items()):
             self.labels[i] = k.encode()
         self.letters = {ord(c): b for c, b in byte_letters().items()}
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-        self.own_split = spec["normalizer"]["normalizers"][-1]["type"] == "Lowercase" and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == FAST_PATTERN
-
-    def _plain(self, text: str) -> bytes:
-        """Ids of a text without special tokens: normalised and pre-split, then the automaton."""
-        if self.own_split and SURE.fullmatch(text):
-            split = [w.encode() for w in SPLIT.findall(text.lower())]
-        else:
-            letters, own = self.letters, self.split_by
-            split = [bytes(letters[ord(c)] for c in w) for w, _ in own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(text))]
-        known, out = self.words, []
-        for w in split:
-            ids = known.get(w)
-            if ids is None:
-                if len(known) > CACHE_CHUNKS:
-                    known.clear()
-                ids = known[w] = np.array(self.automaton.encode(w), "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
-
-    def chunk(self, chunk: bytes) -> bytes:
-        """Little-endian 32-bit ids of what stands between white space."""
-        text, out = chunk.decode(), b""
-        while "<|" in text and (found := min(((i, k) for k in self.special if (i := text.find(k)) >= 0), default=None)):
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.own_split = spec["normalizer"]["normalizers"][-1]["type"] == "Lowercase" and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == PATTERN
+
+    def new_words(self, words: list[str]) -> None:
+        """Encodes words not seen before, each by the automaton."""
+        encode = self.automaton.encode
+        for w in words:
+            self.words[w] = np.array(encode(w.encode()), "<u4").tobytes()
+
+    def join(self, words: list[str]) -> bytes:
+        """Ids of pre-split words, remembered."""
+        known = self.words
+        new = set(words).difference(known)
+        if new:
+            if len(known) + len(new) > CACHE_WORDS:
+                self.older, self.words = known, {}
+                known, new = self.words, set(words)
+            older = self.older
+            again = new.intersection(older)
+            for w in again:
+                known[w] = older[w]
+            self.new_words(sorted(new - again))
+        return b"".join(map(known.__getitem__, words))
+
+    def other(self, text: str) -> bytes:
+        """Ids of a text with characters or special tokens that the fast split leaves out: the library normalises and splits."""
+        out, own, letters = b"", self.split_by, self.letters
+        while True:
+            found = min(((i, k) for k in self.special if (i := text.find(k)) >= 0), default=None)
+            plain = text if found is None else text[: found[0]]
+            split = own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(plain))
+            out += self.join([bytes(letters[ord(c)] for c in w).decode() for w, _ in split])
+            if found is None:
+                return out
             i, k = found
-            out += self._plain(text[:i]) + self.special[k].to_bytes(4, "little")
+            out += self.special[k].to_bytes(4, "little")
             text = text[i + len(k) :]
-        return out + self._plain(text)
 
     def ids(self, text: bytes) -> bytes:
         """Ids of a whole UTF-8 text as little-endian 32-bit integers."""
-        parts = text.split()
-        chunks = self.chunks
-        new = set(parts).difference(chunks)
-        if new:
-            if len(chunks) + len(new) > CACHE_CHUNKS:
-                chunks.clear()
-                new = set(parts)
-            for c in new:
-                chunks[c] = self.chunk(c)
-        return b"".join(map(chunks.__getitem__, parts))
+        t = text.decode()
+        if self.own_split and "<|" not in t and SURE.fullmatch(t):
+            return self.join(SPLIT.findall(t.lower()))
+        return self.other(t)
 
     def decode(self, ids: bytes) -> bytes:
         """The labels of the path, joined as a tokenizer without a decoder joins them."""
@@ -219,27 +222,18 @@ class Codec:
 
 
 class Library(Codec):
-    """The same ids, with the tokenizers library for chunks not seen before."""
+    """The same ids, with the tokenizers library's BPE in place of the automaton for words not seen before."""
 
     def __init__(self, path: str):
-        self.split_by = Tokenizer.from_file(path)
-        self.split_by.no_truncation()
-        self.split_by.no_padding()
-        self.chunks = {}
-
-    def ids(self, text: bytes) -> bytes:
-        parts = text.split()
-        chunks = self.chunks
-        new = set(parts).difference(chunks)
-        if new:
-            if len(chunks) + len(new) > CACHE_CHUNKS:
-                chunks.clear()
-                new = set(parts)
-            listed = list(new)
-            found = self.split_by.encode_batch([c.decode() for c in listed], add_special_tokens=False)
-            for c, e in zip(listed, found, strict=True):
-                chunks[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(chunks.__getitem__, parts))
+        super().__init__(path, compiled=False)
+        self.shown = {b: c for c, b in byte_letters().items()}
+
+    def new_words(self, words: list[str]) -> None:
+        """Encodes words not seen before, each by the library's model on its byte letters."""
+        tokenize, shown = self.split_by.model.tokenize, self.shown
+        for w in words:
+            letters = w if w.isascii() else w.encode().decode("latin-1").translate(shown)
+            self.words[w] = np.array([t.id for t in tokenize(letters)], "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import _NO_LETTER, Words, labelled, mix, text_batches
+from sedge.llm.common import _NO_LETTER, Words, keep, labelled, mix, text_batches
 
 #: Labelled rows that the model is fitted on, at most; longer texts than FIT_BYTES are left out of the fit only.
-FIT_ROWS, FIT_BYTES = 6_000, 65_536
+FIT_ROWS, FIT_BYTES = 10_000, 65_536
 #: Features that the model has, at most, and documents that a feature must be in.
 FEATURES, MIN_DOCS = 4_096, 4
 PREFIXES = (4, 5, 6, 7, 8)
@@ -72,6 +72,10 @@ class Ordinal:
             at, i = self.find(keys)
             once = np.unique(docs[at] * len(self.features) + i)
             score[a:b] = np.bincount(once // max(1, len(self.features)), self.weights[once % max(1, len(self.features))], b - a) if len(once) else 0
+        return self.expected(score)
+
+    def expected(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected grade and P(grade >= 1) of sums of weights."""
         p = 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
         return p.sum(1), p[:, 0]
 
@@ -103,39 +107,43 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_fea
     return w, np.concatenate([first, first + np.cumsum(np.exp(gaps))])
 
 
-def fit(batch: pa.RecordBatch, label: np.ndarray) -> Ordinal:
-    """The model of labelled texts: label 0 is grade 0; a positive 0/1 label is graded by its share of evidence, larger labels are grades."""
-    n = batch.num_rows
-    found = [(keys, docs + a) for a, _, keys, docs in doc_features(batch)] if n else []
-    keys = np.concatenate([k for k, _ in found]) if found else np.zeros(0, np.uint64)
-    docs = np.concatenate([d for _, d in found]) if found else np.zeros(0, np.int64)
-    positive = label > 0
-    n_pos, n_neg = positive.sum(), n - positive.sum()
-    if n_pos < MIN_DOCS or n_neg < MIN_DOCS:
-        return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.array([20.0]))
-    names, column = np.unique(keys, return_inverse=True)
-    pair = np.unique(column * n + docs)
-    column, row = pair // n, pair % n
-    pos = np.bincount(column, positive[row], len(names))
-    neg = np.bincount(column, ~positive[row], len(names))
-    # the lower end of the log odds ratio: what is seen often, and seldom without the label
-    odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
-    low = odds - 3.5 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5) + 1 / (n_pos - pos + 0.5) + 1 / (n_neg - neg + 0.5))
-    good = np.flatnonzero((pos >= MIN_DOCS) & (low > 0.5))
-    good = np.sort(good[np.lexsort((names[good], -low[good]))][:FEATURES])
-    number = np.full(len(names), -1)
-    number[good] = np.arange(len(good))
-    use = number[column] >= 0
-    row, column = row[use], number[column[use]]
+def feature_counts(batch: pa.RecordBatch, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the rows, and how many rows with and without the label have each."""
+    names, pos, neg = [], [], []
+    for a, b, keys, docs in doc_features(batch):
+        f, column = np.unique(keys, return_inverse=True)
+        pair = np.unique(column * (b - a) + docs)
+        toxic = label[a + pair % (b - a)] > 0
+        names.append(f)
+        pos.append(np.bincount(pair // (b - a), toxic, len(f)))
+        neg.append(np.bincount(pair // (b - a), ~toxic, len(f)))
+    f, column = np.unique(np.concatenate(names), return_inverse=True)
+    return f, np.bincount(column, np.concatenate(pos), len(f)).astype(np.int64), np.bincount(column, np.concatenate(neg), len(f)).astype(np.int64)
+
+
+def evidence(pos: F.Column, neg: F.Column, n_pos: int, n_neg: int) -> F.Column:
+    """The lower end of the log odds ratio: high for what is seen often, and seldom without the label."""
+    p, n = pos + 0.5, neg + 0.5
+    q, m = F.lit(n_pos + 0.5) - pos, F.lit(n_neg + 0.5) - neg
+    return F.log(p / q) - F.log(n / m) - 3.5 * F.sqrt(1 / p + 1 / n + 1 / q + 1 / m)
+
+
+def finish(features: np.ndarray, row: np.ndarray, column: np.ndarray, words: np.ndarray, label: np.ndarray) -> Ordinal:
+    """The model from the rows' features (sorted pairs of row and column), their counts of words and beginnings, and their labels.
+
+    Label 0 is grade 0; a positive 0/1 label is graded by its share of
+    evidence, larger labels are grades themselves.
+    """
+    n, positive = len(label), label > 0
     grades = label.astype(np.int64).copy()
     if label.max() <= 1:
-        evidence = np.bincount(row, minlength=n) / np.maximum(np.bincount(docs, minlength=n), 1)
-        edges = np.quantile(evidence[positive], GRADE_QUANTILES)
-        grades[positive] = 1 + np.searchsorted(edges, evidence[positive], "left")
+        share = np.bincount(row, minlength=n) / np.maximum(words, 1)
+        edges = np.quantile(share[positive], GRADE_QUANTILES)
+        grades[positive] = 1 + np.searchsorted(edges, share[positive], "left")
     grades = np.unique(grades, return_inverse=True)[1]
-    w, theta = fit_ordinal(row, column, grades, len(good))
-    model = Ordinal(names[good], w, theta)
-    model.cut = cut(model.severity(batch)[0], positive)
+    w, theta = fit_ordinal(row, column, grades, len(features))
+    model = Ordinal(features, w, theta)
+    model.cut = cut(model.expected(np.bincount(row, w[column], n))[0], positive)
     return model
 
 
@@ -149,13 +157,46 @@ def cut(severity: np.ndarray, positive: np.ndarray) -> float:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal:
-    """The model of about `rows` labelled documents of at most FIT_BYTES each; those texts come to the driver."""
-    known = labelled(docs, labels, "toxic", rows)
-    sample = known.where(F.octet_length("text") <= FIT_BYTES).select("doc_id", "text", "label").toArrow().combine_chunks()
-    if not sample.num_rows:
-        return fit(pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["text"]), np.zeros(0, np.int64))
-    sample = sample.sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
-    return fit(sample.select(["text"]).to_batches()[0], sample["label"].to_numpy())
+    """The model of about `rows` labelled documents of at most FIT_BYTES each.
+
+    Features are counted and chosen by the executors; the driver gets at most
+    FEATURES of them, and for each labelled row which of them it has.
+    """
+    nothing = Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.array([20.0]))
+    sample = labelled(docs, labels, "toxic", rows).where(F.octet_length(F.coalesce("text", F.lit(""))) <= FIT_BYTES)
+    sample = keep(sample.select("doc_id", "text", "label"), "toxic-sample")
+    n_pos, n_neg = sample.agg(F.count(F.when(F.col("label") > 0, 1)), F.count(F.when(F.col("label") <= 0, 1))).first()
+    if n_pos < MIN_DOCS or n_neg < MIN_DOCS:
+        return nothing
+
+    def count(batches):
+        for b in batches:
+            names, pos, neg = feature_counts(b, b.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(pos), pa.array(neg)], ["feature", "pos", "neg"])
+
+    counts = sample.mapInArrow(count, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= MIN_DOCS)
+    chosen = counts.withColumn("low", evidence(F.col("pos"), F.col("neg"), n_pos, n_neg)).where("low > 0.5").orderBy(F.desc("low"), "feature").limit(FEATURES)
+    features = np.sort(chosen.select("feature").toArrow()["feature"].to_numpy().view(np.uint64))
+    if not len(features):
+        return nothing
+    table = sample.sparkSession.sparkContext.broadcast(features)
+
+    def find(batches):
+        model = Ordinal(table.value, np.zeros(len(table.value)), np.zeros(1))
+        for b in batches:
+            words, hits = np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)]
+            for first, last, keys, at in doc_features(b):
+                words[first:last] = np.bincount(at, minlength=last - first)
+                place, i = model.find(keys)
+                for pair in np.unique(at[place] * len(features) + i).tolist():
+                    hits[first + pair // len(features)].append(pair % len(features))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(words), pa.array(hits, pa.list_(pa.int32()))], ["doc_id", "label", "words", "hits"])
+
+    id_type = sample.schema["doc_id"].dataType.simpleString()
+    found = sample.mapInArrow(find, f"doc_id {id_type}, label int, words long, hits array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("words", "ascending")])
+    size = np.array([len(h) for h in found["hits"].to_pylist()])
+    column = np.array([i for h in found["hits"].to_pylist() for i in h], np.int64)
+    return finish(features, np.repeat(np.arange(len(size)), size), column, found["words"].to_numpy(), found["label"].to_numpy())
 
 
 def grade(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:

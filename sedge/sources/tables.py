@@ -36,8 +36,8 @@ def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
 def many_to_one(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """A left join that fails if a key of the right side occurs twice."""
     counted = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_k"))
-    checked = right.join(counted, list(on)).withColumn("_k", F.expr("assert_true(_k = 1, 'a key of the right side occurs twice')"))
-    return left.join(checked, list(on), "left").drop("_k")
+    checked = right.join(counted, list(on)).where("assert_true(_k = 1, 'a key of the right side occurs twice') is null").drop("_k")
+    return left.join(checked, list(on), "left")
 
 
 def write_once(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:

@@ -232,7 +232,7 @@ class Library(Codec):
         """Encodes words not seen before, each by the library's model on its byte letters."""
         tokenize, shown = self.split_by.model.tokenize, self.shown
         for w in words:
-            letters = w if w.isascii() else w.encode().decode("latin-1").translate(shown)
+            letters = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(shown)
             self.words[w] = np.array([t.id for t in tokenize(letters)], "<u4").tobytes()
 
 

@@ -189,7 +189,7 @@ class Codec:
                 self.older, self.words = known, {}
                 known, new = self.words, set(words)
             older = self.older
-            again = new.intersection(older)
+            again = {w for w in new if w in older}
             for w in again:
                 known[w] = older[w]
             self.new_words(sorted(new - again))

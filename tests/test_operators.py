@@ -123,3 +123,17 @@ def test_everything_else_stands_without_llm():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert not re.search(r"sedge\.llm|from \.llm|import llm", f.read_text()), f
+
+
+def test_points_and_cells_of_polygons(spark):
+    from sedge.operators import polygons as G
+
+    ring = "array<struct<x: double, y: double>>"
+    box = lambda x, y, s: [{"x": x, "y": y}, {"x": x + s, "y": y}, {"x": x + s, "y": y + s}, {"x": x, "y": y + s}]
+    polys = spark.createDataFrame([("p", box(0.1, 0.1, 1.0)), ("q", box(0.6, 0.6, 1.0))], f"polygon string, ring {ring}")
+    pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.8, 0.8), (3, 3.0, 3.0), (4, 1.5, 1.5)], "k int, lat double, lon double")
+    got = sorted((r["k"], r["polygon"]) for r in G.points_in_polygons(pts, polys, "lat", "lon").collect())
+    assert got == [(1, "p"), (2, "p"), (2, "q"), (4, "q")]
+    areas = {r["polygon"]: r["a"] for r in G.polygon_cell_areas(polys, 0.25).groupBy("polygon").agg(F.sum("area").alias("a")).collect()}
+    assert areas == pytest.approx({"p": 1.0, "q": 1.0})
+    assert G.covered_cell_areas(polys, 0.25).agg(F.sum("area")).first()[0] == pytest.approx(1.75)

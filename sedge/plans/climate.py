@@ -13,7 +13,11 @@ from sedge.plans.base import CELL, DAILY, DENSE, daily, dense, r6, smooth_sql
 from sedge.plans.registry import query
 from sedge.sources.tables import read
 
-BASE = F.year("day") <= 1998
+
+
+def _base():
+    return F.year("day") <= 1998
+
 _NORMAL = f"""WITH {DENSE}, base AS (SELECT cell, dayofyear(day) AS doy, avg(x) AS v FROM dense WHERE year(day) <= 1998 GROUP BY 1, 2),
     {smooth_sql('base', 'clim', 15, 'v')},
     anom AS (SELECT d.cell, d.day, dayofyear(d.day) AS doy, d.x, d.x - c.v AS anomaly FROM dense d LEFT JOIN clim c ON c.cell = d.cell AND c.doy = dayofyear(d.day)),
@@ -25,14 +29,14 @@ _NORMAL = f"""WITH {DENSE}, base AS (SELECT cell, dayofyear(day) AS doy, avg(x)
 @query("seasonal_anomaly", _NORMAL + " SELECT cell, day, round(anomaly, 6) + 0.0 AS anomaly, round(z, 6) + 0.0 AS z FROM z")
 def seasonal_anomaly(spark, sf_dir):
     """Daily anomaly and standardised anomaly against a smoothed day-of-year normal."""
-    out = S.mean_square_anomaly(dense(spark, sf_dir), CELL, BASE, "x", 15)
+    out = S.mean_square_anomaly(dense(spark, sf_dir), CELL, _base(), "x", 15)
     return out.select("cell", "day", r6("anomaly", "anomaly"), r6("z", "z"))
 
 
 @query("monthly_anomaly_summary", _NORMAL + " SELECT cell, date_trunc('month', day)::DATE AS month, count(z) AS n, round(avg(z), 6) + 0.0 AS z_mean, round(stddev_samp(z), 6) + 0.0 AS z_sd FROM z GROUP BY 1, 2")
 def monthly_anomaly_summary(spark, sf_dir):
     """Monthly summary of the standardised anomaly."""
-    out = S.mean_square_anomaly(dense(spark, sf_dir), CELL, BASE, "x", 15)
+    out = S.mean_square_anomaly(dense(spark, sf_dir), CELL, _base(), "x", 15)
     return out.groupBy("cell", calendar.month_start(F.col("day")).alias("month")).agg(F.count("z").alias("n"), r6(F.avg("z"), "z_mean"), r6(F.stddev_samp("z"), "z_sd"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["climate", "events", "relations", "statistics", "descriptors", "reports", "jobs", "geometry"]
+MODULES: list[str] = ["climate", "events", "relations", "statistics", "descriptors", "reports", "jobs", "geometry", "tables"]
 
 
 def load_all() -> None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedge.llm import bpe, dedup, embeddings, htmltext, langid, packing, pii, quality, shard, toxicity
+from sedge.llm import bpe, dedup, embeddings, htmltext, langid, oracles, packing, pii, quality, shard, toxicity
 from sedge.llm.common import table
 
 SHARDS = 24
@@ -54,4 +54,4 @@ def op10_html_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for k, v in list(globals().items()) if k.startswith("op") and callable(v)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_minmax_dedup": oracles.OP1, "op6_rendezvous_sharding": oracles.OP6, "op8_nn_descent": oracles.OP8}

@@ -26,7 +26,8 @@ def partial_spearman(rows: DataFrame, by: Sequence[str], x: str, y: str, z: str)
     for c in (x, y, z):
         r = r.withColumn(f"_r_{c}", average_rank(c, *by))
     g = r.groupBy(*by).agg(F.corr(f"_r_{x}", f"_r_{y}").alias("xy"), F.corr(f"_r_{x}", f"_r_{z}").alias("xz"), F.corr(f"_r_{y}", f"_r_{z}").alias("yz"), F.count(F.lit(1)).alias("n"))
-    return g.select(*by, F.col("xy").alias("rho"), ((F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))).alias("partial"), "n")
+    left = (1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2)  # nothing is left where the control explains all
+    return g.select(*by, F.col("xy").alias("rho"), F.when(left > 1e-12, (F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt(left)).alias("partial"), "n")
 
 
 def adjusted(rows: DataFrame, family: Sequence[str], p: str) -> DataFrame:

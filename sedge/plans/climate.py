@@ -162,12 +162,12 @@ def percent_rank_by_month(spark, sf_dir):
 
 
 @query("decaying_trail", f"""WITH RECURSIVE {DENSE}, n AS (SELECT cell, day, coalesce(x, 0) AS x, row_number() OVER (PARTITION BY cell ORDER BY day) AS i FROM dense WHERE year(day) = 1996 AND month(day) <= 3),
-    b AS (SELECT cell, day, i, greatest(x, 0.0) AS b FROM n WHERE i = 1 UNION ALL SELECT n.cell, n.day, n.i, greatest(n.x, 0.45 * b.b) FROM b JOIN n ON n.cell = b.cell AND n.i = b.i + 1) SELECT cell, day, round(b, 5) + 0.0 AS trail FROM b""")
+    b AS (SELECT cell, day, i, greatest(x, 0.0) AS b FROM n WHERE i = 1 UNION ALL SELECT n.cell, n.day, n.i, greatest(n.x, 0.45 * b.b) FROM b JOIN n ON n.cell = b.cell AND n.i = b.i + 1) SELECT cell, day, round(b + 1e-9, 5) AS trail FROM b""")
 def decaying_trail(spark, sf_dir):
     """The greatest of what is left of all values before."""
     rows = dense(spark, sf_dir).where("year(day) = 1996 and month(day) <= 3").withColumn("x", F.coalesce("x", F.lit(0.0)))
     out = S.decayed_maximum(rows, CELL, "day", "x", 0.45, "b")
-    return out.select("cell", "day", (F.round("b", 5) + F.lit(0.0)).alias("trail"))
+    return out.select("cell", "day", F.round(F.col("b") + 1e-9, 5).alias("trail"))
 
 
 @query("lag_embedding", f"WITH {DENSE}, e AS (SELECT cell, day, x AS e0, lead(x, 7) OVER w AS e1, lead(x, 14) OVER w AS e2 FROM dense WINDOW w AS (PARTITION BY cell ORDER BY day)) SELECT * FROM e WHERE e0 IS NOT NULL AND e1 IS NOT NULL AND e2 IS NOT NULL")

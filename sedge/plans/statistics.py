@@ -110,7 +110,7 @@ def average_rank_spearman(spark, sf_dir):
     return I.spearman(_supp(spark, sf_dir), ["grp"], "n", "q").select("grp", r6("rho", "rho"), "n")
 
 
-@query("partial_spearman_one_control", f"WITH {_SUPP}, r AS (SELECT grp, {_RANK.format(c='n')} AS a, {_RANK.format(c='q')} AS b, {_RANK.format(c='d')} AS c FROM s), k AS (SELECT grp, corr(a, b) AS xy, corr(a, c) AS xz, corr(b, c) AS yz, count(*) AS n FROM r GROUP BY 1) SELECT grp, round(xy, 6) + 0.0 AS rho, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) + 0.0 AS partial, n FROM k")
+@query("partial_spearman_one_control", f"WITH {_SUPP}, r AS (SELECT grp, {_RANK.format(c='n')} AS a, {_RANK.format(c='q')} AS b, {_RANK.format(c='d')} AS c FROM s), k AS (SELECT grp, corr(a, b) AS xy, corr(a, c) AS xz, corr(b, c) AS yz, count(*) AS n FROM r GROUP BY 1) SELECT grp, round(xy, 6) + 0.0 AS rho, round(CASE WHEN (1 - xz * xz) * (1 - yz * yz) > 1e-12 THEN (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) END, 6) + 0.0 AS partial, n FROM k")
 def partial_spearman_one_control(spark, sf_dir):
     """Rank correlation given a control."""
     return I.partial_spearman(_supp(spark, sf_dir), ["grp"], "n", "q", "d").select("grp", r6("rho", "rho"), r6("partial", "partial"), "n")

@@ -80,7 +80,7 @@ def smooth_year(by_doy: DataFrame, cell: Sequence[str], half: int) -> DataFrame:
     w = Window.partitionBy(*cell).orderBy("at")
     known = F.when(F.col("v").isNotNull(), F.struct("at", "v"))
     before = F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last(known, True).over(Window.partitionBy(*cell).orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0))  # runs on from the end, where a frame to the end would start anew at each row
     share = (F.col("at") - F.col("_b.at")) / (F.col("_a.at") - F.col("_b.at"))
     filled = turns.withColumn("_b", before).withColumn("_a", after).withColumn("v", F.coalesce("v", F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * share, "_b.v", "_a.v"))
     smooth = filled.withColumn("v", F.avg("v").over(w.rowsBetween(-half, half)))
@@ -106,7 +106,7 @@ def fill_short_gaps(series: DataFrame, cell: Sequence[str], order: str, x: str,
     w = Window.partitionBy(*cell).orderBy(order)
     rows = series.withColumn("_row", F.row_number().over(w))
     known = F.when(F.col(x).isNotNull(), F.struct(F.col("_row").alias("r"), F.col(x).alias("v")))
-    rows = rows.withColumn("_b", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_a", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    rows = rows.withColumn("_b", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_a", F.last(known, True).over(Window.partitionBy(*cell).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)))
     line = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * (F.col("_row") - F.col("_b.r")) / (F.col("_a.r") - F.col("_b.r"))
     short = F.col("_a.r") - F.col("_b.r") - 1 <= longest
     return rows.withColumn(name, F.coalesce(F.col(x), F.when(short, line), F.lit(otherwise))).drop("_row", "_a", "_b")

@@ -52,11 +52,12 @@ def overlap_weighted_cell_mean(spark, sf_dir):
     """Means of pixels over cells, by the area they share.
 
     A pixel knows the cells it can meet (its own and the next ones), so pixels
-    are exploded by a bounded number and joined on nothing.
+    are exploded by a bounded number and joined on nothing. All cells that a
+    pixel meets are there; the SQL twin has only the five by five at the origin.
     """
     lo = lambda c: F.floor((F.col(c) + 1e-9) / 0.6)
     hi = lambda c: F.floor((F.col(c) + 0.25 - 1e-9) / 0.6)
-    p = _grid(spark, sf_dir).withColumn("i", F.explode(F.sequence(lo("lat"), hi("lat")))).withColumn("j", F.explode(F.sequence(lo("lon"), hi("lon")))).where("i between 0 and 4 and j between 0 and 4")
+    p = _grid(spark, sf_dir).withColumn("i", F.explode(F.sequence(lo("lat"), hi("lat")))).withColumn("j", F.explode(F.sequence(lo("lon"), hi("lon"))))
     south, west = F.col("i") * 0.6, F.col("j") * 0.6
     w = P.overlap(south, south + 0.6, F.col("lat"), F.col("lat") + 0.25) * P.overlap(west, west + 0.6, F.col("lon"), F.col("lon") + 0.25) * F.cos(F.radians("lat"))
     return p.withColumn("w", w).where("w > 1e-12").groupBy("i", "j").agg((F.round(F.sum(F.col("w") * F.col("x")) / F.sum("w"), 5) + F.lit(0.0)).alias("mean")).select(r6(F.col("i") * 0.6, "south"), r6(F.col("j") * 0.6, "west"), "mean")

@@ -68,13 +68,12 @@ def stationarity_cells(spark, sf_dir):
         low, high = E.threshold_ar(x)
         return {"dickey_fuller": E.dickey_fuller(x), "level": E.level_stationarity(x), "slope_low": low[1], "slope_high": high[1]}
 
-    rows = dense(spark, sf_dir).where("year(day) between 1996 and 1998")
-    return T.per_series(rows, CELL, "day", ["x"], measure, ["dickey_fuller", "level", "slope_low", "slope_high"])
+    return T.per_series(dense(spark, sf_dir), CELL, "day", ["x"], measure, ["dickey_fuller", "level", "slope_low", "slope_high"])
 
 
 @query("wolf_kantz_cao_cells")
 def wolf_kantz_cao_cells(spark, sf_dir):
-    """Further estimators of each cell's year."""
+    """Further estimators of each cell's series."""
 
     def measure(x: np.ndarray) -> dict[str, float]:
         e1, e2 = E.cao(x, 4, 1, 7)
@@ -82,4 +81,4 @@ def wolf_kantz_cao_cells(spark, sf_dir):
         rate, steps = E.wolf(x, 3, 1, 7)
         return {"cao_dimension": float(E.cao_dimension(e1)), "cao_random": float(np.abs(1 - e2).max()), "kantz": float(np.polyfit(np.arange(4), curve[:4], 1)[0]) if used else float("nan"), "kantz_points": float(used), "wolf": rate, "wolf_steps": float(steps)}
 
-    return T.per_series(dense(spark, sf_dir).where("year(day) = 1997"), CELL, "day", ["x"], measure, ["cao_dimension", "cao_random", "kantz", "kantz_points", "wolf", "wolf_steps"])
+    return T.per_series(dense(spark, sf_dir), CELL, "day", ["x"], measure, ["cao_dimension", "cao_random", "kantz", "kantz_points", "wolf", "wolf_steps"])

@@ -17,7 +17,7 @@ from sedge.plans.registry import query
 @query("surrogate_suite_cells")
 def surrogate_suite_cells(spark, sf_dir):
     """Descriptors of each cell against amplitude-adjusted surrogates."""
-    return T.suite(dense(spark, sf_dir), CELL, "day", "x", replicates=9)
+    return T.suite(dense(spark, sf_dir), CELL, "day", "x", replicates=39)
 
 
 @query("surrogate_suite_families")
@@ -38,20 +38,20 @@ def ews_trend_test(spark, sf_dir):
     """Kendall trends of rolling variance and autocorrelation of the detrended series."""
 
     def measure(x: np.ndarray) -> dict[str, float]:
-        r = D.gaussian_detrended(x, 50)
-        w = len(r) // 4
-        parts = np.lib.stride_tricks.sliding_window_view(r, w)[::10]
+        r = D.gaussian_detrended(x, 365)
+        w = len(r) // 2
+        parts = np.lib.stride_tricks.sliding_window_view(r, w)
         a, b = parts[:, :-1] - parts[:, :-1].mean(1, keepdims=True), parts[:, 1:] - parts[:, 1:].mean(1, keepdims=True)
         ar = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
         return {"variance_trend": D.kendall(parts.var(1, ddof=1)), "ar1_trend": D.kendall(ar)}
 
-    return T.suite(dense(spark, sf_dir), CELL, "day", "x", measure, 19)
+    return T.suite(dense(spark, sf_dir), CELL, "day", "x", measure, 39, side="greater")
 
 
 @query("smap_gain_cells")
 def smap_gain_cells(spark, sf_dir):
     """Gain of locally weighted over linear forecasts."""
-    return T.per_series(dense(spark, sf_dir), CELL, "day", ["x"], lambda x: D.forecast_gain(x, 3, 1, 7, every=8), ["theta", "linear", "nonlinear", "gain"])
+    return T.per_series(dense(spark, sf_dir), CELL, "day", ["x"], lambda x: D.forecast_gain(x, 3, 1, 7, every=1), ["theta", "linear", "nonlinear", "gain"])
 
 
 @query("ccm_pairs")
@@ -66,24 +66,28 @@ def ccm_pairs(spark, sf_dir):
     return T.per_series(pairs, ["pair"], "day", ["xa", "xb"], skill, ["a_from_b_100", "a_from_b", "b_from_a_100", "b_from_a"])
 
 
-@query("gate_controls")
-def gate_controls(spark, sf_dir):
-    """Control series against surrogates, rejection shares by kind."""
-    tasks = spark.createDataFrame([(k, r) for k in K.KINDS for r in range(2)], "kind string, rep int").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(399)))).withColumn("x", F.lit(0.0))
+def gate(spark, lengths=(2048, 8766), noise=(0.0, 0.2), repetitions=10, replicates=39):
+    """Rejection shares of control series by kind, length and noise; a series is a task."""
+    import pandas as pd
 
-    def measure(x: np.ndarray) -> dict[str, float]:
-        return {"error": D.prediction_error(x, 3, 1, 5)}
+    tasks = [(kind, n, level, rep) for kind in K.KINDS for n in lengths for level in noise for rep in range(repetitions)]
 
-    import pandas as pd
+    def run(batches):
+        for pdf in batches:
+            for task in pdf["id"]:
+                kind, n, level, rep = tasks[task]
+                x = K.noisy(K.control(kind, n, T.seed_of(7, kind, n, rep)), level, np.random.default_rng(T.seed_of(9, kind, n, level, rep)))
+                rows = T.surrogate_rows(x, lambda y: {"error": D.prediction_error(y, 3, 1, 5)}, replicates, T.seed_of(8, kind, n, level, rep), side="less")
+                yield pd.DataFrame([{"kind": kind, "length": n, "noise": level, "rep": rep, "pvalue": r["pvalue"], "z": r["z"]} for r in rows])
+
+    rows = spark.range(0, len(tasks), 1, len(tasks)).mapInPandas(run, "kind string, length int, noise double, rep int, pvalue double, z double")
+    return rows.groupBy("kind", "length", "noise").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("pvalue") <= 0.05 + 1e-9, 1.0).otherwise(0.0)).alias("rate"), F.percentile("z", 0.5).alias("z"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind, rep = pdf["kind"].iloc[0], int(pdf["rep"].iloc[0])
-        x = K.control(kind, len(pdf), T.seed_of(7, kind, rep))
-        rows = T.surrogate_rows(x, measure, 19, T.seed_of(8, kind, rep))
-        return pd.DataFrame([{"kind": kind, "rep": rep, "pvalue": r["pvalue"], "z": r["z"]} for r in rows])
 
-    rows = tasks.groupBy("kind", "rep").applyInPandas(run, "kind string, rep int, pvalue double, z double")
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("pvalue") <= 0.1 + 1e-9, 1.0).otherwise(0.0)).alias("rate"), F.percentile("z", 0.5).alias("z"))
+@query("gate_controls")
+def gate_controls(spark, sf_dir):
+    """Control series against surrogates, rejection shares by kind, length and noise."""
+    return gate(spark)
 
 
 @query("block_bootstrap_association")

@@ -31,3 +31,46 @@ def test_suites_have_all_days(spark, late, name):
 @pytest.mark.parametrize("name", ["surrogate_suite_families", "smap_gain_cells", "ccm_pairs", "stationarity_cells", "wolf_kantz_cao_cells"])
 def test_other_years_have_results(spark, late, name):
     assert len(registry.QUERIES[name](spark, late).toPandas()) > 0
+
+
+def test_reference_counts(spark, late):
+    import inspect
+
+    from sedge.plans import jobs
+
+    assert {k: p.default for k, p in inspect.signature(jobs.gate).parameters.items() if k != "spark"} == {"lengths": (2048, 8766), "noise": (0.0, 0.2), "repetitions": 10, "replicates": 39}
+    got = jobs.gate(spark, (300, 500), (0.0, 0.2), 2, 39).toPandas()
+    assert len(got) == 7 * 4 and (got["n"] == 2).all()
+    assert (got[(got.kind == "logistic") & (got.noise == 0)]["rate"] == 1).all()
+    suite = registry.QUERIES["surrogate_suite_cells"](spark, late).toPandas()
+    assert suite["n_null"].max() == 39
+
+
+def test_early_warnings_of_all_windows(spark, late):
+    from sedge.kernels import dynamics as D
+
+    rows = pd.read_parquet(f"{late}/lineitem.parquet").sort_values("l_shipdate")
+    got = registry.QUERIES["ews_trend_test"](spark, late).toPandas().set_index(["cell", "descriptor"])
+    assert (got["n_null"] == 39).all()
+    for cell, part in rows.groupby("l_returnflag"):
+        r = D.gaussian_detrended(part["l_quantity"].to_numpy(), 365)
+        w = DAYS // 2
+        want = D.kendall(np.array([r[i : i + w].var(ddof=1) for i in range(DAYS - w + 1)]))
+        assert abs(got.loc[(cell, "variance_trend"), "observed"] - want) < 1e-9
+
+
+def test_forecasts_at_all_vectors(spark, late):
+    from sedge.kernels import dynamics as D
+
+    rows = pd.read_parquet(f"{late}/lineitem.parquet").sort_values("l_shipdate")
+    got = registry.QUERIES["smap_gain_cells"](spark, late).toPandas().set_index("cell")
+    for cell, part in rows.groupby("l_returnflag"):
+        want = D.forecast_gain(part["l_quantity"].to_numpy(), 3, 1, 7, every=1)
+        assert abs(got.loc[cell, "gain"] - want["gain"]) < 1e-9
+
+
+def test_least_columns_as_a_stable_sort_has_them():
+    from sedge.kernels import dynamics as D
+
+    d = np.random.default_rng(1).integers(0, 6, (200, 30)).astype(float)
+    assert (D._first(d, 5) == np.argsort(d, axis=1, kind="stable")[:, :5]).all()

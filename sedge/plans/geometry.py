@@ -62,7 +62,7 @@ def rates_with_exact_intervals(spark, sf_dir):
 
 @query("stationarity_cells")
 def stationarity_cells(spark, sf_dir):
-    """Unit-root and level statistics and threshold fits of each cell."""
+    """Unit-root and level statistics and threshold fits of each cell."""
 
     def measure(x: np.ndarray) -> dict[str, float]:
         low, high = E.threshold_ar(x)

@@ -29,7 +29,7 @@ def surrogate_suite_families(spark, sf_dir):
 
 @query("ft_surrogate_asymmetry")
 def ft_surrogate_asymmetry(spark, sf_dir):
-    """Asymmetry against phase-randomised surrogates."""
+    """Asymmetry against phase-randomised surrogates."""
     return T.suite(dense(spark, sf_dir), CELL, "day", "x", lambda x: {"asymmetry": D.reversal_asymmetry(x, 2)}, 99, make=G.phase_randomised)
 
 
@@ -50,13 +50,13 @@ def ews_trend_test(spark, sf_dir):
 
 @query("smap_gain_cells")
 def smap_gain_cells(spark, sf_dir):
-    """Gain of locally weighted over linear forecasts."""
+    """Gain of locally weighted over linear forecasts."""
     return T.per_series(dense(spark, sf_dir), CELL, "day", ["x"], lambda x: D.forecast_gain(x, 3, 1, 7, every=1), ["theta", "linear", "nonlinear", "gain"])
 
 
 @query("ccm_pairs")
 def ccm_pairs(spark, sf_dir):
-    """Cross mapping between pairs of cells, by library size, both ways."""
+    """Cross mapping between pairs of cells, by library size, both ways."""
     s = dense(spark, sf_dir).where("x is not null")
     pairs = s.select(F.col("cell").alias("a"), "day", F.col("x").alias("xa")).join(s.select(F.col("cell").alias("b"), "day", F.col("x").alias("xb")), "day").where("a < b").withColumn("pair", F.concat_ws("-", "a", "b"))
 
@@ -86,7 +86,7 @@ def gate(spark, lengths=(2048, 8766), noise=(0.0, 0.2), repetitions=10, replicat
 
 @query("gate_controls")
 def gate_controls(spark, sf_dir):
-    """Control series against surrogates, rejection shares by kind, length and noise."""
+    """Control series against surrogates, rejection shares by kind, length and noise."""
     return gate(spark)
 
 

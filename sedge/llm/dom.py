@@ -134,8 +134,8 @@ def parse(page: str) -> list[Block]:
             if name == "a":
                 link += 1
             stack.append((name, stack[-1][1]))
-        if len(stack) > 400:  # nesting beyond this is one level
-            del stack[400:]
+        if len(stack) > 400:  # nesting beyond this shares a block; its end tags find their own starts
+            stack[-1] = (name, stack[399][1])
     if at < len(page):
         text(page[at:])
     return _with_text_blocks(blocks)

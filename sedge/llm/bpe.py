@@ -8,11 +8,14 @@ lead to one state, so a state is named by the label that leads to it, and what
 it reads is inherited: the state behind w starts as a copy of the one behind v
 (before the gadget), and the arc w starts as a copy of the arc u (after it).
 The copies are kept as parents with their time instead of as 49k x 49k rows;
-`arc` follows them and remembers the answer, which makes the table.
-
-A word has exactly one path through the automaton, and its labels are the BPE
-tokens. The path is found by table-driven transitions of a trie that propose
-labels, the longest first, and arcs that confirm them.
+`arc` follows them and remembers the answer.
+
+Labels are several bytes long, so over bytes that automaton is made
+deterministic: a state is the set of (label that was read last, how far into the
+next label), built when it is first met and kept in a transition table of (state,
+byte). Every prefix of a word has one tokenization, so a transition completes at
+most one label. A word is one walk through the table; the labels of its one
+path are read off from its end.
 """
 
 from __future__ import annotations
@@ -27,8 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-#: Words that a worker remembers before the older half goes; bounds memory, never changes results.
-CACHE_WORDS = 400_000
+from sedge.llm.common import _CACHES, freed
+
+#: Words that a task remembers before the older half goes; bounds memory (about 500 bytes a word), never changes results.
+CACHE_WORDS = 60_000
+#: Transitions that the table holds before it is begun anew; likewise.
+TABLE_STEPS = 200_000
 #: Marks the end of a word; no UTF-8 text holds this byte.
 END = b"\xff"
 
@@ -67,24 +74,33 @@ class Automaton:
             a, b = pair if isinstance(pair, (list, tuple)) else pair.split(" ")
             self._gadget(t, vocab[a], vocab[b], vocab[a + b])
         self.table: dict[int, bool] = {}
-        # the trie of labels: (node, byte) -> node, and the label that ends in a node
+        # the trie of labels: (node, byte) -> node, the label that ends in a node, and whether it goes on
         self.go: dict[int, int] = {}
         self.ends: list[int] = [-1]
+        self.inner: list[bool] = [False]
         self.lengths = [0] * size
-        self.shorter = [-1] * size  # the longest label that is a proper prefix of the label
         unused = next(c for c, b in letters.items() if b == END[0])
-        made = sorted((raw(k), i) for k, i in vocab.items() if unused not in k and all(c in letters for c in k.removesuffix(suffix)))
-        for text, i in made:
-            node, last = 0, -1
+        for text, i in sorted((raw(k), i) for k, i in vocab.items() if unused not in k and all(c in letters for c in k.removesuffix(suffix))):
+            node = 0
             for byte in text:
                 key = node << 8 | byte
                 if key not in self.go:
+                    self.inner[node] = True
                     self.go[key] = len(self.ends)
                     self.ends.append(-1)
+                    self.inner.append(False)
                 node = self.go[key]
-                if self.ends[node] >= 0:
-                    last = self.ends[node]
-            self.ends[node], self.lengths[i], self.shorter[i] = i, len(text), last
+            self.lengths[i] = len(text)
+            if self._made(i):
+                self.ends[node] = i
+        self.shift = size.bit_length() + 1
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the table of the deterministic automaton: state 0 has read nothing."""
+        self.states: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]
+        self.number = {self.states[0]: 0}
+        self.steps: dict[int, int] = {}
 
     def _gadget(self, t: int, u: int, v: int, w: int) -> None:
         self.taken.setdefault(u * self.size + v, t)
@@ -101,9 +117,13 @@ class Automaton:
             known = self.table[key] = self._inherited(x, y)
         return known
 
-    def _inherited(self, x: int, y: int) -> bool:
+    def _made(self, w: int) -> bool:
+        """Whether the gadget of w found an arc to take: else no text is ever tokenized with w."""
+        return self.born[w] < 0 or self._inherited(self.left[w], self.right[w], self.born[w])
+
+    def _inherited(self, x: int, y: int, limit: int = 1 << 60) -> bool:
+        """Whether x's state reads y once the gadgets before time `limit` are done."""
         taken, born, size = self.taken, self.born, self.size
-        limit = 1 << 60  # gadgets before this time count
         while True:
             lost = taken.get(x * size + y)
             if lost is not None and lost < limit:
@@ -116,43 +136,49 @@ class Automaton:
             else:
                 limit, x = bx, self.right[x]
 
+    def _step(self, state: int, byte: int) -> int:
+        """Makes the transition of (state, byte): the state that follows, and one more than the label that is complete there."""
+        after, label = [], -1
+        for last, node in self.states[state]:
+            node = self.go.get(node << 8 | byte, -1)
+            if node < 0:
+                continue
+            y = self.ends[node]
+            if y >= 0 and (last < 0 or self.arc(last, y)):
+                label = y
+            if self.inner[node]:
+                after.append((last, node))
+        if label >= 0:
+            after.append((label, 0))
+        follows = tuple(after)
+        to = self.number.get(follows)
+        if to is None:
+            to = self.number[follows] = len(self.states)
+            self.states.append(follows)
+        step = self.steps[state << 8 | byte] = to << self.shift | label + 1
+        return step
+
     def encode(self, word: bytes) -> list[int]:
         """The labels of the one path for a pre-split word."""
-        text = word + END
-        n, go, ends, lengths = len(text), self.go, self.ends, self.lengths
-        path: list[int] = []
-        dead = set()
-        at = 0
-        label = self._longest(text, 0)
-        while True:
-            while label >= 0:
-                to = at + lengths[label]
-                if to not in dead and (not path or self.arc(path[-1], label)):
-                    break
-                label = self.shorter[label]
-            if label >= 0:
-                path.append(label)
-                at += lengths[label]
-                if at == n:
-                    return path
-                label = self._longest(text, at)
-            else:
-                if not path:
-                    raise ValueError(f"no path for {word!r}")
-                dead.add(at)
-                label = path.pop()
-                at -= lengths[label]
-                label = self.shorter[label]
-
-    def _longest(self, text: bytes, at: int) -> int:
-        node, best, go, ends = 0, -1, self.go, self.ends
-        for i in range(at, len(text)):
-            node = go.get(node << 8 | text[i], -1)
-            if node < 0:
-                break
-            if ends[node] >= 0:
-                best = ends[node]
-        return best
+        if len(self.steps) > TABLE_STEPS:
+            self._forget()
+        steps, shift, mask = self.steps, self.shift, (1 << self.shift) - 1
+        state, complete = 0, [0]
+        for byte in word + END:
+            step = steps.get(state << 8 | byte)
+            if step is None:
+                step = self._step(state, byte)
+            state = step >> shift
+            complete.append(step & mask)
+        path, at = [], len(word) + 1
+        while at:
+            label = complete[at] - 1
+            if label < 0:
+                raise ValueError(f"no path for {word!r}")
+            path.append(label)
+            at -= self.lengths[label]
+        path.reverse()
+        return path
 
 
 class Codec:
@@ -165,6 +191,7 @@ class Codec:
         self.automaton = Automaton(model["vocab"], model["merges"], model["end_of_word_suffix"] or "") if compiled else None
         self.split_by = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.any_special = re.compile("|".join(map(re.escape, sorted(self.special))) or "(?!)")
         size = max([*model["vocab"].values(), *self.special.values()]) + 1
         self.labels: list[bytes] = [b""] * size
         for k, i in (*model["vocab"].items(), *self.special.items()):
@@ -195,19 +222,23 @@ class Codec:
             self.new_words(sorted(new - again))
         return b"".join(map(known.__getitem__, words))
 
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens that the library normalises and splits."""
+        own, letters = self.split_by, self.letters
+        split = own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(text))
+        return self.join([bytes(letters[ord(c)] for c in w).decode() for w, _ in split])
+
     def other(self, text: str) -> bytes:
-        """Ids of a text with characters or special tokens that the fast split leaves out: the library normalises and splits."""
-        out, own, letters = b"", self.split_by, self.letters
-        while True:
-            found = min(((i, k) for k in self.special if (i := text.find(k)) >= 0), default=None)
-            plain = text if found is None else text[: found[0]]
-            split = own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(plain))
-            out += self.join([bytes(letters[ord(c)] for c in w).decode() for w, _ in split])
-            if found is None:
-                return out
-            i, k = found
-            out += self.special[k].to_bytes(4, "little")
-            text = text[i + len(k) :]
+        """Ids of a text with characters or special tokens that the fast split leaves out."""
+        out, at = [], 0
+        for m in self.any_special.finditer(text):
+            out += [self.plain(text[at : m.start()]), self.special[m[0]].to_bytes(4, "little")]
+            at = m.end()
+        return b"".join([*out, self.plain(text[at:])])
+
+    def forget(self) -> None:
+        """Lets the words go; the automaton stays."""
+        self.words, self.older = {}, {}
 
     def ids(self, text: bytes) -> bytes:
         """Ids of a whole UTF-8 text as little-endian 32-bit integers."""
@@ -236,17 +267,30 @@ class Library(Codec):
             self.words[w] = np.array([t.id for t in tokenize(letters)], "<u4").tobytes()
 
 
-@lru_cache(maxsize=2)
+_CODECS: dict[str, Codec] = {}
+
+
 def codec(path: str) -> Codec:
-    """One codec a worker: compiled once, kept while the worker lives."""
-    return Codec(path)
+    """One codec a worker: compiled once, kept while the worker lives, without words between tasks."""
+    if path not in _CODECS:
+        _CODECS[path] = Codec(path)
+    return _CODECS[path]
 
 
-@lru_cache(maxsize=2)
+def _words_out() -> None:
+    for c in _CODECS.values():
+        c.forget()
+
+
+@lru_cache(maxsize=1)
 def library(path: str) -> Library:
+    """Quickly made, so that a worker keeps it no longer than a task."""
     return Library(path)
 
 
+_CACHES += [_words_out, library.cache_clear]
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -268,7 +312,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
             ids = [np.frombuffer(c.ids(t), "<u4").astype(np.int64) for t in utf8(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int64()))], [id_column, "ids"])
 
-    return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {id_type}, ids array<long>")
+    return docs.select(id_column, text_column).mapInArrow(freed(run), f"`{id_column}` {id_type}, ids array<long>")
 
 
 def decode(encoded: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame:
@@ -281,7 +325,7 @@ def decode(encoded: DataFrame, path: str, id_column: str = "doc_id") -> DataFram
             texts = [c.decode(np.array(x or [], "<u4").tobytes()).decode() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [id_column, "text"])
 
-    return encoded.select(id_column, "ids").mapInArrow(run, f"`{id_column}` {id_type}, text string")
+    return encoded.select(id_column, "ids").mapInArrow(freed(run), f"`{id_column}` {id_type}, text string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -304,4 +348,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 d.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,10 +6,10 @@ documents is one byte array with offsets and no Python object per word.
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one is set only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a temporary one is set in local mode, as in tests; on a
+    cluster that is an error, since executors don't see each other's disks.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sedge-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -55,6 +61,43 @@ def clear(spark: SparkSession) -> int:
     return n
 
 
+# ---- what a worker holds between tasks ----
+
+#: What empties a worker's caches; modules that have one add it.
+_CACHES: list[Callable[[], object]] = []
+
+
+def _give_back() -> None:
+    """Empties the caches of this worker and returns freed memory to the system: workers are used again, by other operators too."""
+    for clear_cache in _CACHES:
+        clear_cache()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library, which has no such call
+
+
+def freed(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """A function over a task's batches that holds nothing once the task is over, however it ends."""
+
+    def task(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return task
+
+
+def own(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores added until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_batches(batch: pa.RecordBatch, column: str = "text", step: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for runs of rows of about `step` bytes; null is empty."""
     col = batch.column(batch.schema.get_field_index(column))
@@ -94,6 +137,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BASE = 0x2545F4914F6CDD1D
 _POW: dict[str, np.ndarray] = {}
+_CACHES.append(_POW.clear)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import Words, keep, mix, segment_bounds, segment_sums, text_batches
+from sedge.llm.common import Words, freed, keep, mix, segment_bounds, segment_sums, text_batches
 from sedge.llm.components import components
 
 WORDS = 5
@@ -117,7 +117,7 @@ def features(docs: DataFrame) -> DataFrame:
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()), mask=pa.array(n == 0))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.concatenate(one)), pa.array(np.concatenate(two)), listed], ["doc_id", "n_shingles", "fp", "fp2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, fp long, fp2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), f"doc_id {id_type}, n_shingles long, fp long, fp2 long, bands array<long>")
 
 
 def coarse(classes: DataFrame) -> DataFrame:

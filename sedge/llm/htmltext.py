@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sedge.llm.boosting import Trees, boost
+from sedge.llm.common import freed
 from sedge.llm.dom import node_features, parse
 
 TRAINING_PAGES, SEED = 700, 17
@@ -186,4 +187,4 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
             found = texts([h or "" for h in b.column(2).to_pylist()], fitted.value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(freed(run), f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import text_batches
+from sedge.llm.common import freed, text_batches
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 16
@@ -166,7 +166,7 @@ def sample(docs: DataFrame, rows: int = FIT_DOCS) -> pa.Table:
                     langs.append(lang)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(langs, pa.string())], ["text", "lang"])
 
-    return chosen.mapInArrow(run, "text binary, lang string").toArrow()
+    return chosen.mapInArrow(freed(run), "text binary, lang string").toArrow()
 
 
 def fit_on(docs: DataFrame, rows: int = FIT_DOCS) -> Network | None:
@@ -216,4 +216,4 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
                         score[first + i] = min(1.0, max(0.0, float(mean[i, best[i]])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(freed(run), f"doc_id {id_type}, held_out boolean, lang_pred string, score double")

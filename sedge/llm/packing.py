@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.llm.bpe import library, utf8
-from sedge.llm.common import keep
+from sedge.llm.common import freed, keep
 
 WIDTH = 2048
 #: Lengths that may take part in patterns of three: the fullest bins; patterns of one or two use all.
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, path: str, width: int = WIDTH) -> DataFrame:
                     seen[n] += 1
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(row), pa.int32()), pa.array(nth, pa.int64())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
 def patterns(histogram: np.ndarray, width: int) -> np.ndarray:
@@ -195,4 +195,4 @@ def pack(docs: DataFrame, path: str, width: int = WIDTH) -> DataFrame:
             i = rank - r[:, 1]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(r[:, 3] + i // r[:, 4]), pa.array(r[:, 5] + length * (i % r[:, 4]))], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(freed(run), f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

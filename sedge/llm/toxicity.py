@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import _NO_LETTER, Words, keep, labelled, mix, text_batches
+from sedge.llm.common import _NO_LETTER, Words, freed, keep, labelled, mix, text_batches
 
 #: Labelled rows that the model is fitted on, at most; longer texts than FIT_BYTES are left out of the fit only.
 FIT_ROWS, FIT_BYTES = 10_000, 65_536
@@ -174,7 +174,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal:
             names, pos, neg = feature_counts(b, b.column(2).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(pos), pa.array(neg)], ["feature", "pos", "neg"])
 
-    counts = sample.mapInArrow(count, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= MIN_DOCS)
+    counts = sample.mapInArrow(freed(count), "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= MIN_DOCS)
     chosen = counts.withColumn("low", evidence(F.col("pos"), F.col("neg"), n_pos, n_neg)).where("low > 0.5").orderBy(F.desc("low"), "feature").limit(FEATURES)
     features = np.sort(chosen.select("feature").toArrow()["feature"].to_numpy().view(np.uint64))
     if not len(features):
@@ -193,7 +193,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(words), pa.array(hits, pa.list_(pa.int32()))], ["doc_id", "label", "words", "hits"])
 
     id_type = sample.schema["doc_id"].dataType.simpleString()
-    found = sample.mapInArrow(find, f"doc_id {id_type}, label int, words long, hits array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("words", "ascending")])
+    found = sample.mapInArrow(freed(find), f"doc_id {id_type}, label int, words long, hits array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("words", "ascending")])
     size = np.array([len(h) for h in found["hits"].to_pylist()])
     column = np.array([i for h in found["hits"].to_pylist() for i in h], np.int64)
     return finish(features, np.repeat(np.arange(len(size)), size), column, found["words"].to_numpy(), found["label"].to_numpy())
@@ -214,7 +214,7 @@ def grade(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame
             severity, p = model.value.severity(b)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(severity), pa.array(p), pa.array(severity >= model.value.cut), pa.array(severity < model.value.cut)], ["doc_id", "severity", "p_toxic", "toxic", "kept"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, severity double, p_toxic double, toxic boolean, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), f"doc_id {id_type}, severity double, p_toxic double, toxic boolean, kept boolean")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -225,4 +225,4 @@ def accepted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
         for b in batches:
             yield b.filter(pa.array(model.value.severity(b)[0] < model.value.cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)

@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 
-#: Comments; elements whose content is no page text; declarations; tags, and tags with an open quote.
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title|math|object|video|audio|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*))>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>",
-    re.S | re.I,
-)
+#: Where something may begin: a comment, a declaration, a tag.
+OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+#: Elements whose content is no page text, with what ends them.
+RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template svg iframe textarea select title math object video audio canvas".split()}
+QUOTES = re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 LETTERS = re.compile("[a-z]+")
 #: Fixed values of HTML: elements without content, and elements that make blocks.
@@ -28,116 +29,144 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 TAGS = ["html", "body", "article", "main", "section", "nav", "aside", "header", "footer", "div", "p", "h", "list", "li", "table", "cell", "form", "button", "quote", "figure", "#text", "other"]
 _TAG = {**{t: t for t in TAGS}, **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "h"), **dict.fromkeys(("ul", "ol", "dl", "menu"), "list"), "dt": "li", "dd": "li", **dict.fromkeys(("td", "th", "caption"), "cell"), **dict.fromkeys(("thead", "tbody", "tfoot", "tr"), "table"), "fieldset": "form", "legend": "form", "blockquote": "quote", "pre": "quote", "figcaption": "figure"}
 TAG_NUMBER = {k: TAGS.index(v) for k, v in _TAG.items()}
-#: Families of attribute tokens: what class, id and role names usually say.
-FAMILIES = {
-    "navigation": "nav navbar navigation menu menubar breadcrumb breadcrumbs crumbs toc pagination pager tabs skip",
-    "header": "header masthead topbar top banner logo brand site",
-    "footer": "footer bottom copyright legal colophon contentinfo imprint",
-    "sidebar": "sidebar aside side rail widget widgets complementary column related recommended popular trending",
-    "advert": "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted dfp banner",
-    "notice": "cookie cookies consent notice notification alert gdpr popup modal overlay newsletter subscribe signup paywall",
-    "comment": "comment comments reply replies respond discussion disqus reader readers feedback",
-    "share": "share sharing social follow tags tag meta byline author",
-    "form": "form search login register input field contact",
-    "content": "content article post entry story text body main page blog news single hentry",
-}
-_FAMILY: dict[str, int] = {}
-for _i, _words in enumerate(FAMILIES.values()):
-    for _w in _words.split():
-        _FAMILY[_w] = _FAMILY.get(_w, 0) | 1 << _i
-
-
 class Block:
-    __slots__ = ("children", "depth", "family", "items", "links", "parent", "tag")
+    __slots__ = ("children", "depth", "items", "links", "names", "parent", "tag")
 
-    def __init__(self, tag: str, parent: int, depth: int, family: int):
-        self.tag, self.parent, self.depth, self.family = tag, parent, depth, family
+    def __init__(self, tag: str, parent: int, depth: int, names: tuple[str, ...]):
+        self.tag, self.parent, self.depth, self.names = tag, parent, depth, names
         self.items: list = []  # text, or the number of a child block
         self.links = 0
         self.children: list[int] = []
 
 
-def _family(attributes: str) -> int:
-    bits = 0
-    for _, value in ATTRIBUTE.findall(attributes):
-        for w in LETTERS.findall(value.lower()):
-            bits |= _FAMILY.get(w, 0)
-    return bits
+def _names(attributes: str) -> tuple[str, ...]:
+    """The words of class, id and role."""
+    return tuple(w for _, value in ATTRIBUTE.findall(attributes) for w in LETTERS.findall(value.lower())) if "=" in attributes else ()
+
+
+def tag_ends(page: str) -> tuple[list[int], list[int]]:
+    """Places of quotes and '>', and for each where a tag that is outside of quotes there ends (-1: a quote is never closed). From the end, so once for the page."""
+    at = [m.start() for m in QUOTES.finditer(page)]
+    ends = [-1] * (len(at) + 2)
+    later = {'"': len(at), "'": len(at)}  # the next quote of either kind
+    for k in range(len(at) - 1, -1, -1):
+        c = page[at[k]]
+        if c == ">":
+            ends[k] = at[k]
+        else:
+            ends[k] = ends[later[c] + 1] if later[c] < len(at) else -1
+            later[c] = k
+    return at, ends
+
+
+def _tokens(page: str):
+    """(text before, slash, name, attributes) of every tag in order; comments and elements without page text have no name. The last has the text that is left."""
+    at, ends = tag_ends(page)
+    last = page.rfind(">")
+    done = place = 0
+    while True:
+        m = OPEN.search(page, place)
+        if m is None or (m.start() > last and not m[1]):
+            yield page[done:], "", "", ""
+            return
+        if m[1]:
+            close = page.find("-->", m.end())
+            yield page[done : m.start()], "", "", ""
+            done = place = len(page) if close < 0 else close + 3
+            continue
+        first = page.find(">", m.end())
+        if first < 0:  # the name holds the last '>' of none: no tag
+            place = m.end()
+            continue
+        if m[2]:
+            yield page[done : m.start()], "", "", ""
+            done = place = first + 1
+            continue
+        name = m[4].lower()
+        if not m[3] and name in RAW:
+            close = RAW[name].search(page, first + 1)
+            yield page[done : m.start()], "", "", ""
+            done = place = len(page) if close is None else close.end()
+            continue
+        end = ends[bisect_left(at, m.end())]
+        if end < 0:
+            end = first
+        yield page[done : m.start()], m[3], name, page[m.end() : end]
+        done = place = end + 1
 
 
 def parse(page: str) -> list[Block]:
     """The blocks of a page in document order; the first is the page itself."""
-    blocks = [Block("html", -1, 0, 0)]
+    blocks = [Block("html", -1, 0, ())]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the block each belongs to
-    at, link = 0, 0
+    opened: Counter[str] = Counter()
+    link = 0
+
+    def close(i: int) -> None:
+        for name, _ in stack[i:]:
+            opened[name] -= 1
+        del stack[i:]
 
-    def text(raw: str) -> None:
-        b = blocks[stack[-1][1]]
-        if raw:
-            t = html.unescape(raw)
+    for text, slash, name, attributes in _tokens(page):
+        if text:
+            b = blocks[stack[-1][1]]
+            t = html.unescape(text)
             b.items.append(t)
             if link:
                 b.links += len(t.strip())
-
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        name = m[3] or m[6]
         if not name:
             continue
-        name = name.lower()
-        if m[2] or m[5]:
+        if slash:
             if name == "a":
                 link = max(0, link - 1)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if name not in BLOCKS and stack[i][0] in BLOCKS:
-                    break  # an inline end tag doesn't close blocks
+            if opened[name] > 0:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] == name:
+                        close(i)
+                        break
+                    if name not in BLOCKS and stack[i][0] in BLOCKS:
+                        break  # an inline end tag doesn't close blocks
             continue
         if name == "br":
             blocks[stack[-1][1]].items.append(" ")
             continue
-        if name in P_CLOSERS:
+        if name in P_CLOSERS and opened["p"] > 0:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in BLOCKS:
                     break
         if name in IMPLIED:
-            close, scope = IMPLIED[name]
+            ended, scope = IMPLIED[name]
             cut = 0
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[e] > 0 for e in ended) else ():
                 if stack[i][0] in scope:
                     break
-                if stack[i][0] in close:
+                if stack[i][0] in ended:
                     cut = i
             if cut:
-                del stack[cut:]
+                close(cut)
         if name in VOID:
             if name == "hr":
                 blocks[stack[-1][1]].items.append(" ")
             continue
         if name in ("html", "body", "head"):
-            blocks[0].family |= _family(m[4] or "")
+            blocks[0].names += _names(attributes)
             continue
         if name in BLOCKS:
             parent = stack[-1][1]
             link = 0
-            blocks.append(Block(name, parent, blocks[parent].depth + 1, _family(m[4] or "")))
+            blocks.append(Block(name, parent, blocks[parent].depth + 1, _names(attributes)))
             blocks[parent].items.append(len(blocks) - 1)
             stack.append((name, len(blocks) - 1))
         else:
             if name == "a":
                 link += 1
             stack.append((name, stack[-1][1]))
+        opened[name] += 1
         if len(stack) > 400:  # nesting beyond this shares a block; its end tags find their own starts
             stack[-1] = (name, stack[399][1])
-    if at < len(page):
-        text(page[at:])
     return _with_text_blocks(blocks)
 
 
@@ -149,7 +178,7 @@ def _with_text_blocks(blocks: list[Block]) -> list[Block]:
         what, parent = todo.pop()
         if isinstance(what, int):
             old = blocks[what]
-            b = Block(old.tag, parent, out[parent].depth + 1 if parent >= 0 else 0, old.family)
+            b = Block(old.tag, parent, out[parent].depth + 1 if parent >= 0 else 0, old.names)
             me = len(out)
             out.append(b)
             if parent >= 0:
@@ -165,19 +194,23 @@ def _with_text_blocks(blocks: list[Block]) -> list[Block]:
             else:
                 b.items, b.links = ["".join(old.items)] if old.items else [], old.links
         else:
-            b = Block("#text", parent, out[parent].depth + 1, 0)
+            b = Block("#text", parent, out[parent].depth + 1, ())
             b.items = [what]
             out[parent].children.append(len(out))
             out.append(b)
     return out
 
 
-N_FAMILIES = len(FAMILIES)
-NAMES = [*(f"tag_{t}" for t in TAGS), *(f"in_{t}" for t in TAGS), *(f"name_{f}" for f in FAMILIES), *(f"above_{f}" for f in FAMILIES), "depth", "chars", "share", "before", "links", "density", "marks", "blocks", "paragraphs", "lists", "place", "siblings", "sibling_chars", "left_tag", "right_tag", "inner_article"]
+NAMES = [*(f"tag_{t}" for t in TAGS), *(f"in_{t}" for t in TAGS), *(f"{where}_{what}" for where in ("name", "above") for what in ("low", "high", "sum", "known")), "depth", "chars", "share", "before", "links", "density", "marks", "blocks", "paragraphs", "lists", "place", "siblings", "sibling_chars", "left_tag", "right_tag", "inner_article"]
+
+
+def _said(odds: list[float]) -> tuple[float, float, float, float]:
+    """Least, greatest, sum and number of the odds of an element's attribute words; 0 is unknown."""
+    return (min(min(odds), 0.0), max(max(odds), 0.0), sum(odds), float(len(odds))) if odds else (0.0, 0.0, 0.0, 0.0)
 
 
-def node_features(blocks: list[Block]) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Features of every block, its own text (white space folded, trimmed), and its parent."""
+def node_features(blocks: list[Block], odds: dict[str, float]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Features of every block, its own text (white space folded, trimmed), and its parent. odds: what was learned of attribute words, a log odds ratio of article text."""
     n = len(blocks)
     parent = np.array([b.parent for b in blocks])
     own = [" ".join(b.items[0].split()) if b.items else "" for b in blocks]
@@ -198,25 +231,31 @@ def node_features(blocks: list[Block]) -> tuple[np.ndarray, list[str], np.ndarra
         para[p] += para[i]
         lists[p] += lists[i]
         article[p] += article[i]
-    inside, above = [0] * n, [0] * n
+    inside = [0] * n
+    own_names = [_said([odds[w] for w in b.names if w in odds]) for b in blocks]
+    above = [(0.0, 0.0, 0.0, 0.0)] * n
     x = np.zeros((n, len(NAMES)), np.float32)
     t = len(TAGS)
     for i, b in enumerate(blocks):
         if i:
             inside[i] = inside[parent[i]] | 1 << tag[parent[i]]
-            above[i] = above[parent[i]] | blocks[parent[i]].family
+            low, high, total_odds, known = above[parent[i]]
+            p_low, p_high, p_sum, p_known = own_names[parent[i]]
+            above[i] = (min(low, p_low), max(high, p_high), total_odds + p_sum, known + p_known)
         x[i, tag[i]] = 1
-        for bits, first in ((inside[i], t), (b.family, 2 * t), (above[i], 2 * t + N_FAMILIES)):
-            while bits:
-                low = bits & -bits
-                x[i, first + low.bit_length() - 1] = 1
-                bits ^= low
+        bits = inside[i]
+        while bits:
+            least = bits & -bits
+            x[i, t + least.bit_length() - 1] = 1
+            bits ^= least
         kids = b.children
         for k, c in enumerate(kids):
             x[c, -6:-1] = (k / len(kids), len(kids), 0, tag[kids[k - 1]] if k else -1, tag[kids[k + 1]] if k + 1 < len(kids) else -1)
             x[c, -4] = (total[i] - total[c]) / max(total[i], 1)
     whole = max(total[0], 1)
-    f = 2 * t + 2 * N_FAMILIES
+    x[:, 2 * t : 2 * t + 4] = own_names
+    x[:, 2 * t + 4 : 2 * t + 8] = above
+    f = 2 * t + 8
     x[:, f : f + 10] = np.column_stack([[b.depth for b in blocks], np.log1p(total), total / whole, before / whole, below_links / np.maximum(total, 1), total / count, below_marks / np.maximum(total, 1), np.log1p(count), para, lists])
     x[:, -1] = article
     return x, own, parent

@@ -8,6 +8,8 @@ log probability under which no positive block stands in a negative one.
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -16,9 +18,11 @@ from pyspark.sql import DataFrame
 
 from sedge.llm.boosting import Trees, boost
 from sedge.llm.common import freed
-from sedge.llm.dom import node_features, parse
+from sedge.llm.dom import Block, node_features, parse
 
-TRAINING_PAGES, SEED = 700, 17
+TRAINING_PAGES, SEED = 900, 17
+#: Times that an attribute word must be seen.
+WORD_SEEN = 8
 #: Pages whose blocks are judged together.
 STEP = 64
 _MARK = "†"  # marks article text in training pages
@@ -66,7 +70,7 @@ def training_page(rng: np.random.Generator) -> str:
 
     def advert() -> str:
         body = pick(_words(rng, 1, 40), f'<p>{_words(rng, 2, 30)}</p>', f'<a href="/ad">{_words(rng, 2, 12)}</a>')
-        return wrap(pick("div", "div", "aside", "section"), ("ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot", "banner-ad"), body)
+        return wrap(pick("div", "div", "aside", "section"), ("ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "promotion", "promoted", "ad-slot", "banner-ad", "adv", "advertising"), body)
 
     def article_body() -> str:
         out = []
@@ -90,27 +94,27 @@ def training_page(rng: np.random.Generator) -> str:
 
     def comments() -> str:
         items = "".join(wrap(pick("div", "li", "article"), ("comment", "reply", "comment-item", "response"), pick("<p>{}</p>", "{}").format(_words(rng, 2, 60))) for _ in range(rng.integers(1, 6)))
-        return wrap(pick("div", "section"), ("comments", "comment-list", "discussion", "disqus", "respond", "reader-comments"), maybe(0.5, lambda: f"<h3>{_words(rng, 1, 3)}</h3>") + items)
+        return wrap(pick("div", "section"), ("comments", "comment-list", "discussion", "disqus", "respond", "reader-comments", "replies", "readers", "feedback"), maybe(0.5, lambda: f"<h3>{_words(rng, 1, 3)}</h3>") + items)
 
     def notice() -> str:
-        return wrap(pick("div", "div", "section", "aside"), ("cookie-notice", "consent", "notice", "newsletter", "alert", "gdpr", "popup", "subscribe-box"), pick("<p>{}</p>", "{}").format(_words(rng, 3, 50)) + maybe(0.5, lambda: f"<button>{_words(rng, 1, 3)}</button>"))
+        return wrap(pick("div", "div", "section", "aside"), ("cookie-notice", "cookies", "consent", "notice", "notification", "newsletter", "alert", "gdpr", "popup", "modal", "overlay", "subscribe-box", "signup", "paywall"), pick("<p>{}</p>", "{}").format(_words(rng, 3, 50)) + maybe(0.5, lambda: f"<button>{_words(rng, 1, 3)}</button>"))
 
     def form() -> str:
         return f'<form action="/s">{maybe(0.5, lambda: "<label>" + _words(rng, 1, 4) + "</label>")}<input name="q"><button>{_words(rng, 1, 2)}</button>{maybe(0.3, lambda: "<p>" + _words(rng, 2, 20) + "</p>")}</form>'
 
     def sidebar() -> str:
         inner = pick(links(2, 9), f"<h3>{_words(rng, 1, 4)}</h3>{links(2, 9)}", f"<p>{_words(rng, 4, 60)}</p>")
-        return wrap(pick("aside", "aside", "div", "section"), ("sidebar", "side", "widget", "related", "recommended", "popular", "right-rail"), inner)
+        return wrap(pick("aside", "aside", "div", "section"), ("sidebar", "side", "widget", "widgets", "related", "recommended", "popular", "trending", "complementary", "right-rail", "share", "social", "tags", "byline-box"), inner)
 
     def top() -> str:
         inner = maybe(0.6, lambda: pick("<h2>{}</h2>", "<div>{}</div>", "<p>{}</p>", "{}").format(_words(rng, 1, 12))) + maybe(0.7, menu) + maybe(0.3, form)
-        return wrap(pick("header", "header", "div"), ("header", "masthead", "site-header", "topbar", "top"), inner or _words(rng, 1, 4))
+        return wrap(pick("header", "header", "div"), ("header", "masthead", "site-header", "topbar", "top", "banner", "brand", "logo"), inner or _words(rng, 1, 4))
 
     def menu() -> str:
-        return wrap(pick("nav", "nav", "div"), ("nav", "menu", "navbar", "main-menu", "breadcrumbs"), links(2, 9))
+        return wrap(pick("nav", "nav", "div"), ("nav", "menu", "navbar", "navigation", "main-menu", "menubar", "breadcrumb", "breadcrumbs", "toc", "pagination", "pager", "tabs"), links(2, 9))
 
     def footer() -> str:
-        return wrap(pick("footer", "footer", "div"), ("footer", "site-footer", "copyright", "bottom"), pick("&copy; {}", "<p>{}</p>", "{}").format(_words(rng, 2, 40)) + maybe(0.3, lambda: links(2, 6)))
+        return wrap(pick("footer", "footer", "div"), ("footer", "site-footer", "copyright", "bottom", "legal", "colophon", "contentinfo", "imprint"), pick("&copy; {}", "<p>{}</p>", "{}").format(_words(rng, 2, 40)) + maybe(0.3, lambda: links(2, 6)))
 
     title = maybe(0.85, lambda: pick("<h1>{}</h1>", "<h1>{}</h1>", "<header><h1>{}</h1></header>", "<h2>{}</h2>").format(good(_words(rng, 2, 14))))
     body = title + article_body()
@@ -118,9 +122,13 @@ def training_page(rng: np.random.Generator) -> str:
     if tag in ("article", "main") and rng.random() < 0.6:
         story = f"<{tag}>{body}{maybe(0.15, comments)}{maybe(0.1, advert)}</{tag}>"
     else:
-        story = wrap(tag, ("article", "content", "post", "entry-content", "story", "article-body", "post-body", "text"), body + maybe(0.15, comments) + maybe(0.1, advert))
+        story = wrap(tag, ("article", "content", "post", "entry-content", "story", "article-body", "post-body", "text", "hentry", "blog-post", "news-text", "single"), body + maybe(0.15, comments) + maybe(0.1, advert))
     for _ in range(rng.integers(0, 3)):
-        story = wrap(pick("div", "main", "div", "section"), ("container", "wrapper", "row", "page", "layout", "main", "content"), maybe(0.25, sidebar) + story + maybe(0.25, sidebar) + maybe(0.2, comments))
+        if rng.random() < 0.1:  # columns made of a table
+            story = f"<table><tr>{maybe(0.6, lambda: '<td>' + links(2, 9) + '</td>')}<td>{story}</td>{maybe(0.3, lambda: '<td>' + sidebar() + '</td>')}</tr></table>"
+            continue
+        names = ("container", "wrapper", "row", "page", "layout", "main", "content") if rng.random() < 0.7 else tuple("".join(rng.choice(list("bcdfgkqvxz"), 5)) for _ in range(3))
+        story = wrap(pick("div", "main", "div", "section"), names, maybe(0.25, sidebar) + story + maybe(0.25, sidebar) + maybe(0.2, comments))
     extra = [f() for f, p in ((advert, 0.5), (notice, 0.3), (form, 0.15), (sidebar, 0.2)) if rng.random() < p]
     lower = [f() for f, p in ((advert, 0.3), (comments, 0.35), (sidebar, 0.35), (notice, 0.2), (form, 0.15)) if rng.random() < p]
     before = maybe(0.5, top) + maybe(0.7, menu) + "".join(rng.permutation(extra) if extra else [])
@@ -128,21 +136,40 @@ def training_page(rng: np.random.Generator) -> str:
     return f"<!DOCTYPE html><html><head><title>{_words(rng, 1, 8)}</title></head><body>{before}{story}{after}</body></html>"
 
 
+def attribute_odds(trees: list[list[Block]], labels: list[np.ndarray]) -> dict[str, float]:
+    """For every word in class, id and role names: the log odds ratio that a block so named belongs to the article, of words seen WORD_SEEN times or more."""
+    yes, no = Counter(), Counter()
+    for blocks, y in zip(trees, labels, strict=True):
+        for b, positive in zip(blocks, y.tolist(), strict=True):
+            (yes if positive else no).update(set(b.names))
+    p, q = sum(int(y.sum()) for y in labels) + 1.0, sum(int((~y).sum()) for y in labels) + 1.0
+    return {w: float(np.log((yes[w] + 0.5) / p) - np.log((no[w] + 0.5) / q)) for w in sorted({*yes, *no}) if yes[w] + no[w] >= WORD_SEEN}
+
+
+@dataclass
+class Model:
+    """What was learned: the odds of attribute words, and the trees over block features that use them."""
+
+    odds: dict[str, float]
+    trees: Trees
+
+
 @lru_cache(maxsize=1)
-def model() -> Trees:
-    """The trees, fitted on TRAINING_PAGES composed pages; the same on every run."""
+def model() -> Model:
+    """Fitted on TRAINING_PAGES composed pages; the same on every run. The trees see odds that the other half of the pages gave."""
     rng = np.random.default_rng(SEED)
-    xs, ys, ws = [], [], []
-    for _ in range(TRAINING_PAGES):
-        x, own, parent = node_features(parse(training_page(rng)))
-        y = np.array([_MARK in t for t in own])
+    pages = [parse(training_page(rng)) for _ in range(TRAINING_PAGES)]
+    labels = []
+    for blocks in pages:
+        y = np.array([any(_MARK in x for x in b.items if isinstance(x, str)) for b in blocks])
         for i in range(len(y) - 1, 0, -1):
             if y[i]:
-                y[parent[i]] = True
-        xs.append(x)
-        ys.append(y)
-        ws.append(np.full(len(y), 1 / np.sqrt(len(y))))
-    return boost(np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws) * 6)
+                y[blocks[i].parent] = True
+        labels.append(y)
+    halves = [attribute_odds(pages[k::2], labels[k::2]) for k in range(2)]
+    x = np.concatenate([node_features(blocks, halves[1 - k % 2])[0] for k, blocks in enumerate(pages)])
+    weight = np.concatenate([np.full(len(y), 6 / np.sqrt(len(y))) for y in labels])
+    return Model(attribute_odds(pages, labels), boost(x, np.concatenate(labels).astype(float), weight))
 
 
 def decode(log_odds: np.ndarray, parent: np.ndarray) -> np.ndarray:
@@ -159,12 +186,12 @@ def decode(log_odds: np.ndarray, parent: np.ndarray) -> np.ndarray:
     return label
 
 
-def texts(pages: list[str], trees: Trees) -> list[str]:
+def texts(pages: list[str], fitted: Model) -> list[str]:
     """The main text of every page."""
     out = []
     for a in range(0, len(pages), STEP):
-        read = [node_features(parse(p)) for p in pages[a : a + STEP]]
-        odds = trees.log_odds(np.concatenate([x for x, _, _ in read]))
+        read = [node_features(parse(p), fitted.odds) for p in pages[a : a + STEP]]
+        odds = fitted.trees.log_odds(np.concatenate([x for x, _, _ in read]))
         at = 0
         for x, own, parent in read:
             label = decode(odds[at : at + len(x)], parent)
@@ -173,18 +200,18 @@ def texts(pages: list[str], trees: Trees) -> list[str]:
     return out
 
 
-def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
+def extract(pages: DataFrame, fitted: Model | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page.
 
     Null or empty html has empty text; so has a page without an article.
     Repeated rows repeat; text outside of tags counts as a block.
     """
-    fitted = pages.sparkSession.sparkContext.broadcast(trees or model())
+    shared = pages.sparkSession.sparkContext.broadcast(fitted or model())
     kinds = [pages.schema[c].dataType.simpleString() for c in ("page_id", "url")]
 
     def run(batches):
         for b in batches:
-            found = texts([h or "" for h in b.column(2).to_pylist()], fitted.value)
+            found = texts([h or "" for h in b.column(2).to_pylist()], shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(freed(run), f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")

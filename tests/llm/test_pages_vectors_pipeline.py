@@ -30,7 +30,7 @@ def test_held_out_composed_pages():
     found = htmltext.texts([p.replace("†", "") for p in pages], htmltext.model())
     same = 0
     for p, t in zip(pages, found, strict=True):
-        _, own, _ = dom.node_features(dom.parse(p))
+        _, own, _ = dom.node_features(dom.parse(p), {})
         same += " ".join(" ".join(o.replace("†", "") for o in own if "†" in o).split()) == t
     assert same / 120 > 0.95
 

@@ -5,11 +5,14 @@ PERMUTATIONS permutations the least and the greatest shingle. Both are kept, so
 half as many hash evaluations fill a signature, and both are equal between two
 documents with a chance of their similarity. The signature is cut into bands.
 
-Documents with the same shingle set are one class from then on. Classes that
-share bands make coarse groups; each group's texts meet once, in chunks of
-bounded size, where full shingle sets confirm links. Groups over one chunk are
-chunked twice at random, and what is then outside of the group's largest
-component meets every chunk of the group, so that no link is lost.
+Documents with the same shingle set are one class from then on. Pairs of classes
+that share two bands in small buckets are candidates if their signatures agree
+in AGREE of all values; a large bucket joins all its classes. Candidates make
+coarse groups; each group's texts meet once, in chunks of bounded size, where
+full shingle sets confirm links. Groups over one chunk are chunked twice at
+random, and what is then outside of the group's largest component has its
+signature compared with the whole group's, and meets every chunk that holds a
+candidate of it, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import Words, freed, keep, mix, segment_bounds, segment_sums, text_batches
-from sedge.llm.components import components
+from sedge.llm.common import Words, freed, keep, mix, own, segment_bounds, segment_sums, text_batches
+from sedge.llm.components import components, hot_keys, spread_join
 
 WORDS = 5
 #: 100 * intersection >= SIMILAR * union links two documents.
@@ -29,6 +32,10 @@ SIMILAR = 75
 #: 84 permutations give 168 values, 42 bands of 4; two documents of similarity 0.75 share under two bands once in 400,000.
 PERMUTATIONS, BAND = 84, 4
 SHARED_BANDS = 2
+#: Values of two signatures (their low bytes) that agree; of similarity 0.75 about 126 do, and fewer than this once in 10 million.
+AGREE = 95
+#: Signatures that one step compares with as many.
+GRID = 1024
 #: A band's bucket up to this size makes pairs; a larger one joins all its classes to its first, which only widens the coarse group.
 BUCKET = 24
 #: Classes whose texts meet in one task.
@@ -97,31 +104,57 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def fingerprints(s: np.ndarray, bounds: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One 64-bit number for each document's set."""
+    return mix(segment_sums(mix(s), bounds) + n.astype(np.uint64)).view(np.int64)
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, and band keys (null without words) of every whole text."""
+    """doc_id, n_shingles, two fingerprints of the set, band keys and the signature's low bytes (null without words) of every whole text."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            size, one, two, keys = [], [], [], []
+            size, one, two, keys, low = [], [], [], [], []
             for _, _, data, offs in text_batches(b):
                 s, doc = distinct(*shingles(data, offs))
                 bounds = segment_bounds(doc, len(offs) - 1)
                 n = np.diff(bounds)
                 size.append(n)
-                salt = n.astype(np.uint64)
-                one.append(mix(segment_sums(mix(s), bounds) + salt).view(np.int64))
-                two.append(mix(segment_sums(mix(s ^ np.uint64(0x5555)), bounds) - salt).view(np.int64))
-                keys.append(bands(signatures(s, bounds)))
-            n, keys = np.concatenate(size), np.concatenate(keys)
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()), mask=pa.array(n == 0))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.concatenate(one)), pa.array(np.concatenate(two)), listed], ["doc_id", "n_shingles", "fp", "fp2", "bands"])
+                one.append(fingerprints(s, bounds, n))
+                two.append(mix(segment_sums(mix(s ^ np.uint64(0x5555)), bounds) - n.astype(np.uint64)).view(np.int64))
+                signature = signatures(s, bounds)
+                keys.append(bands(signature))
+                low.append(signature.astype(np.uint8))
+            if not size:
+                continue
+            n, keys, low = np.concatenate(size), np.concatenate(keys), np.concatenate(low)
+            none = pa.array(n == 0)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()), mask=none)
+            short = pa.array([None if k == 0 else x.tobytes() for k, x in zip(n, low, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.concatenate(one)), pa.array(np.concatenate(two)), listed, short], ["doc_id", "n_shingles", "fp", "fp2", "bands", "sig"])
+
+    return docs.select("doc_id", "text").mapInArrow(freed(run), f"doc_id {id_type}, n_shingles long, fp long, fp2 long, bands array<long>, sig binary")
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * PERMUTATIONS)
+
+
+def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (src, dst) of classes whose signatures agree."""
+    one, two = classes.select(F.col("fp").alias("src"), F.col("sig").alias("a")), classes.select(F.col("fp").alias("dst"), F.col("sig").alias("b"))
+
+    def run(batches):
+        for b in batches:
+            same = (_bytes(b.column(2)) == _bytes(b.column(3))).sum(1) >= AGREE
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["src", "dst"]).filter(pa.array(same))
 
-    return docs.select("doc_id", "text").mapInArrow(freed(run), f"doc_id {id_type}, n_shingles long, fp long, fp2 long, bands array<long>")
+    return pairs.join(one, "src").join(two, "dst").select("src", "dst", "a", "b").mapInArrow(freed(run), "src long, dst long")
 
 
 def coarse(classes: DataFrame) -> DataFrame:
-    """(node, root) of classes that may be linked: a superset of the true components. classes: fp, bands."""
+    """(node, root) of classes that may be linked: a superset of the true components. classes: fp, bands, sig."""
     rows = classes.select("fp", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low")).where("n > 1")
     rows = keep(rows.join(sizes, "key").select("key", "fp", "n", "low"), "bands")
@@ -129,7 +162,7 @@ def coarse(classes: DataFrame) -> DataFrame:
     members = rows.where(F.col("n") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("all"))
     pairs = members.select(F.explode(F.expr("flatten(transform(all, (a, i) -> transform(slice(all, i + 2, size(all)), b -> struct(a as src, b as dst))))")).alias("p")).select("p.*")
     small = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED_BANDS).select("src", "dst")
-    return components(large.unionAll(small), "coarse")
+    return components(large.unionAll(agreeing(small, classes)), "coarse")
 
 
 def _sets(pdf_text: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,14 +220,30 @@ def local_links(texts: list[str], left: np.ndarray | None = None) -> list[tuple[
     return out
 
 
+def _own_texts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for each class (and mark), in order, with a text whose set has the class's fingerprint: a doc_id with several texts brings others along."""
+    batch = pa.RecordBatch.from_arrays([pa.array(pdf["text"].fillna("").tolist(), pa.large_string())], ["text"])
+    found = []
+    for _, _, data, offs in text_batches(batch):
+        s, doc = distinct(*shingles(data, offs))
+        bounds = segment_bounds(doc, len(offs) - 1)
+        found.append(fingerprints(s, bounds, np.diff(bounds)))
+    pdf = pdf[np.concatenate(found) == pdf["fp"].to_numpy()]
+    by = [c for c in ("fp", "rest") if c in pdf.columns]
+    return pdf.drop_duplicates(by).sort_values(by, kind="stable")
+
+
+def _table(fp: np.ndarray, links: list[tuple[int, int]]) -> pd.DataFrame:
+    out = pd.DataFrame({"src": fp[[a for a, _ in links]], "dst": fp[[b for _, b in links]]}, dtype="int64")
+    return out[out.src != out.dst]
+
+
 def _chunk_links(texts: DataFrame, *by: str) -> DataFrame:
     """Links among the rows of each chunk. texts: fp, text and the columns that name the chunk."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("fp", kind="stable")
-        fp = pdf["fp"].to_numpy()
-        links = local_links(pdf["text"].fillna("").tolist())
-        return pd.DataFrame({"src": fp[[a for a, _ in links]], "dst": fp[[b for _, b in links]]}, dtype="int64")
+        pdf = _own_texts(pdf)
+        return _table(pdf["fp"].to_numpy(), local_links(pdf["text"].tolist()) if len(pdf) else [])
 
     return texts.groupBy(*by).applyInPandas(run, "src long, dst long")
 
@@ -203,31 +252,59 @@ def _rest_links(texts: DataFrame, *by: str) -> DataFrame:
     """Links of the rows marked `rest` with all rows of the chunk."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["fp", "rest"]).sort_values(["fp", "rest"], kind="stable")
+        pdf = _own_texts(pdf)
         left = np.flatnonzero(pdf["rest"].to_numpy())
-        if not len(left):
-            return pd.DataFrame({"src": [], "dst": []}, dtype="int64")
-        fp = pdf["fp"].to_numpy()
-        links = local_links(pdf["text"].fillna("").tolist(), left)
-        out = pd.DataFrame({"src": fp[[a for a, _ in links]], "dst": fp[[b for _, b in links]]}, dtype="int64")
-        return out[out.src != out.dst]
+        return _table(pdf["fp"].to_numpy(), local_links(pdf["text"].tolist(), left) if len(left) else [])
 
     return texts.groupBy(*by).applyInPandas(run, "src long, dst long")
 
 
+def _candidate_chunks(rest: DataFrame, every: DataFrame) -> DataFrame:
+    """(root, fp, chunk): which chunks hold a class of another part whose signature agrees with that of a rest class.
+
+    rest, every: root, fp, part, sig, every also chunk. Signatures meet in
+    squares of GRID by GRID within their group.
+    """
+    blocks = lambda df, name: df.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / GRID).alias(name))
+    counts = blocks(rest, "rests").join(blocks(every, "alls"), "root")
+    # groups are few against their rows, and each row of either table goes to as many squares as the other has blocks
+    left = rest.join(counts, "root").select("root", F.pmod(F.xxhash64("fp", F.lit(4)), F.col("rests")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("alls") - 1)).alias("j"), F.lit(True).alias("rest"), "fp", "part", F.lit(0).cast("long").alias("chunk"), "sig")
+    right = every.join(counts, "root").select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("i"), F.pmod(F.xxhash64("fp", F.lit(5)), F.col("alls")).alias("j"), F.lit(False).alias("rest"), "fp", "part", "chunk", "sig")
+
+    def run(t: pa.Table) -> pa.Table:
+        is_rest = t["rest"].to_numpy()
+        at, other = np.flatnonzero(is_rest), np.flatnonzero(~is_rest)
+        sig = _bytes(t["sig"].combine_chunks())
+        fp, part, chunk = t["fp"].to_numpy(), t["part"].to_numpy(), t["chunk"].to_numpy()
+        found = []
+        theirs = np.ascontiguousarray(sig[other].T)
+        for i in at:
+            same = np.zeros(len(other), np.uint8)
+            for k, mine in enumerate(sig[i]):
+                same += theirs[k] == mine
+            hit = other[(same >= AGREE) & (part[other] != part[i])]
+            found += [(fp[i], c) for c in np.unique(chunk[hit])]
+        out = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"root": np.full(len(out), t["root"][0].as_py() if t.num_rows else 0, np.int64), "fp": out[:, 0], "chunk": out[:, 1]})
+
+    return left.unionAll(right).groupBy("root", "i", "j").applyInArrow(run, "root long, fp long, chunk long").distinct()
+
+
 def _salt(key: str, chunks: str, seed: int) -> F.Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.col(chunks))
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Confirmed links (src, dst) between classes, enough to span their components. classes: fp, doc_id, bands."""
+    """Confirmed links (src, dst) between classes, enough to span their components. classes: fp, doc_id, bands, sig."""
     groups = coarse(classes)
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select("root", F.ceil(F.col("n") / CHUNK).alias("chunks"))
-    members = groups.join(sizes, "root").select(F.col("node").alias("fp"), "root", "chunks")
+    sizes = keep(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = hot_keys(sizes, "root", total)
+    members = spread_join(groups, sizes.select("root", F.ceil(F.col("n") / CHUNK).alias("chunks")), "root", hot).select(F.col("node").alias("fp"), "root", "chunks")
     named = classes.select("fp", "doc_id").join(members, "fp")
     texts = docs.select("doc_id", "text").join(named, "doc_id")
-    texts = keep(texts.select("root", "chunks", "fp", "text"), "texts")
-    one = _chunk_links(texts.withColumn("chunk", _salt("fp", "chunks", 1)), "root", "chunk")
+    texts = keep(texts.select("root", "chunks", _salt("fp", "chunks", 1).alias("chunk"), "fp", "text"), "texts")
+    one = _chunk_links(texts, "root", "chunk")
     large = texts.where("chunks > 1")
     if large.isEmpty():
         return keep(one, "links")
@@ -235,17 +312,19 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     found = keep(one.unionAll(two), "links")
     # what is outside of the largest component of a large group
     part = components(found, "inner")
-    ids = large.select("root", "chunks", "fp").join(part.select(F.col("node").alias("fp"), F.col("root").alias("part")), "fp", "left").withColumn("part", F.coalesce("part", "fp"))
-    ids = keep(ids, "parts")
+    ids = members.where("chunks > 1").select("root", _salt("fp", "chunks", 1).alias("chunk"), "fp").join(part.select(F.col("node").alias("fp"), F.col("root").alias("part")), "fp", "left").withColumn("part", F.coalesce("part", "fp"))
+    ids = keep(ids.join(classes.select("fp", "sig"), "fp").select("root", "chunk", "fp", "part", "sig"), "parts")
     counts = ids.groupBy("root", "part").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("root").agg(F.max(F.struct("n", "part")).alias("m")).select("root", F.col("m.part").alias("main"))
-    rest = ids.join(main, "root").where(F.col("part") != F.col("main")).select("root", "fp", "chunks")
-    rest_groups = rest.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("rest_chunks"))
-    queries = large.join(rest.select("fp"), "fp").join(rest_groups, "root")
-    queries = queries.withColumn("rest_chunk", _salt("fp", "rest_chunks", 3)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = large.join(rest_groups, "root").withColumn("chunk", _salt("fp", "chunks", 1)).withColumn("rest_chunk", F.explode(F.sequence(F.lit(0), F.col("rest_chunks") - 1)))
-    shape = ["root", "chunk", "rest_chunk", "fp", "text"]
-    more = _rest_links(queries.select(*shape).withColumn("rest", F.lit(True)).unionAll(rows.select(*shape).withColumn("rest", F.lit(False))), "root", "chunk", "rest_chunk")
+    main = keep(counts.groupBy("root").agg(F.max(F.struct("n", "part")).alias("m")).select("root", F.col("m.part").alias("main")), "main")
+    rest = spread_join(ids, main, "root", hot).where(F.col("part") != F.col("main")).select("root", "fp", "part", "sig")
+    rest = keep(rest, "rest")
+    meet = keep(_candidate_chunks(rest, ids.join(rest.select("root").distinct(), "root", "left_semi")), "meet")
+    # the chunks that hold candidates, and the rest classes that meet them, CHUNK at a time
+    rounds = keep(meet.groupBy("root", "chunk").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("rounds")), "rounds")
+    queries = meet.join(rounds, ["root", "chunk"]).withColumn("round", _salt("fp", "rounds", 3)).join(large.select("fp", "text"), "fp")
+    rows = large.join(rounds, ["root", "chunk"]).withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)))
+    shape = ["root", "chunk", "round", "fp", "text"]
+    more = _rest_links(queries.select(*shape).withColumn("rest", F.lit(True)).unionAll(rows.select(*shape).withColumn("rest", F.lit(False))), "root", "chunk", "round")
     return keep(found.unionAll(more), "links-all")
 
 
@@ -255,21 +334,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id is the least doc_id that links reach, kept whether it is the
     document's own. Null, empty or blank text has no shingles and is linked
     with nothing. Repeated rows are equal documents; rows of one doc_id share
-    its kept value. A null doc_id takes part but is never a component's id
-    unless all of it is null.
+    its kept value. Rows without doc_id are linked with equal sets only, and
+    null is a component's id only where all of its ids are null. No rows, no
+    rows; other columns don't matter.
     """
     seen = keep(features(docs), "features")
     sets = seen.where("n_shingles > 0")
     classes = sets.groupBy("fp", "fp2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     # one row has the bands: they follow from the set
-    whole = sets.select("fp", "doc_id", "bands").join(classes.select("fp", "doc_id"), ["fp", "doc_id"]).dropDuplicates(["fp"])
+    whole = sets.select("fp", "doc_id", "bands", "sig").join(classes.select("fp", "doc_id"), ["fp", "doc_id"]).dropDuplicates(["fp"])
     whole = keep(whole, "classes")
     roots = components(links(docs, whole), "final")
-    named = classes.select("fp", "doc_id", "copies").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("members"))
-    by_class = named.select("fp", "root").join(first.where("members > 1"), "root").select("fp", "component_id")
-    out = seen.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("fp")).alias("fp")).join(by_class, "fp", "left")
-    component = F.coalesce("component_id", "doc_id")
+    named = keep(classes.select("fp", "doc_id", "copies").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
+    first = keep(named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("members"), F.count(F.lit(1)).alias("n")), "first")
+    hot = hot_keys(first, "root", first.agg(F.sum("n")).first()[0] or 0)
+    by_class = spread_join(named.select("fp", "root"), first.where("members > 1").select("root", "component_id"), "root", hot).select("fp", "component_id")
+    # a set with very many copies is one key: its rows are dealt too
+    counted = keep(named.select("fp", F.col("copies").alias("n")), "copies")
+    crowd = hot_keys(counted, "fp", counted.agg(F.sum("n")).first()[0] or 0)
+    known = seen.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("fp")).otherwise(F.xxhash64("doc_id")).alias("fp"))
+    out = spread_join(known, by_class, "fp", crowd, "left")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
@@ -277,10 +362,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group, that with the least doc_id, with all its columns.
 
     Of repeated rows of a doc_id one stays. Documents without doc_id stay, one
-    of each text.
+    of each text. Other columns keep their names and values.
     """
     kept = keep(near_duplicates(docs), "near")
     drop = kept.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("any")).where(~F.col("any")).select("doc_id")
-    extra = "__no_id"
+    extra = own(docs, "_no_id")
     rows = docs.join(drop, "doc_id", "left_anti").withColumn(extra, F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
     return rows.dropDuplicates(["doc_id", extra]).select(*(F.col(f"`{c}`") for c in docs.columns))

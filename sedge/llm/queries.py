@@ -42,7 +42,7 @@ def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings")).drop("recall")
 
 
 def op9_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

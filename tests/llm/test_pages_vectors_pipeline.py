@@ -78,12 +78,19 @@ def test_vectors_against_brute_force(spark):
     x = np.stack([base[k % 60 if k % 3 else 0] + rng.normal(size=32) * rng.choice([0, 0.02, 0.1, 0.3]) for k in range(400)])
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     odd = [(900, None), (901, [0.0] * 32), (902, [float("nan")] * 32), (903, [1.0, None]), (904, [1.0] * 3), (905, []), (906, [float("inf")] * 32)]
-    got = embeddings.near_duplicates(spark.createDataFrame([*rows, *odd, rows[7]], "vec_id long, embedding array<double>")).toPandas().set_index("vec_id")
-    links, comps = brute_links(list(range(400)), x)
-    assert len(got) == 407
-    assert all(got.n_links[i] <= links[i] for i in links)
-    assert got.n_links[list(links)].sum() >= 0.97 * sum(links.values())
-    assert np.mean([got.component_id[i] == comps[i] for i in comps]) > 0.97
+    # a vec_id that repeats is a vector of its own, and other lengths are linked among themselves
+    again = [rows[7], (7, [-v for v in rows[7][1]])]
+    short = [(1000 + i, [float(i % 2), 1.0 - i % 2, 0.01 * i]) for i in range(6)]
+    got = embeddings.near_duplicates(spark.createDataFrame([*rows, *odd, *again, *short], "vec_id long, embedding array<double>")).toPandas()
+    assert len(got) == len(rows) + len(odd) + len(again) + len(short) and (got.recall >= 0.98).all()
+    links, comps = brute_links([*range(400), "again", "turned"], np.vstack([x, x[7], -x[7]]))
+    comps = {k: 7 if v in ("again", "turned") else v for k, v in comps.items()}
+    assert sorted(got.n_links[got.vec_id == 7]) == sorted([links[7], links["again"], links["turned"]])
+    got = got.drop_duplicates("vec_id").set_index("vec_id")
+    del links["again"], links["turned"], comps["again"], comps["turned"]
+    assert all(got.n_links[i] == links[i] for i in links if i != 7)
+    assert all(got.component_id[i] == comps[i] for i in comps)
+    assert got.n_links[[1000, 1001]].tolist() == [2, 2] and got.component_id[[1003, 1004]].tolist() == [1001, 1000]
     assert (got.n_links[[i for i, _ in odd]] == 0).all() and got.kept[[i for i, _ in odd]].all()
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 

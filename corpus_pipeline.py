@@ -3,6 +3,11 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and works
 on all that the stage before it kept. All but the last return the columns of
 documents. The labels table of sf_dir is what toxicity and quality learn from.
+
+Null and empty texts pass toxicity and go in quality, which asks for 50 words;
+very long texts are judged whole; repeated rows of a doc_id leave near_dedup as
+one; rows without doc_id stay, one of each text. Extra columns come along
+whatever they are called, up to the last stage. An empty table stays empty.
 """
 
 from __future__ import annotations

@@ -19,8 +19,8 @@ from sedge.llm.common import freed, text_batches
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 16
-#: Labelled documents that the network learns from, about, and windows of each, at most.
-FIT_DOCS, FIT_WINDOWS = 4_000, 3
+#: Labelled documents that the network learns from, about; of each language at least about so many (or all it has); and windows of each, at most.
+FIT_DOCS, FIT_LANG, FIT_WINDOWS = 4_000, 300, 3
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.004, 11
 #: Windows that one vectorised step predicts.
 STEP = 256
@@ -151,10 +151,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, rows: int = FIT_DOCS) -> pa.Table:
-    """At most FIT_WINDOWS windows, spread over the text, of each of about `rows` labelled documents that are not held out."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    share = min(1.0, rows / max(1, usable.count()))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("text", "lang")
+    """At most FIT_WINDOWS windows, spread over the text, of each of about `rows` labelled documents that are not held out, every language among them."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
+    total = sum(r["n"] for r in counts)
+    # a document's place among those of its language is a hash; languages with few rows give all of them
+    share = {r["lang"]: min(1.0, max(rows / total, FIT_LANG / r["n"])) for r in counts}
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30))
+    limit = F.lit(0)
+    for least in sorted(set(share.values())):
+        limit = F.when(F.col("lang").isin([k for k, v in share.items() if v == least]), int(least * (1 << 30)) + 1).otherwise(limit)
+    chosen = usable.where(place < limit).select("text", "lang")
 
     def run(batches):
         for b in batches:

@@ -21,7 +21,7 @@ from sedge.llm.bpe import library, utf8
 from sedge.llm.common import freed, keep
 
 WIDTH = 2048
-#: Lengths that may take part in patterns of three: the fullest bins; patterns of one or two use all.
+#: Lengths that may take part in patterns of three: the fullest bins; patterns of one or two use all. It bounds the plan's time; every piece is placed whatever it is.
 TRIPLE_BINS = 160
 ITERATIONS = 300
 
@@ -183,7 +183,8 @@ def pack(docs: DataFrame, path: str, width: int = WIDTH) -> DataFrame:
     runs = spark.sparkContext.broadcast(plan(histogram, width)[0])
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     firsts = counts.select("length", "part", F.coalesce(before, F.lit(0)).alias("first"))
-    ranked = cut.join(firsts, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"))
+    # counts by task grow with the input, so they are never broadcast
+    ranked = cut.join(firsts.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -19,8 +19,12 @@ def uniform(key: Column, salt: str) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(_UNIT)
 
 
-def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """The shard with the least -ln(u)/weight: shard i gets a share weights[i]/sum(weights).
+def _score(key: Column, shard: int, weight: float) -> Column:
+    return F.struct((-F.log(uniform(key, str(shard))) / F.lit(float(weight))).alias("score"), F.lit(shard).alias("shard"))
+
+
+def best(key: Column, weights: Sequence[float]) -> Column:
+    """struct<score, shard>: the shard with the least -ln(u)/weight; shard i gets a share weights[i]/sum(weights).
 
     Only the key and the weights of the shards decide. A further shard takes
     rows only into itself, since the other scores stay as they are. A shard of
@@ -28,8 +32,12 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     """
     if not any(w > 0 for w in weights) or any(w < 0 for w in weights):
         raise ValueError("weights must be at least 0, one of them above")
-    scores = [F.struct((-F.log(uniform(key, str(i))) / F.lit(float(w))).alias("score"), F.lit(i).alias("shard")) for i, w in enumerate(weights) if w > 0]
-    return F.array_min(F.array(*scores))["shard"]
+    return F.array_min(F.array(*(_score(key, i, w) for i, w in enumerate(weights) if w > 0)))
+
+
+def rendezvous(key: Column, weights: Sequence[float]) -> Column:
+    """The number of best()'s shard."""
+    return best(key, weights)["shard"]
 
 
 def assign(docs: DataFrame, weights: Sequence[float], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -44,17 +52,19 @@ def assign(docs: DataFrame, weights: Sequence[float], id_column: str = "doc_id",
     rows, so that no task holds a shard; the blocks' sizes give their starts.
     """
     key = F.coalesce(F.col(id_column).cast("string"), F.lit("null"))
-    more = [*weights, sum(weights) / len(weights)]
     blocks = max(1, math.ceil(docs.count() / (BLOCK_ROWS * len(weights))))
     place = docs.select(
         F.col(id_column).alias("doc_id"),
         (F.octet_length(F.coalesce(F.col(text_column), F.lit(""))) + F.lit(8)).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_column), F.lit(""))).alias("text_crc32"),
         F.lit("key").alias("law"),
-        rendezvous(key, weights).cast("int").alias("shard"),
+        key.alias("_key"),
+        best(key, weights).alias("_best"),
         uniform(key, "slot").alias("_at"),
-        rendezvous(key, more).cast("int").alias("grown_shard"),
     )
+    # one more shard: only its own score is new
+    grown = F.array_min(F.array(F.col("_best"), _score(F.col("_key"), len(weights), sum(weights) / len(weights))))["shard"]
+    place = place.select("doc_id", "size", "text_crc32", "law", F.col("_best.shard").cast("int").alias("shard"), "_at", grown.cast("int").alias("grown_shard"))
     block = F.least(F.floor(F.col("_at") * blocks), F.lit(blocks - 1)).cast("int").alias("_block")
     place = place.select("*", block)
     keys = docs.select(rendezvous(key, weights).cast("int").alias("shard"), uniform(key, "slot").alias("_at")).select("shard", block)

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from sedge.llm.common import _NO_LETTER, Words, freed, keep, labelled, mix, text_batches
 
-#: Labelled rows that the model is fitted on, at most; longer texts than FIT_BYTES are left out of the fit only.
-FIT_ROWS, FIT_BYTES = 10_000, 65_536
+#: Labelled rows that the model is fitted on, about, at most.
+FIT_ROWS = 10_000
 #: Features that the model has, at most, and documents that a feature must be in.
 FEATURES, MIN_DOCS = 4_096, 4
 PREFIXES = (4, 5, 6, 7, 8)
@@ -157,13 +157,13 @@ def cut(severity: np.ndarray, positive: np.ndarray) -> float:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal:
-    """The model of about `rows` labelled documents of at most FIT_BYTES each.
+    """The model of about `rows` labelled documents, whole texts.
 
     Features are counted and chosen by the executors; the driver gets at most
     FEATURES of them, and for each labelled row which of them it has.
     """
     nothing = Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.array([20.0]))
-    sample = labelled(docs, labels, "toxic", rows).where(F.octet_length(F.coalesce("text", F.lit(""))) <= FIT_BYTES)
+    sample = labelled(docs, labels, "toxic", rows)
     sample = keep(sample.select("doc_id", "text", "label"), "toxic-sample")
     n_pos, n_neg = sample.agg(F.count(F.when(F.col("label") > 0, 1)), F.count(F.when(F.col("label") <= 0, 1))).first()
     if n_pos < MIN_DOCS or n_neg < MIN_DOCS:
@@ -218,7 +218,11 @@ def grade(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame
 
 
 def accepted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """The documents that grade() keeps, with all their columns."""
+    """The documents that grade() keeps, with all their columns whatever they are called.
+
+    Null and empty texts are kept; repeated rows go or stay together; an empty
+    table gives an empty one; without enough labels of both kinds all stay.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, rows))
 
     def run(batches):

@@ -7,14 +7,12 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from sedge.kernels import dynamics as D
 from sedge.kernels import surrogates as G
 
-RESULT = "descriptor string, observed double, null_mean double, null_sd double, z double, pvalue double, n_null int, n int, error string"
-
-
 def seed_of(seed: int, *parts: object) -> int:
     """The seed of joined parts: first four bytes of a SHA-256, little endian."""
     return int.from_bytes(hashlib.sha256("|".join(map(str, (seed, *parts))).encode()).digest()[:4], "little")
@@ -30,57 +28,97 @@ def descriptors(x: np.ndarray) -> dict[str, float]:
     return {"entropy": h, "complexity": c, "asymmetry": D.reversal_asymmetry(x, delay), "error": D.prediction_error(x, dims, delay, theiler), "determinism": rec["det"], "laminarity": rec["lam"], "lyapunov": D.lyapunov(x, dims, delay, theiler, 12, (0, 6))[0], "dimension": D.correlation_dimension(x, dims, delay, theiler)}
 
 
+def checked_series(values) -> np.ndarray:
+    """A series without gaps, that varies; raises otherwise: what is left of a gap is not a series of equal steps."""
+    x = np.array([np.nan if v is None else v for v in values], float)
+    if not np.isfinite(x).all():
+        raise ValueError(f"{int((~np.isfinite(x)).sum())} of {len(x)} values are missing")
+    return G.checked(x)
+
+
+def replicate_stream(seed: int, replicate: int) -> np.random.Generator:
+    """The generator of one replicate (from 1), the same wherever it is drawn."""
+    return np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(replicate - 1,)))
+
+
+def replicate_values(series: DataFrame, cell: Sequence[str], order: str, x: str, measure: Callable[[np.ndarray], dict[str, float]], replicates: int, seed: int, make) -> DataFrame:
+    """(cell, replicate, descriptor, value, n, error): the series' own values as replicate 0, those of surrogates from 1.
+
+    A series is one array, of bounded length; its copies are dealt over the
+    cluster by cell and replicate, so that one series' surrogates are many tasks.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in series.schema}
+    tasks = 3 * series.sparkSession.sparkContext.defaultParallelism
+    whole = series.groupBy(*cell).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, x))), lambda s: s[x]).alias("_x"))
+    copies = whole.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).repartition(tasks, *cell, "replicate")
+    names = [*cell, "replicate", "descriptor", "value", "n", "error"]
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for row in pdf.to_dict("records"):
+                key, r = [row[c] for c in cell], int(row["replicate"])
+                try:
+                    v = checked_series(row["_x"])
+                    got = measure(v if r == 0 else make(v, replicate_stream(seed_of(seed, *key), r)))
+                    rows += [(*key, r, name, float(value), len(v), None) for name, value in got.items()]
+                except Exception as e:  # a cell's failure is a result of that cell
+                    rows.append((*key, r, "error", None, len(row["_x"]), f"{type(e).__name__}: {e}"[:200]))
+            yield pd.DataFrame(rows, columns=names)
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in cell) + ", replicate int, descriptor string, value double, n int, error string"
+    return copies.select(*cell, "replicate", "_x").mapInPandas(run, schema)
+
+
+def suite(series: DataFrame, cell: Sequence[str], order: str, x: str, measure=descriptors, replicates: int = 39, seed: int = 1, make=G.amplitude_adjusted, side: str = "two_sided") -> DataFrame:
+    """A row for each cell and descriptor: the observed value, the surrogates' mean and sample deviation, z, the inclusive p, and how many surrogates gave a value.
+
+    A cell that fails has one row named 'error'; so has one with gaps. side:
+    greater, less, absolute or two_sided.
+    """
+    values = replicate_values(series, cell, order, x, measure, replicates, seed, make)
+    known = F.when(F.isnan("value") | (F.abs("value") == float("inf")), None).otherwise(F.col("value"))
+    values = values.where("replicate = 0 or descriptor <> 'error'").withColumn("value", known)
+    seen = F.max(F.when(F.col("replicate") == 0, F.col("value"))).over(Window.partitionBy(*cell, "descriptor"))
+    null = F.when(F.col("replicate") > 0, F.col("value"))
+    rows = values.withColumn("_seen", seen)
+    n = F.count(null)
+    up, down = (1 + F.count(F.when(null >= F.col("_seen"), 1))) / (n + 1), (1 + F.count(F.when(null <= F.col("_seen"), 1))) / (n + 1)
+    p = {"greater": up, "less": down, "absolute": (1 + F.count(F.when(F.abs(null) >= F.abs("_seen"), 1))) / (n + 1), "two_sided": F.least(F.lit(1.0), 2 * F.least(up, down))}[side]
+    observed = F.max("_seen")
+    out = rows.groupBy(*cell, "descriptor").agg(
+        observed.alias("observed"), F.avg(null).alias("null_mean"), F.stddev_samp(null).alias("null_sd"), F.when(observed.isNotNull(), p).alias("pvalue"),
+        n.cast("int").alias("n_null"), F.max("n").alias("n"), F.max("error").alias("error"),
+    )
+    z = F.when(F.col("null_sd") > 0, (F.col("observed") - F.col("null_mean")) / F.col("null_sd"))
+    return out.select(*cell, "descriptor", "observed", "null_mean", "null_sd", z.alias("z"), "pvalue", "n_null", "n", "error")
+
+
 def surrogate_rows(x: np.ndarray, measure: Callable[[np.ndarray], dict[str, float]], replicates: int, seed: int, make=G.amplitude_adjusted, side: str = "two_sided") -> list[dict]:
-    """Observed values against those of surrogates: z with the sample deviation and inclusive p, of two sides unless told."""
+    """suite() of one series in one task, where very many short series are the tasks."""
     seen = measure(G.checked(x))
-    null = pd.DataFrame([measure(make(x, rng)) for rng in G.streams(seed, replicates)])
+    null = pd.DataFrame([measure(make(x, replicate_stream(seed, r))) for r in range(1, replicates + 1)])
     out = []
     for name, v in seen.items():
         d = null[name].to_numpy()
         d = d[np.isfinite(d)]
         sd = d.std(ddof=1) if len(d) > 1 else np.nan
-        out.append({"descriptor": name, "observed": v, "null_mean": d.mean() if len(d) else np.nan, "null_sd": sd, "z": (v - d.mean()) / sd if sd and sd > 0 else None, "pvalue": G.p_value(v, d, side), "n_null": len(d), "n": len(x), "error": None})
+        out.append({"descriptor": name, "observed": v, "z": (v - d.mean()) / sd if sd > 0 else None, "pvalue": G.p_value(v, d, side), "n_null": len(d), "n": len(x)})
     return out
 
 
-def suite(series: DataFrame, cell: Sequence[str], order: str, x: str, measure=descriptors, replicates: int = 9, seed: int = 1, make=G.amplitude_adjusted, side: str = "two_sided") -> DataFrame:
-    """A row for each cell and descriptor; a cell that fails has one row named 'error'.
-
-    A group is one series, of bounded length; cells spread over the cluster.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in series.schema}
-    names = [c.split(" ")[0] for c in RESULT.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = [pdf[c].iloc[0] for c in cell]
-        v = pdf.sort_values(order)[x].dropna().to_numpy(float)
-        try:
-            rows = surrogate_rows(v, measure, replicates, seed_of(seed, *key), make, side)
-        except Exception as e:  # a cell's failure is a result of that cell
-            rows = [{"descriptor": "error", "n": len(v), "error": f"{type(e).__name__}: {e}"[:200]}]
-        out = pd.DataFrame(rows).reindex(columns=names)
-        for c, k in zip(cell, key, strict=True):
-            out.insert(0, c, k)
-        return out[[*cell, *names]]
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in cell) + ", " + RESULT
-    return series.select(*cell, order, x).groupBy(*cell).applyInPandas(run, schema)
-
-
 def per_series(series: DataFrame, cell: Sequence[str], order: str, columns: Sequence[str], fn: Callable[..., dict[str, float]], outputs: Sequence[str]) -> DataFrame:
-    """fn of a cell's ordered columns (as arrays) gives the outputs; null where it fails."""
+    """fn of a cell's ordered columns (as arrays) gives the outputs; nulls and an error where it fails, or where a column has gaps."""
     kinds = {f.name: f.dataType.simpleString() for f in series.schema}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=list(columns)).sort_values(order)
+        pdf = pdf.sort_values(order)
+        got, error = {}, None
         try:
-            got = fn(*(pdf[c].to_numpy(float) for c in columns))
-        except (ValueError, np.linalg.LinAlgError, IndexError):
-            got = {}
-        return pd.DataFrame([{**dict(zip(cell, key_of(pdf, cell), strict=True)), **{o: got.get(o) for o in outputs}}])
-
-    def key_of(pdf: pd.DataFrame, names: Sequence[str]) -> list:
-        return [pdf[c].iloc[0] if len(pdf) else None for c in names]
+            got = fn(*(checked_series(pdf[c]) for c in columns))
+        except Exception as e:  # a cell's failure is a result of that cell
+            error = f"{type(e).__name__}: {e}"[:200]
+        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in cell}, **{o: got.get(o) for o in outputs}, "error": error}])
 
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in cell), *(f"{o} double" for o in outputs)])
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in cell), *(f"{o} double" for o in outputs), "error string"])
     return series.select(*cell, order, *columns).groupBy(*cell).applyInPandas(run, schema)

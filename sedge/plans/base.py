@@ -23,6 +23,11 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.spine(daily(spark, sf_dir), CELL).select("cell", "day", "x")
 
 
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """daily() on all days, 0 where nothing was shipped: series without gaps."""
+    return dense(spark, sf_dir).withColumn("x", F.coalesce("x", F.lit(0.0)))
+
+
 def r6(x: Column | str, name: str) -> Column:
     return rounded(F.col(x) if isinstance(x, str) else x).alias(name)
 

@@ -9,7 +9,7 @@ from sedge.kernels import estimators as E
 from sedge.kernels import special as P
 from sedge.operators import polygons as G
 from sedge.operators import series_tests as T
-from sedge.plans.base import CELL, dense, r6
+from sedge.plans.base import CELL, r6, totals
 from sedge.plans.registry import query
 from sedge.plans.statistics import _GRID, _grid
 from sedge.sources.tables import read
@@ -68,7 +68,7 @@ def stationarity_cells(spark, sf_dir):
         low, high = E.threshold_ar(x)
         return {"dickey_fuller": E.dickey_fuller(x), "level": E.level_stationarity(x), "slope_low": low[1], "slope_high": high[1]}
 
-    return T.per_series(dense(spark, sf_dir), CELL, "day", ["x"], measure, ["dickey_fuller", "level", "slope_low", "slope_high"])
+    return T.per_series(totals(spark, sf_dir), CELL, "day", ["x"], measure, ["dickey_fuller", "level", "slope_low", "slope_high"])
 
 
 @query("wolf_kantz_cao_cells")
@@ -77,8 +77,10 @@ def wolf_kantz_cao_cells(spark, sf_dir):
 
     def measure(x: np.ndarray) -> dict[str, float]:
         e1, e2 = E.cao(x, 4, 1, 7)
-        curve, used = E.kantz(x, 3, 1, 7, 0.5 * x.std())
-        rate, steps = E.wolf(x, 3, 1, 7)
-        return {"cao_dimension": float(E.cao_dimension(e1)), "cao_random": float(np.abs(1 - e2).max()), "kantz": float(np.polyfit(np.arange(4), curve[:4], 1)[0]) if used else float("nan"), "kantz_points": float(used), "wolf": rate, "wolf_steps": float(steps)}
+        out = {"cao_dimension": float(E.cao_dimension(e1)), "cao_random": float(np.abs(1 - e2).max())}
+        for share, (slope, used) in zip((1, 2, 5, 10), E.kantz(x, 3, 1, 7), strict=True):
+            out |= {f"kantz_{share}": slope, f"kantz_{share}_points": float(used)}
+        return out | {f"wolf_{k}": v for k, v in E.wolf(x, 3, 1, 7).items()}
 
-    return T.per_series(dense(spark, sf_dir), CELL, "day", ["x"], measure, ["cao_dimension", "cao_random", "kantz", "kantz_points", "wolf", "wolf_steps"])
+    names = ["cao_dimension", "cao_random", *(f"kantz_{s}{e}" for s in (1, 2, 5, 10) for e in ("", "_points")), *(f"wolf_{k}" for k in ("exponent", "steps", "asked", "made", "angle"))]
+    return T.per_series(totals(spark, sf_dir), CELL, "day", ["x"], measure, names)

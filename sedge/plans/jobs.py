@@ -10,27 +10,27 @@ from sedge.kernels import surrogates as G
 from sedge.kernels import synthetic as K
 from sedge.operators import inference as I
 from sedge.operators import series_tests as T
-from sedge.plans.base import CELL, dense
+from sedge.plans.base import CELL, totals
 from sedge.plans.registry import query
 
 
 @query("surrogate_suite_cells")
 def surrogate_suite_cells(spark, sf_dir):
     """Descriptors of each cell against amplitude-adjusted surrogates."""
-    return T.suite(dense(spark, sf_dir), CELL, "day", "x", replicates=39)
+    return T.suite(totals(spark, sf_dir), CELL, "day", "x", replicates=39)
 
 
 @query("surrogate_suite_families")
 def surrogate_suite_families(spark, sf_dir):
     """The suite's p values adjusted within each descriptor."""
-    rows = T.suite(dense(spark, sf_dir), CELL, "day", "x", lambda x: dict(zip(("entropy", "complexity"), D.entropy_complexity(D.ordinal_counts(x, 3)), strict=True)), 39)
+    rows = T.suite(totals(spark, sf_dir), CELL, "day", "x", lambda x: dict(zip(("entropy", "complexity"), D.entropy_complexity(D.ordinal_counts(x, 3)), strict=True)), 39)
     return I.adjusted(rows.select("cell", "descriptor", "observed", "z", "pvalue"), ["descriptor"], "pvalue").withColumn("rejects", F.col("bh") <= 0.05 + 1e-9)
 
 
 @query("ft_surrogate_asymmetry")
 def ft_surrogate_asymmetry(spark, sf_dir):
     """Asymmetry against phase-randomised surrogates."""
-    return T.suite(dense(spark, sf_dir), CELL, "day", "x", lambda x: {"asymmetry": D.reversal_asymmetry(x, 2)}, 99, make=G.phase_randomised)
+    return T.suite(totals(spark, sf_dir), CELL, "day", "x", lambda x: {"asymmetry": D.reversal_asymmetry(x, 2)}, 99, make=G.phase_randomised)
 
 
 @query("ews_trend_test")
@@ -45,19 +45,19 @@ def ews_trend_test(spark, sf_dir):
         ar = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
         return {"variance_trend": D.kendall(parts.var(1, ddof=1)), "ar1_trend": D.kendall(ar)}
 
-    return T.suite(dense(spark, sf_dir), CELL, "day", "x", measure, 39, side="greater")
+    return T.suite(totals(spark, sf_dir), CELL, "day", "x", measure, 39, side="greater")
 
 
 @query("smap_gain_cells")
 def smap_gain_cells(spark, sf_dir):
     """Gain of locally weighted over linear forecasts."""
-    return T.per_series(dense(spark, sf_dir), CELL, "day", ["x"], lambda x: D.forecast_gain(x, 3, 1, 7, every=1), ["theta", "linear", "nonlinear", "gain"])
+    return T.per_series(totals(spark, sf_dir), CELL, "day", ["x"], lambda x: D.forecast_gain(x, 3, 1, 7, every=1), ["theta", "linear", "nonlinear", "gain"])
 
 
 @query("ccm_pairs")
 def ccm_pairs(spark, sf_dir):
     """Cross mapping between pairs of cells, by library size, both ways."""
-    s = dense(spark, sf_dir).where("x is not null")
+    s = totals(spark, sf_dir)
     pairs = s.select(F.col("cell").alias("a"), "day", F.col("x").alias("xa")).join(s.select(F.col("cell").alias("b"), "day", F.col("x").alias("xb")), "day").where("a < b").withColumn("pair", F.concat_ws("-", "a", "b"))
 
     def skill(x: np.ndarray, y: np.ndarray) -> dict[str, float]:

@@ -18,11 +18,16 @@ def seed_of(seed: int, *parts: object) -> int:
     return int.from_bytes(hashlib.sha256("|".join(map(str, (seed, *parts))).encode()).digest()[:4], "little")
 
 
-def descriptors(x: np.ndarray) -> dict[str, float]:
-    """The descriptor vector with its embedding fixed by the series: delay, dimension, window."""
+def embedding(x: np.ndarray) -> list[float]:
+    """Delay, dimension and Theiler window of a series."""
     delay = min(10, D.first_minimum(D.mutual_information(x, min(30, len(x) // 4))))
     dims = D.embedding_dimension(D.false_neighbours(x, 5, delay, delay))
-    theiler = max(delay * dims, 5)
+    return [delay, dims, max(delay * dims, 5)]
+
+
+def descriptors(x: np.ndarray, params: Sequence[float] | None = None) -> dict[str, float]:
+    """The descriptor vector in an embedding, by default the series' own."""
+    delay, dims, theiler = (int(p) for p in (embedding(x) if params is None else params))
     h, c = D.entropy_complexity(D.ordinal_counts(x, 4))
     rec = D.recurrence(x, dims, delay, theiler)
     return {"entropy": h, "complexity": c, "asymmetry": D.reversal_asymmetry(x, delay), "error": D.prediction_error(x, dims, delay, theiler), "determinism": rec["det"], "laminarity": rec["lam"], "lyapunov": D.lyapunov(x, dims, delay, theiler, 12, (0, 6))[0], "dimension": D.correlation_dimension(x, dims, delay, theiler)}
@@ -41,15 +46,30 @@ def replicate_stream(seed: int, replicate: int) -> np.random.Generator:
     return np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(replicate - 1,)))
 
 
-def replicate_values(series: DataFrame, cell: Sequence[str], order: str, x: str, measure: Callable[[np.ndarray], dict[str, float]], replicates: int, seed: int, make) -> DataFrame:
+def replicate_values(series: DataFrame, cell: Sequence[str], order: str, x: str, measure: Callable[..., dict[str, float]], replicates: int, seed: int, make, prepare: Callable[[np.ndarray], list[float]] | None = None) -> DataFrame:
     """(cell, replicate, descriptor, value, n, error): the series' own values as replicate 0, those of surrogates from 1.
 
     A series is one array, of bounded length; its copies are dealt over the
     cluster by cell and replicate, so that one series' surrogates are many tasks.
+    prepare's numbers of the series itself go to measure as a second argument,
+    for its surrogates too.
     """
     kinds = {f.name: f.dataType.simpleString() for f in series.schema}
     tasks = 3 * series.sparkSession.sparkContext.defaultParallelism
     whole = series.groupBy(*cell).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, x))), lambda s: s[x]).alias("_x"))
+    if prepare is not None:
+
+        def prepared(batches):
+            for pdf in batches:
+                found = []
+                for values in pdf["_x"]:
+                    try:
+                        found.append([float(p) for p in prepare(checked_series(values))])
+                    except Exception:  # the same failure is the result of replicate 0
+                        found.append(None)
+                yield pdf.assign(_p=found)
+
+        whole = whole.repartition(tasks, *cell).mapInPandas(prepared, ", ".join(f"{c} {kinds[c]}" for c in cell) + ", _x array<double>, _p array<double>")
     copies = whole.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).repartition(tasks, *cell, "replicate")
     names = [*cell, "replicate", "descriptor", "value", "n", "error"]
 
@@ -60,23 +80,23 @@ def replicate_values(series: DataFrame, cell: Sequence[str], order: str, x: str,
                 key, r = [row[c] for c in cell], int(row["replicate"])
                 try:
                     v = checked_series(row["_x"])
-                    got = measure(v if r == 0 else make(v, replicate_stream(seed_of(seed, *key), r)))
+                    got = measure(v if r == 0 else make(v, replicate_stream(seed_of(seed, *key), r)), *(() if prepare is None else (row["_p"],)))
                     rows += [(*key, r, name, float(value), len(v), None) for name, value in got.items()]
                 except Exception as e:  # a cell's failure is a result of that cell
                     rows.append((*key, r, "error", None, len(row["_x"]), f"{type(e).__name__}: {e}"[:200]))
             yield pd.DataFrame(rows, columns=names)
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in cell) + ", replicate int, descriptor string, value double, n int, error string"
-    return copies.select(*cell, "replicate", "_x").mapInPandas(run, schema)
+    return copies.mapInPandas(run, schema)
 
 
-def suite(series: DataFrame, cell: Sequence[str], order: str, x: str, measure=descriptors, replicates: int = 39, seed: int = 1, make=G.amplitude_adjusted, side: str = "two_sided") -> DataFrame:
+def suite(series: DataFrame, cell: Sequence[str], order: str, x: str, measure=descriptors, replicates: int = 39, seed: int = 1, make=G.amplitude_adjusted, side: str = "two_sided", prepare=None) -> DataFrame:
     """A row for each cell and descriptor: the observed value, the surrogates' mean and sample deviation, z, the inclusive p, and how many surrogates gave a value.
 
     A cell that fails has one row named 'error'; so has one with gaps. side:
     greater, less, absolute or two_sided.
     """
-    values = replicate_values(series, cell, order, x, measure, replicates, seed, make)
+    values = replicate_values(series, cell, order, x, measure, replicates, seed, make, prepare)
     known = F.when(F.isnan("value") | (F.abs("value") == float("inf")), None).otherwise(F.col("value"))
     values = values.where("replicate = 0 or descriptor <> 'error'").withColumn("value", known)
     seen = F.max(F.when(F.col("replicate") == 0, F.col("value"))).over(Window.partitionBy(*cell, "descriptor"))

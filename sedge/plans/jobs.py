@@ -17,7 +17,7 @@ from sedge.plans.registry import query
 @query("surrogate_suite_cells")
 def surrogate_suite_cells(spark, sf_dir):
     """Descriptors of each cell against amplitude-adjusted surrogates."""
-    return T.suite(totals(spark, sf_dir), CELL, "day", "x", replicates=39)
+    return T.suite(totals(spark, sf_dir), CELL, "day", "x", replicates=39, prepare=T.embedding)
 
 
 @query("surrogate_suite_families")
@@ -88,28 +88,3 @@ def gate(spark, lengths=(2048, 8766), noise=(0.0, 0.2), repetitions=10, replicat
 def gate_controls(spark, sf_dir):
     """Control series against surrogates, rejection shares by kind, length and noise."""
     return gate(spark)
-
-
-@query("block_bootstrap_association")
-def block_bootstrap_association(spark, sf_dir):
-    """Rank association with an interval by resampling whole spatial blocks."""
-    from sedge.plans.statistics import _grid
-
-    g = _grid(spark, sf_dir).select("k", F.concat_ws("_", F.floor(F.col("lat") / 1.0), F.floor(F.col("lon") / 1.0)).alias("block"), "x", (F.col("lat") + F.col("lon")).alias("y"))
-    ranked = g.withColumn("rx", I.average_rank("x")).withColumn("ry", I.average_rank("y"))
-    # sums by block are all that a resample needs: blocks are few
-    sums = ranked.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("rx").alias("a"), F.sum("ry").alias("b"), F.sum(F.col("rx") * F.col("rx")).alias("aa"), F.sum(F.col("ry") * F.col("ry")).alias("bb"), F.sum(F.col("rx") * F.col("ry")).alias("ab"))
-
-    def run(pdf):
-        import pandas as pd
-
-        m = pdf.sort_values("block")[["n", "a", "b", "aa", "bb", "ab"]].to_numpy(float)
-        rng = np.random.default_rng(20240229)
-        draws = np.vstack([np.ones((1, len(m))), rng.multinomial(len(m), np.full(len(m), 1 / len(m)), 999)]) @ m
-        n, a, b, aa, bb, ab = draws.T
-        rho = (n * ab - a * b) / np.sqrt((n * aa - a * a) * (n * bb - b * b))
-        lo, hi = np.nanquantile(rho[1:], [0.025, 0.975])
-        below = min((rho[1:] <= 0).sum(), (rho[1:] >= 0).sum())
-        return pd.DataFrame([{"rho": rho[0], "lo": lo, "hi": hi, "p": min(1.0, 2 * (below + 1) / 1000), "blocks": len(m)}])
-
-    return sums.groupBy(F.lit(1).alias("_one")).applyInPandas(run, "rho double, lo double, hi double, p double, blocks int")

@@ -32,10 +32,12 @@ from tokenizers import Tokenizer
 
 from sedge.llm.common import _CACHES, freed
 
-#: Words that a task remembers before the older half goes; bounds memory (about 500 bytes a word), never changes results.
-CACHE_WORDS = 60_000
-#: Transitions that the table holds before it is begun anew; likewise.
-TABLE_STEPS = 200_000
+#: Words that the automaton's and the library's codec remember before the older half goes; bounds memory (about 500 bytes a word), never changes results.
+CODEC_WORDS, LIBRARY_WORDS = 150_000, 60_000
+#: Transitions that the table holds before it is begun anew (about 300 bytes each); likewise.
+TABLE_STEPS = 400_000
+#: The part of an entry of a state that is the trie node.
+NODES = (1 << 24) - 1
 #: Marks the end of a word; no UTF-8 text holds this byte.
 END = b"\xff"
 
@@ -97,8 +99,11 @@ class Automaton:
         self._forget()
 
     def _forget(self) -> None:
-        """Empties the table of the deterministic automaton: state 0 has read nothing."""
-        self.states: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]
+        """Empties the table of the deterministic automaton: state 0 has read nothing.
+
+        A state is a tuple of label << 24 | trie node; `size` stands for the beginning of a word.
+        """
+        self.states: list[tuple[int, ...]] = [(self.size << 24,)]
         self.number = {self.states[0]: 0}
         self.steps: dict[int, int] = {}
 
@@ -138,18 +143,22 @@ class Automaton:
 
     def _step(self, state: int, byte: int) -> int:
         """Makes the transition of (state, byte): the state that follows, and one more than the label that is complete there."""
+        go, ends, inner, table, size = self.go, self.ends, self.inner, self.table, self.size
         after, label = [], -1
-        for last, node in self.states[state]:
-            node = self.go.get(node << 8 | byte, -1)
+        for at in self.states[state]:
+            node = go.get((at & NODES) << 8 | byte, -1)
             if node < 0:
                 continue
-            y = self.ends[node]
-            if y >= 0 and (last < 0 or self.arc(last, y)):
-                label = y
-            if self.inner[node]:
-                after.append((last, node))
+            last = at >> 24
+            y = ends[node]
+            if y >= 0:
+                known = True if last == size else table.get(last * size + y)
+                if self.arc(last, y) if known is None else known:
+                    label = y
+            if inner[node]:
+                after.append(last << 24 | node)
         if label >= 0:
-            after.append((label, 0))
+            after.append(label << 24)
         follows = tuple(after)
         to = self.number.get(follows)
         if to is None:
@@ -162,14 +171,15 @@ class Automaton:
         """The labels of the one path for a pre-split word."""
         if len(self.steps) > TABLE_STEPS:
             self._forget()
-        steps, shift, mask = self.steps, self.shift, (1 << self.shift) - 1
+        known, shift, mask = self.steps.get, self.shift, (1 << self.shift) - 1
         state, complete = 0, [0]
+        done = complete.append
         for byte in word + END:
-            step = steps.get(state << 8 | byte)
+            step = known(state << 8 | byte)
             if step is None:
                 step = self._step(state, byte)
             state = step >> shift
-            complete.append(step & mask)
+            done(step & mask)
         path, at = [], len(word) + 1
         while at:
             label = complete[at] - 1
@@ -184,6 +194,8 @@ class Automaton:
 class Codec:
     """Whole texts to ids and back, with the automaton of a tokenizer file."""
 
+    remember = CODEC_WORDS
+
     def __init__(self, path: str, compiled: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -212,7 +224,7 @@ class Codec:
         known = self.words
         new = set(words).difference(known)
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
+            if len(known) + len(new) > self.remember:
                 self.older, self.words = known, {}
                 known, new = self.words, set(words)
             older = self.older
@@ -236,10 +248,6 @@ class Codec:
             at = m.end()
         return b"".join([*out, self.plain(text[at:])])
 
-    def forget(self) -> None:
-        """Lets the words go; the automaton stays."""
-        self.words, self.older = {}, {}
-
     def ids(self, text: bytes) -> bytes:
         """Ids of a whole UTF-8 text as little-endian 32-bit integers."""
         t = text.decode()
@@ -255,6 +263,8 @@ class Codec:
 class Library(Codec):
     """The same ids, with the tokenizers library's BPE in place of the automaton for words not seen before."""
 
+    remember = LIBRARY_WORDS
+
     def __init__(self, path: str):
         super().__init__(path, compiled=False)
         self.shown = {b: c for c, b in byte_letters().items()}
@@ -267,19 +277,10 @@ class Library(Codec):
             self.words[w] = np.array([t.id for t in tokenize(letters)], "<u4").tobytes()
 
 
-_CODECS: dict[str, Codec] = {}
-
-
+@lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
-    """One codec a worker: compiled once, kept while the worker lives, without words between tasks."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
-
-
-def _words_out() -> None:
-    for c in _CODECS.values():
-        c.forget()
+    """One codec a worker: compiled once, kept with its words and table while the worker lives."""
+    return Codec(path)
 
 
 @lru_cache(maxsize=1)
@@ -288,7 +289,7 @@ def library(path: str) -> Library:
     return Library(path)
 
 
-_CACHES += [_words_out, library.cache_clear]
+_CACHES.append(library.cache_clear)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

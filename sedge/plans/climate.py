@@ -161,11 +161,11 @@ def percent_rank_by_month(spark, sf_dir):
     return rows.select("cell", "day", r6(S.percent_rank_average(F.col("x"), "cell", "m"), "rank"))
 
 
-@query("decaying_trail", f"""WITH RECURSIVE {DENSE}, n AS (SELECT cell, day, coalesce(x, 0) AS x, row_number() OVER (PARTITION BY cell ORDER BY day) AS i FROM dense WHERE year(day) = 1996 AND month(day) <= 3),
-    b AS (SELECT cell, day, i, greatest(x, 0.0) AS b FROM n WHERE i = 1 UNION ALL SELECT n.cell, n.day, n.i, greatest(n.x, 0.45 * b.b) FROM b JOIN n ON n.cell = b.cell AND n.i = b.i + 1) SELECT cell, day, round(b + 1e-9, 5) AS trail FROM b""")
+@query("decaying_trail", f"""WITH {DENSE}, n AS (SELECT cell, day, greatest(coalesce(x, 0), 0.0) AS x, row_number() OVER (PARTITION BY cell ORDER BY day) AS i FROM dense)
+    SELECT a.cell, a.day, round(max(b.x * pow(0.45, a.i - b.i)) + 1e-9, 5) AS trail FROM n a JOIN n b ON b.cell = a.cell AND b.i BETWEEN a.i - 60 AND a.i GROUP BY 1, 2""")
 def decaying_trail(spark, sf_dir):
-    """The greatest of what is left of all values before."""
-    rows = dense(spark, sf_dir).where("year(day) = 1996 and month(day) <= 3").withColumn("x", F.coalesce("x", F.lit(0.0)))
+    """The greatest of what is left of all values before. The twin looks 60 days back: after that less than 1e-20 of a value is left."""
+    rows = dense(spark, sf_dir).withColumn("x", F.coalesce("x", F.lit(0.0)))
     out = S.decayed_maximum(rows, CELL, "day", "x", 0.45, "b")
     return out.select("cell", "day", F.round(F.col("b") + 1e-9, 5).alias("trail"))
 
@@ -176,15 +176,18 @@ def lag_embedding(spark, sf_dir):
     return S.lag_embedding(dense(spark, sf_dir), CELL, "day", "x", 3, 7).select("cell", "day", "e0", "e1", "e2")
 
 
-@query("year_block_permutation", f"""WITH {DENSE}, s AS (SELECT cell, CAST(year(day) AS INTEGER) AS year, CAST(dayofyear(day) AS INTEGER) AS doy, x FROM dense), m(year, donor) AS (VALUES (1995, 1998), (1996, 2000), (1997, 1995), (1998, 1999), (1999, 1997), (2000, 1996))
-    SELECT a.cell, a.year, a.doy, b.x AS moved, a.x AS kept FROM s a JOIN m ON m.year = a.year JOIN s b ON b.cell = a.cell AND b.year = m.donor AND b.doy = a.doy""")
+@query("year_block_permutation", f"""WITH {DENSE}, s AS (SELECT cell, CAST(year(day) AS INTEGER) AS year, CAST(dayofyear(day) AS INTEGER) AS doy, x FROM dense),
+    o AS (SELECT year, row_number() OVER (ORDER BY md5('years|' || year), year) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT year FROM s)), m AS (SELECT a.year, b.year AS donor FROM o a JOIN o b ON b.i = a.i % a.n + 1)
+    SELECT a.cell, a.year, a.doy, b.x AS moved, a.x AS kept FROM s a JOIN m ON m.year = a.year LEFT JOIN s b ON b.cell = a.cell AND b.year = m.donor AND b.doy = a.doy""")
 def year_block_permutation(spark, sf_dir):
-    """Whole years of one column from other years, none in its place."""
+    """Whole years of one column from other years, none in its place: the years that there are, in the order of a hash, each from the next. A day that the donor lacks is null."""
     s = dense(spark, sf_dir).select("cell", F.year("day").alias("year"), F.dayofyear("day").alias("doy"), "x")
-    pairs = {1995: 1998, 1996: 2000, 1997: 1995, 1998: 1999, 1999: 1997, 2000: 1996}
-    donor = F.create_map(*(F.lit(v) for kv in pairs.items() for v in kv))[F.col("year")]
+    # years are few, whatever the rows
+    order = Window.orderBy(F.md5(F.concat(F.lit("years|"), F.col("year").cast("string"))), "year")
+    o = s.select("year").distinct().select("year", F.row_number().over(order).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    m = o.select("year", (F.col("i") % F.col("n") + 1).alias("i")).join(o.select(F.col("year").alias("donor"), "i"), "i").select("year", "donor")
     b = s.select("cell", F.col("year").alias("donor"), "doy", F.col("x").alias("moved"))
-    return s.where(F.col("year").isin(*pairs)).withColumn("donor", donor).join(b, ["cell", "donor", "doy"]).select("cell", "year", "doy", "moved", F.col("x").alias("kept"))
+    return s.join(F.broadcast(m), "year").join(b, ["cell", "donor", "doy"], "left").select("cell", "year", "doy", "moved", F.col("x").alias("kept"))
 
 
 @query("derived_meteorology", """WITH m AS (SELECT event_id, value / 4.0 AS t, value / 4.0 - (event_id % 11) AS d, 1000.0 - (event_id % 30) AS p, CAST(event_id % 7 AS DOUBLE) - 3 AS u, CAST(event_id % 5 AS DOUBLE) - 2 AS v FROM events),

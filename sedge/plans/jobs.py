@@ -86,5 +86,5 @@ def gate(spark, lengths=(2048, 8766), noise=(0.0, 0.2), repetitions=10, replicat
 
 @query("gate_controls")
 def gate_controls(spark, sf_dir):
-    """Control series against surrogates, rejection shares by kind, length and noise."""
+    """Control series against surrogates, rejection shares by kind, length and noise."""
     return gate(spark)

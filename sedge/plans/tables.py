@@ -172,7 +172,7 @@ def assembled_cell_table(spark, sf_dir):
 @query("rejection_summary", """WITH t AS (SELECT l_returnflag AS variable, l_linenumber AS descriptor, l_suppkey AS cell, percent_rank() OVER (PARTITION BY l_returnflag, l_linenumber ORDER BY avg(l_extendedprice)) AS p, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)
     SELECT variable, descriptor, round(avg(CASE WHEN p <= 0.05 + 1e-9 THEN 1.0 ELSE 0 END), 6) + 0.0 AS rejected, round(median(v), 6) + 0.0 AS mid, arg_max(cell, round(v, 9) * 1000000 - cell) AS top FROM t GROUP BY 1, 2""")
 def rejection_summary(spark, sf_dir):
-    """Shares rejected with a tolerance, medians, the leading cell."""
+    """Shares rejected with a tolerance, medians, the leading cell."""
     g = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("variable"), F.col("l_linenumber").alias("descriptor"), F.col("l_suppkey").alias("cell")).agg(F.avg("l_extendedprice").alias("e"), F.avg("l_quantity").alias("v"))
     t = g.withColumn("p", F.percent_rank().over(Window.partitionBy("variable", "descriptor").orderBy("e")))
     return t.groupBy("variable", "descriptor").agg(r6(F.avg(F.when(F.col("p") <= 0.05 + 1e-9, 1.0).otherwise(0.0)), "rejected"), r6(F.percentile("v", 0.5), "mid"), F.max_by("cell", F.round("v", 9) * 1000000 - F.col("cell")).alias("top"))

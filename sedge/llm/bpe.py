@@ -33,7 +33,7 @@ from tokenizers import Tokenizer
 from sedge.llm.common import _CACHES, freed
 
 #: Words that the automaton's and the library's codec remember before the older half goes; bounds memory (about 500 bytes a word), never changes results.
-CODEC_WORDS, LIBRARY_WORDS = 150_000, 60_000
+CODEC_WORDS, LIBRARY_WORDS = 150_000, 150_000
 #: Transitions that the table holds before it is begun anew (about 300 bytes each); likewise.
 TABLE_STEPS = 400_000
 #: The part of an entry of a state that is the trie node.
@@ -285,7 +285,7 @@ def codec(path: str) -> Codec:
 
 @lru_cache(maxsize=1)
 def library(path: str) -> Library:
-    """Quickly made, so that a worker keeps it no longer than a task."""
+    """Kept with its words until a task of an operator that gives memory back ends in this worker."""
     return Library(path)
 
 

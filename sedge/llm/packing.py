@@ -55,7 +55,8 @@ def pieces(docs: DataFrame, path: str, width: int = WIDTH) -> DataFrame:
                     seen[n] += 1
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(row), pa.int32()), pa.array(nth, pa.int64())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(freed(run), f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    # not freed: the words of one task serve the next
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
 def patterns(histogram: np.ndarray, width: int) -> np.ndarray:

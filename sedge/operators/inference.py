@@ -79,3 +79,26 @@ def pair_slopes(rows: DataFrame, by: Sequence[str], t: str, x: str) -> DataFrame
     ties = F.expr("aggregate(array_distinct(transform(p, a -> a.x)), 0D, (s, v) -> s + size(filter(p, a -> a.x = v)) * (size(filter(p, a -> a.x = v)) - 1) * (2 * size(filter(p, a -> a.x = v)) + 5))")
     n = F.col("n")
     return g.select(*by, "n", mid.alias("slope"), F.col("_s").alias("s"), ((n * (n - 1) * (2 * n + 5) - ties) / 18).alias("variance"))
+
+
+#: A standard normal value is farther from 0 with a chance of 5 %.
+Z95 = 1.959963984540054
+
+
+def autocorrelated_trend(rows: DataFrame, by: Sequence[str], t: str, x: str) -> DataFrame:
+    """pair_slopes() and the factor by which autocorrelation widens the variance of S, after Hamed and Rao (1998).
+
+    The ranks of what the median slope leaves are correlated with themselves
+    at lags of 1 to n - 3; only lags beyond 1.96 / sqrt(n) count. Series are
+    short, as there, so the lags are an expression on one bounded array.
+    """
+    slopes = pair_slopes(rows, by, t, x)
+    left = rows.where(F.col(x).isNotNull()).join(slopes.select(*by, "slope"), list(by)).withColumn("_r", F.round(F.col(x) - F.coalesce("slope", F.lit(0.0)) * F.col(t), 9))
+    ranked = left.withColumn("_c", average_rank("_r", *by)).groupBy(*by).agg(F.expr(f"transform(sort_array(collect_list(struct({t}, _c))), v -> v._c - (count(1) + 1) / 2D)").alias("_c"))
+    n = F.expr("size(_c)")
+    product = "aggregate(sequence(0, size(_c) - 1 - k), 0D, (a, i) -> a + _c[i] * _c[i + k]) / _square"
+    counts = f"aggregate(sequence(1, size(_c) - 3), 0D, (s, k) -> s + case when abs({product}) > {Z95} / sqrt(size(_c)) then (size(_c) - k) * (size(_c) - k - 1) * (size(_c) - k - 2) * {product} else 0D end)"
+    squared = ranked.withColumn("_square", F.expr("aggregate(_c, 0D, (a, v) -> a + v * v)"))
+    total = F.when((n >= 4) & (F.col("_square") > 0), F.expr(counts)).otherwise(0.0)
+    ratio = F.when(n >= 3, F.greatest(1 + 2 * total / (n * (n - 1) * (n - 2)), F.lit(1e-6))).otherwise(1.0)
+    return slopes.join(squared.select(*by, ratio.alias("ratio")), list(by))

@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sedge.functions import calendar
+from sedge.operators import diagnostics as G
 from sedge.operators import events as E
 from sedge.operators import inference as I
 from sedge.operators import resampling as B
 from sedge.operators import series as S
 from sedge.operators import summaries as M
-from sedge.plans.base import CELL, DENSE, dense, r6
+from sedge.plans.base import CELL, DENSE, dense, r6, totals
 from sedge.plans.events import _DELTA, _deltas
 from sedge.plans.registry import query
 from sedge.plans.statistics import _SUPP, _supp
@@ -169,3 +170,20 @@ def rates_of_selected_tests(spark, sf_dir):
     seen = F.when(F.col("descriptor") <= F.when(F.col("variable") == "R", 2).otherwise(4), F.lit("cells"))
     u = t.withColumn("kind", F.explode(F.array_compact(F.array(seen, F.when(F.col("descriptor") == 5, F.lit("null"))))))
     return u.groupBy("kind", "variable").agg(F.count(F.lit(1)).alias("tests"), r6(F.avg(F.when(F.round("p", 9) <= 0.045, 1.0).otherwise(0.0)), "rate"))
+
+
+_LAGS = " + ".join(f"{1 - i / 15!r} * coalesce(lag(s, {i}) OVER w, 0.0)" for i in range(1, 15))
+
+
+@query("stationarity_blocks", f"""WITH {DENSE}, t AS (SELECT cell, day, coalesce(x, 0.0) AS x, (row_number() OVER (PARTITION BY cell ORDER BY day) - 1) / CAST(count(*) OVER (PARTITION BY cell) - 1 AS DOUBLE) AS t, ntile(4) OVER (PARTITION BY cell ORDER BY day) AS block FROM dense),
+    f AS (SELECT cell, count(*) AS n, regr_slope(x, t) AS b, avg(x) AS mx, avg(t) AS mt, regr_sxx(x, t) AS tt, stddev_pop(x) AS sd, sum(pow(x - m, 2)) AS sq FROM (SELECT *, avg(x) OVER (PARTITION BY cell) AS m FROM t) GROUP BY 1),
+    u AS (SELECT t.cell, day, (t - mt) * (x - mx - b * (t - mt)) AS s, sum(x - mx) OVER (PARTITION BY t.cell ORDER BY day ROWS UNBOUNDED PRECEDING) AS cs FROM t JOIN f ON f.cell = t.cell),
+    l AS (SELECT cell, s, cs, {_LAGS} AS g FROM u WINDOW w AS (PARTITION BY cell ORDER BY day)), h AS (SELECT f.cell, any_value(n) AS n, any_value(b) AS change, any_value(b) / (sqrt(sum(s * (s + 2 * g))) / any_value(tt)) AS z, max(abs(cs)) / sqrt(any_value(sq) * any_value(n) / (any_value(n) - 1)) AS shift, any_value(sd) AS sd FROM l JOIN f ON f.cell = l.cell GROUP BY 1),
+    e AS (SELECT cell, block, x, x - avg(x) OVER (PARTITION BY cell, block) AS e, day FROM t), e1 AS (SELECT *, lag(e) OVER (PARTITION BY cell, block ORDER BY day) AS e1 FROM e), k AS (SELECT cell, block, avg(x) AS m, stddev_pop(x) AS sd, sum(e * e1) / sum(e * e) AS r FROM e1 GROUP BY 1, 2),
+    q AS (SELECT cell, max(sd) / min(sd) AS ratio, max(m) - min(m) AS mr, max(r) - min(r) AS ar FROM k GROUP BY 1), o AS (SELECT h.cell, n, change, {M.two_sided_normal_sql('z')} AS change_p, {G.kolmogorov_sql('shift')} AS shift_p, ratio, mr / sd AS mr, ar FROM h JOIN q ON q.cell = h.cell)
+    SELECT cell, n, round(change, 5) + 0.0 AS change, round(change_p, 5) + 0.0 AS change_p, round(shift_p, 5) + 0.0 AS shift_p, round(ratio, 5) + 0.0 AS deviation_ratio, round(mr, 5) + 0.0 AS mean_range, round(ar, 5) + 0.0 AS acf_range,
+    CAST(CAST(change_p < 0.05 AS INTEGER) + CAST(ratio > 1.5 AS INTEGER) + CAST(mr > 0.5 AS INTEGER) + CAST(ar > 0.25 AS INTEGER) AS INTEGER) AS alerts FROM o""")
+def stationarity_blocks(spark, sf_dir):
+    """Trend under autocorrelated errors, shift of the mean and differences of blocks of each cell's series: the part of the stationarity diagnostics that stationarity_cells lacks."""
+    out = G.block_diagnostics(totals(spark, sf_dir), CELL, "day", "x")
+    return out.select("cell", "n", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("change", "change_p", "shift_p", "deviation_ratio", "mean_range", "acf_range")), "alerts")

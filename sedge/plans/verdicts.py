@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sedge.functions import calendar
 from sedge.operators import diagnostics as G
 from sedge.operators import events as E
+from sedge.operators import forecasts as P
 from sedge.operators import inference as I
 from sedge.operators import resampling as B
 from sedge.operators import series as S
@@ -187,3 +188,10 @@ def stationarity_blocks(spark, sf_dir):
     """Trend under autocorrelated errors, shift of the mean and differences of blocks of each cell's series: the part of the stationarity diagnostics that stationarity_cells lacks."""
     out = G.block_diagnostics(totals(spark, sf_dir), CELL, "day", "x")
     return out.select("cell", "n", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("change", "change_p", "shift_p", "deviation_ratio", "mean_range", "acf_range")), "alerts")
+
+
+@query("smap_by_horizon")
+def smap_by_horizon(spark, sf_dir):
+    """Locally weighted linear forecasts 1, 3 and 7 days on against the linear map, staying and the mean, p adjusted over the cells of a horizon."""
+    gains = P.horizon_gains(P.forecast_errors(totals(spark, sf_dir), CELL, "day", "x", 3, 1, 7), CELL)
+    return I.adjusted(gains, ["horizon"], "p").drop("holm").withColumnRenamed("bh", "q")

@@ -68,7 +68,7 @@ def forecast_errors(series: DataFrame, cell: Sequence[str], order: str, x: str,
 
 
 def horizon_gains(errors: DataFrame, cell: Sequence[str]) -> DataFrame:
-    """By cell and horizon: the theta of least fit error (the least such), errors of its forecasts, of the linear map, of staying and of the mean, gain over the linear map, and the one-sided test that it errs less.
+    """By cell and horizon: the theta of least fit error (the least such), errors of its forecasts, of the linear map, of staying and of 0 (an anomaly's normal), gain over the linear map, and the one-sided test that it errs less.
 
     The test is Diebold and Mariano's with the autocovariances of horizon - 1
     lags, none of them where their sum isn't positive; with theta 0 its p is 1.
@@ -85,13 +85,13 @@ def horizon_gains(errors: DataFrame, cell: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("at")
     lagged = sum((F.when(F.col("horizon") > i, F.coalesce(F.lag("_c", i).over(w), F.lit(0.0))).otherwise(0.0) for i in range(1, max(HORIZONS))), F.lit(0.0))
     g = d.withColumn("_l", lagged).groupBy(*keys, "theta").agg(
-        F.count(F.lit(1)).alias("n"), rmse("error").alias("rmse"), rmse("linear").alias("rmse_linear"), rmse("step").alias("rmse_step"), rmse("target").alias("rmse_mean"),
+        F.count(F.lit(1)).alias("n"), rmse("error").alias("rmse"), rmse("linear").alias("rmse_linear"), rmse("step").alias("rmse_step"), rmse("target").alias("rmse_normal"),
         F.avg("_d").alias("_m"), F.avg(F.col("_c") * F.col("_c")).alias("_v0"), F.avg(F.col("_c") * (F.col("_c") + 2 * F.col("_l"))).alias("_v"),
     )
     v = F.when(F.col("_v") > 0, F.col("_v")).when(F.col("_v0") > 0, F.col("_v0"))
     g = g.withColumn("dm", F.when(F.col("theta") > 0, F.col("_m") / F.sqrt(v / F.col("n"))))
     p = F.expr(f"CASE WHEN dm IS NULL THEN 1.0 WHEN dm > 0 THEN {two_sided_normal_sql('dm')} / 2 ELSE 1 - {two_sided_normal_sql('dm')} / 2 END")
     out = g.withColumn("gain", F.when(F.col("rmse_linear") > 0, 1 - F.col("rmse") / F.col("rmse_linear"))).withColumn("p", p)
-    out = out.select(*keys, "theta", "n", "rmse", "rmse_linear", "rmse_step", "rmse_mean", "gain", "dm", "p")
+    out = out.select(*keys, "theta", "n", "rmse", "rmse_linear", "rmse_step", "rmse_normal", "gain", "dm", "p")
     failed = errors.where("stage = 'error'").select(*keys)
     return out.unionByName(failed, allowMissingColumns=True)

@@ -192,6 +192,7 @@ def stationarity_blocks(spark, sf_dir):
 
 @query("smap_by_horizon")
 def smap_by_horizon(spark, sf_dir):
-    """Locally weighted linear forecasts 1, 3 and 7 days on against the linear map, staying and the mean, p adjusted over the cells of a horizon."""
-    gains = P.horizon_gains(P.forecast_errors(totals(spark, sf_dir), CELL, "day", "x", 3, 1, 7), CELL)
+    """Locally weighted linear forecasts of standardised anomalies 1, 3 and 7 days on against the linear map, staying and the seasonal normal, p adjusted over the cells of a horizon."""
+    z = S.mean_square_anomaly(totals(spark, sf_dir), CELL, F.lit(True), "x", 15).select("cell", "day", "z")
+    gains = P.horizon_gains(P.forecast_errors(z, CELL, "day", "z", 3, 1, 7), CELL)
     return I.adjusted(gains, ["horizon"], "p").drop("holm").withColumnRenamed("bh", "q")

@@ -27,3 +27,17 @@ OP8 = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[])
     links AS (SELECT p.id AS a, q.id AS b FROM ok p JOIN ok q ON q.id > p.id AND list_cosine_similarity(p.e, q.e) >= 0.9), {_REACH},
     n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY 1)
     SELECT nodes.id AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, component_id = nodes.id AS kept FROM nodes JOIN comp ON comp.id = nodes.id LEFT JOIN n ON n.id = nodes.id"""
+
+OP11 = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+    w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p), total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+    g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w CROSS JOIN (SELECT unnest(range(1, 6)) AS k)),
+    f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+    c AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+    s AS (SELECT c.lang, c.phrase, c.k, c.f AS a, j, x.f AS l, y.f AS r, n, 1000::HUGEINT * c.f * n // (x.f::HUGEINT * y.f) AS score
+        FROM c CROSS JOIN (SELECT unnest(range(1, 5)) AS j) JOIN f x ON x.lang = c.lang AND x.k = j AND x.phrase = array_to_string(w[1:j], ' ')
+        JOIN f y ON y.lang = c.lang AND y.k = c.k - j AND y.phrase = array_to_string(w[j + 1:], ' ') JOIN total t ON t.lang = c.lang WHERE j < c.k),
+    b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS pos FROM s),
+    inner_ AS (SELECT DISTINCT c.lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, c.f FROM c CROSS JOIN (SELECT unnest(range(2, 5)) AS m) CROSS JOIN (SELECT unnest(range(1, 5)) AS i) WHERE m < c.k AND i + m - 1 <= c.k),
+    o AS (SELECT b.* FROM b ANTI JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase AND i.f >= b.a WHERE pos = 1),
+    q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+    SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM q WHERE rank <= 2000"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedge.llm import bpe, dedup, embeddings, htmltext, langid, oracles, packing, pii, quality, shard, toxicity
+from sedge.llm import bpe, collocations, dedup, embeddings, htmltext, langid, licenses, oracles, packing, periodic, pii, quality, shard, toxicity
 from sedge.llm.common import table
 
 SHARDS = 24
@@ -53,5 +53,17 @@ def op10_html_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_pair_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_fuzzy_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+def op13_kolpakov_kucherov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.with_tails(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for k, v in list(globals().items()) if k.startswith("op") and callable(v)}
-SQL: dict[str, str] = {"op1_minmax_dedup": oracles.OP1, "op6_rendezvous_sharding": oracles.OP6, "op8_nn_descent": oracles.OP8}
+SQL: dict[str, str] = {"op1_minmax_dedup": oracles.OP1, "op6_rendezvous_sharding": oracles.OP6, "op8_nn_descent": oracles.OP8, "op11_pair_naming": oracles.OP11}

@@ -19,15 +19,14 @@ def snapped(x: Column, step: float, up: bool = False) -> Column:
     return (F.ceil(x / step) if up else F.floor(x / step)) * F.lit(step)
 
 
-def grid(spark, north: float, west: float, south: float, east: float, step: float) -> DataFrame:
-    """Cells centred on multiples of step that meet a box, clipped to it: centre, edges, share of the full cell that is inside."""
-    lats = spark.range(math.ceil(south / step - 0.5), math.floor(north / step + 0.5) + 1).select((F.col("id") * step).alias("lat"))
-    lons = spark.range(math.ceil(west / step - 0.5), math.floor(east / step + 0.5) + 1).select((F.col("id") * step).alias("lon"))
+def grid(boxes: DataFrame, step: float) -> DataFrame:
+    """Cells centred on multiples of step that meet each box (south, north, west, east), clipped to it: centre, edges, share of the full cell that is inside."""
+    centres = lambda lo, hi: F.explode(F.sequence(F.ceil(F.col(lo) / step - 0.5), F.floor(F.col(hi) / step + 0.5)))
     half = step / 2
-    g = lats.crossJoin(F.broadcast(lons))
-    g = g.select("lat", "lon", F.greatest(F.col("lat") - half, F.lit(south)).alias("south"), F.least(F.col("lat") + half, F.lit(north)).alias("north"), F.greatest(F.col("lon") - half, F.lit(west)).alias("west"), F.least(F.col("lon") + half, F.lit(east)).alias("east"))
+    g = boxes.withColumn("_i", centres("south", "north")).withColumn("_j", centres("west", "east")).withColumn("lat", F.col("_i") * step).withColumn("lon", F.col("_j") * step)
+    edges = {"south": F.greatest(F.col("lat") - half, "south"), "north": F.least(F.col("lat") + half, "north"), "west": F.greatest(F.col("lon") - half, "west"), "east": F.least(F.col("lon") + half, "east")}
     share = (F.col("north") - F.col("south")) * (F.col("east") - F.col("west")) / (step * step)
-    return g.where("north > south and east > west").withColumn("share", share)
+    return g.withColumns(edges).drop("_i", "_j").where("north > south and east > west").withColumn("share", share)
 
 
 def zone_area(lat: Column) -> Column:

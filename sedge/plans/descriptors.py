@@ -132,10 +132,3 @@ def false_nearest_neighbours(spark, sf_dir):
     sd = s.agg(F.stddev_pop("a").alias("sd"))
     false = (F.col("d") > 0) & ((F.col("g") / F.col("d") > 10) | (F.hypot("d", "g") > 2 * F.col("sd")))
     return near.crossJoin(F.broadcast(sd)).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.when(false, 1.0).otherwise(0.0)), "share"))
-
-
-@query("logistic_map_series", "WITH RECURSIVE m(i, x) AS (SELECT 0, CAST(0.3 AS DOUBLE) UNION ALL SELECT i + 1, 3.9 * x * (1 - x) FROM m WHERE i < 15) SELECT i, round(x, 6) + 0.0 AS x FROM m")
-def logistic_map_series(spark, sf_dir):
-    """An iterated map as a fold over a sequence."""
-    fold = F.aggregate(F.sequence(F.lit(1), F.lit(15)), F.array(F.lit(0.3).cast("double")), lambda acc, _: F.concat(acc, F.array(F.lit(3.9) * F.element_at(acc, -1) * (1 - F.element_at(acc, -1)))))
-    return spark.range(1).select(F.posexplode(fold).alias("i", "x")).select("i", r6("x", "x"))

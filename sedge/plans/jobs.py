@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sedge.kernels import dynamics as D
 from sedge.kernels import surrogates as G
-from sedge.kernels import synthetic as K
 from sedge.operators import inference as I
 from sedge.operators import series_tests as T
 from sedge.plans.base import CELL, totals
@@ -64,27 +63,3 @@ def ccm_pairs(spark, sf_dir):
         return {"a_from_b_100": D.cross_map(y, x, 3, 1, 7, 100), "a_from_b": D.cross_map(y, x, 3, 1, 7), "b_from_a_100": D.cross_map(x, y, 3, 1, 7, 100), "b_from_a": D.cross_map(x, y, 3, 1, 7)}
 
     return T.per_series(pairs, ["pair"], "day", ["xa", "xb"], skill, ["a_from_b_100", "a_from_b", "b_from_a_100", "b_from_a"])
-
-
-def gate(spark, lengths=(2048, 8766), noise=(0.0, 0.2), repetitions=10, replicates=39):
-    """Rejection shares of control series by kind, length and noise; a series is a task."""
-    import pandas as pd
-
-    tasks = [(kind, n, level, rep) for kind in K.KINDS for n in lengths for level in noise for rep in range(repetitions)]
-
-    def run(batches):
-        for pdf in batches:
-            for task in pdf["id"]:
-                kind, n, level, rep = tasks[task]
-                x = K.noisy(K.control(kind, n, T.seed_of(7, kind, n, rep)), level, np.random.default_rng(T.seed_of(9, kind, n, level, rep)))
-                rows = T.surrogate_rows(x, lambda y: {"error": D.prediction_error(y, 3, 1, 5)}, replicates, T.seed_of(8, kind, n, level, rep), side="less")
-                yield pd.DataFrame([{"kind": kind, "length": n, "noise": level, "rep": rep, "pvalue": r["pvalue"], "z": r["z"]} for r in rows])
-
-    rows = spark.range(0, len(tasks), 1, len(tasks)).mapInPandas(run, "kind string, length int, noise double, rep int, pvalue double, z double")
-    return rows.groupBy("kind", "length", "noise").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("pvalue") <= 0.05 + 1e-9, 1.0).otherwise(0.0)).alias("rate"), F.percentile("z", 0.5).alias("z"))
-
-
-@query("gate_controls")
-def gate_controls(spark, sf_dir):
-    """Control series against surrogates, rejection shares by kind, length and noise."""
-    return gate(spark)

@@ -185,10 +185,11 @@ def two_source_reconciliation(spark, sf_dir):
     return g.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.abs(d) < 1e-9, 1)).alias("same"), (F.round(F.max(F.abs(d)), 2) + F.lit(0.0)).alias("max_abs"), (F.round(F.avg(d), 3) + F.lit(0.0)).alias("bias"), F.bool_and(F.abs(d) <= 0.01 + 0.1 * F.abs("o_totalprice")).alias("within"))
 
 
-@query("request_plan", """WITH m AS (SELECT unnest(generate_series(TIMESTAMP '1999-11-01', TIMESTAMP '2000-03-01', INTERVAL 1 MONTH)) AS m) SELECT CAST(m AS DATE) AS month, g AS part, CAST(dayofmonth(last_day(m)) AS INTEGER) AS days, substr(sha256(strftime(m, '%Y-%m') || '|' || g), 1, 20) AS key FROM m CROSS JOIN (VALUES ('instant'), ('total')) v(g)""")
+@query("request_plan", """WITH d AS (SELECT date_trunc('month', o_orderdate) AS m FROM orders), m AS (SELECT unnest(generate_series(CAST(min(m) AS TIMESTAMP), CAST(max(m) AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM d) SELECT CAST(m AS DATE) AS month, g AS part, CAST(dayofmonth(last_day(m)) AS INTEGER) AS days, substr(sha256(strftime(m, '%Y-%m') || '|' || g), 1, 20) AS key FROM m CROSS JOIN (VALUES ('instant'), ('total')) v(g)""")
 def request_plan(spark, sf_dir):
-    """A request for each month and group of variables, with a key of its content."""
-    m = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit("1999-11-01")), F.to_date(F.lit("2000-03-01")), F.expr("interval 1 month"))).alias("month"))
+    """A request for each month of the orders' span and group of variables, with a key of its content."""
+    span = read(spark, sf_dir, "orders", ["o_orderdate"]).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    m = span.select(F.explode(F.sequence(F.to_date(F.date_trunc("month", "a")), F.to_date(F.date_trunc("month", "b")), F.expr("interval 1 month"))).alias("month"))
     rows = m.withColumn("part", F.explode(F.array(F.lit("instant"), F.lit("total"))))
     return rows.select("month", "part", F.dayofmonth(F.last_day("month")).alias("days"), F.substring(F.sha2(F.concat_ws("|", F.date_format("month", "yyyy-MM"), "part"), 256), 1, 20).alias("key"))
 

@@ -28,11 +28,13 @@ def grid_keys_and_point_counts(spark, sf_dir):
     return g.groupBy("i", "j").agg(F.count(F.lit(1)).alias("points"), F.count(F.when(F.col("x") > 0, 1)).alias("positive")).withColumn("id", P.cell_id(F.col("i") * 0.5, F.col("j") * 0.5))
 
 
-@query("clipped_grid", """WITH a AS (SELECT i * 0.25 AS lat FROM (SELECT unnest(range(-15, -8)) AS i)), o AS (SELECT j * 0.25 AS lon FROM (SELECT unnest(range(-224, -216)) AS j)),
-    c AS (SELECT lat, lon, greatest(lat - 0.125, -3.75) AS south, least(lat + 0.125, -2.25) AS north, greatest(lon - 0.125, -56.0) AS west, least(lon + 0.125, -54.25) AS east FROM a CROSS JOIN o) SELECT lat, lon, round((north - south) * (east - west) / 0.0625, 6) + 0.0 AS share FROM c WHERE north > south AND east > west""")
+@query("clipped_grid", f"""WITH {_GRID}, b AS (SELECT min(lat) - 0.3 AS south, max(lat) + 0.2 AS north, min(lon) - 0.3 AS west, max(lon) + 0.2 AS east FROM g),
+    a AS (SELECT *, unnest(generate_series(CAST(ceil(south / 0.25 - 0.5) AS BIGINT), CAST(floor(north / 0.25 + 0.5) AS BIGINT))) * 0.25 AS lat FROM b), o AS (SELECT unnest(generate_series(CAST(ceil(west / 0.25 - 0.5) AS BIGINT), CAST(floor(east / 0.25 + 0.5) AS BIGINT))) * 0.25 AS lon FROM b),
+    c AS (SELECT lat, lon, greatest(lat - 0.125, south) AS south, least(lat + 0.125, north) AS north, greatest(lon - 0.125, west) AS west, least(lon + 0.125, east) AS east FROM a CROSS JOIN o) SELECT lat, lon, round((north - south) * (east - west) / 0.0625, 6) + 0.0 AS share FROM c WHERE north > south AND east > west""")
 def clipped_grid(spark, sf_dir):
-    """Cells over a box, clipped to it."""
-    return P.grid(spark, -2.25, -56.0, -3.75, -54.25, 0.25).select("lat", "lon", r6("share", "share"))
+    """Cells over the box that the suppliers span, clipped to it."""
+    box = _grid(spark, sf_dir).agg((F.min("lat") - 0.3).alias("south"), (F.max("lat") + 0.2).alias("north"), (F.min("lon") - 0.3).alias("west"), (F.max("lon") + 0.2).alias("east"))
+    return P.grid(box, 0.25).select("lat", "lon", r6("share", "share"))
 
 
 _ZONE = "(sin(radians({x})) / (1 - 8.18191908426215e-2 * 8.18191908426215e-2 * sin(radians({x})) * sin(radians({x}))) + ln((1 + 8.18191908426215e-2 * sin(radians({x}))) / (1 - 8.18191908426215e-2 * sin(radians({x})))) / (2 * 8.18191908426215e-2)) * (6.378137e3 * 6.378137e3 * (1 - 8.18191908426215e-2 * 8.18191908426215e-2) / 2) * (pi() / 180)"
@@ -45,15 +47,15 @@ def ellipsoid_pixel_area(spark, sf_dir):
     return _grid(spark, sf_dir).select("k", (F.round(area, 5) + F.lit(0.0)).alias("km2"))
 
 
-@query("overlap_weighted_cell_mean", f"""WITH {_GRID}, c AS (SELECT i * 0.6 AS south, j * 0.6 AS west FROM (SELECT unnest(range(0, 5)) AS i) CROSS JOIN (SELECT unnest(range(0, 5)) AS j)),
-    w AS (SELECT c.south, c.west, g.x, greatest(least(c.south + 0.6, g.lat + 0.25) - greatest(c.south, g.lat), 0) * greatest(least(c.west + 0.6, g.lon + 0.25) - greatest(c.west, g.lon), 0) * cos(radians(g.lat)) AS w FROM c CROSS JOIN g)
-    SELECT round(south, 6) + 0.0 AS south, round(west, 6) + 0.0 AS west, round(sum(w * x) / sum(w), 5) + 0.0 AS mean FROM w WHERE w > 1e-12 GROUP BY 1, 2""")
+@query("overlap_weighted_cell_mean", f"""WITH {_GRID}, e AS (SELECT *, unnest(generate_series(CAST(floor((lat + 1e-9) / 0.6) AS BIGINT), CAST(floor((lat + 0.25 - 1e-9) / 0.6) AS BIGINT))) AS i FROM g),
+    c AS (SELECT *, unnest(generate_series(CAST(floor((lon + 1e-9) / 0.6) AS BIGINT), CAST(floor((lon + 0.25 - 1e-9) / 0.6) AS BIGINT))) AS j FROM e),
+    w AS (SELECT i, j, x, greatest(least(i * 0.6 + 0.6, lat + 0.25) - greatest(i * 0.6, lat), 0) * greatest(least(j * 0.6 + 0.6, lon + 0.25) - greatest(j * 0.6, lon), 0) * cos(radians(lat)) AS w FROM c)
+    SELECT round(i * 0.6, 6) + 0.0 AS south, round(j * 0.6, 6) + 0.0 AS west, round(sum(w * x) / sum(w), 5) + 0.0 AS mean FROM w WHERE w > 1e-12 GROUP BY i, j""")
 def overlap_weighted_cell_mean(spark, sf_dir):
     """Means of pixels over cells, by the area they share.
 
     A pixel knows the cells it can meet (its own and the next ones), so pixels
-    are exploded by a bounded number and joined on nothing. All cells that a
-    pixel meets are there; the SQL twin has only the five by five at the origin.
+    are exploded by a bounded number and joined on nothing.
     """
     lo = lambda c: F.floor((F.col(c) + 1e-9) / 0.6)
     hi = lambda c: F.floor((F.col(c) + 0.25 - 1e-9) / 0.6)

@@ -1,4 +1,4 @@
-"""Surrogates of several kinds and their errors, exponents and dimensions, realistic nulls: kernels on series of bounded length, dealt by cell and replicate.
+"""Surrogates of several kinds and their errors, exponents and dimensions, fits of realistic nulls: kernels on series of bounded length, dealt by cell and replicate.
 
 Rows only: the tests hold each against known answers.
 """
@@ -6,12 +6,11 @@ Rows only: the tests hold each against known answers.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from sedge.kernels import dynamics as D
 from sedge.kernels import surrogates as G
-from sedge.kernels import synthetic as K
+from sedge.kernels import fits as K
 from sedge.operators import series_tests as T
 from sedge.plans.base import CELL, totals
 from sedge.plans.registry import query
@@ -34,25 +33,6 @@ def surrogate_kind_errors(spark, sf_dir):
     return rows.where("replicate > 0").groupBy(*CELL, "descriptor").agg(F.avg("value").alias("mean"), F.max("value").alias("greatest"), F.count("value").alias("n"), F.max("error").alias("error"))
 
 
-@query("cross_surrogate_errors")
-def cross_surrogate_errors(spark, sf_dir):
-    """Surrogates of all cells together, by shared phases and by aligned phases and ranks: errors of spectra and of correlations at 30 lags both ways."""
-    days = totals(spark, sf_dir).groupBy("day").agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "x"))), lambda s: s["x"]).alias("x"))
-    whole = days.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("day", "x"))), lambda s: s["x"]).alias("x"))  # a row a day: bounded by the period
-    copies = whole.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(REPLICATES)))).repartition(REPLICATES, "replicate")
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r, x in zip(pdf["replicate"], pdf["x"], strict=True):
-                x = np.array([list(v) for v in x], float)
-                for kind, make in (("shared", G.shared_phases), ("aligned", G.aligned_phases)):
-                    rows.append({"replicate": r, "kind": kind, **G.cross_errors(x, make(x, T.replicate_stream(5, int(r))))})
-            yield pd.DataFrame(rows, columns=["replicate", "kind", "spectral_error", "cross_error"])
-
-    return copies.mapInPandas(run, "replicate int, kind string, spectral_error double, cross_error double")
-
-
 @query("exponents_and_dimension_cells")
 def exponents_and_dimension_cells(spark, sf_dir):
     """Divergence curve (its ends), its slope and r squared, quantiles of pair distances, the radius of a recurrence rate, the correlation dimension in three to five dimensions."""
@@ -69,17 +49,14 @@ def exponents_and_dimension_cells(spark, sf_dir):
     return T.per_series(totals(spark, sf_dir), CELL, "day", ["x"], measure, names)
 
 
-@query("realistic_null_rates")
-def realistic_null_rates(spark, sf_dir):
-    """Each cell's fit (with its GARCH parameters), and a series of each realistic null from it: lag-one correlation and ordinal entropy."""
+@query("realistic_null_fits")
+def realistic_null_fits(spark, sf_dir):
+    """What the realistic nulls need of each cell: lag-one correlation over all and by quarter, trend, the regimes around the median, GARCH parameters."""
 
     def measure(x: np.ndarray) -> dict[str, float]:
         fit = K.realistic_fit(x)
-        out = {"phi": fit["phi"], "slope": fit["slope"], "alpha": fit["alpha"], "beta": fit["beta"]}
-        for n, kind in enumerate(K.REALISTIC):
-            y = K.realistic(kind, fit, len(x), np.random.default_rng(100 + n))
-            out |= {f"{kind}_lag1": float(np.corrcoef(y[:-1], y[1:])[0, 1]), f"{kind}_entropy": D.entropy_complexity(D.ordinal_counts(y, 4))[0]}
-        return out
+        low, high = fit["regimes"]
+        return {"phi": fit["phi"], **{f"phi_q{k + 1}": v for k, v in enumerate(fit["by_quarter"])}, "slope": fit["slope"], "alpha": fit["alpha"], "beta": fit["beta"], "phi_low": low[1], "phi_high": high[1], "threshold": fit["threshold"]}
 
-    names = ["phi", "slope", "alpha", "beta", *(f"{k}_{m}" for k in K.REALISTIC for m in ("lag1", "entropy"))]
+    names = ["phi", *(f"phi_q{k}" for k in range(1, 5)), "slope", "alpha", "beta", "phi_low", "phi_high", "threshold"]
     return T.per_series(totals(spark, sf_dir), CELL, "day", ["x"], measure, names)

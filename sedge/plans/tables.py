@@ -186,10 +186,10 @@ def holm_of_tests(spark, sf_dir):
     return I.adjusted(t, ["f"], "p").select("region", "method", "p", r6("holm", "holm"))
 
 
-@query("task_grid_with_seeds", "WITH g AS (SELECT kind, n, rep FROM (VALUES ('henon'), ('white')) a(kind) CROSS JOIN (VALUES (512), (1024)) b(n) CROSS JOIN (SELECT unnest(range(0, 3)) AS rep) c), h AS (SELECT *, sha256('gate|' || kind || '|' || CAST(n AS VARCHAR) || '|' || CAST(rep AS VARCHAR)) AS h FROM g) SELECT kind, CAST(n AS INTEGER) AS n, CAST(rep AS INTEGER) AS rep, CAST(('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)) AS BIGINT) AS seed FROM h")
+@query("task_grid_with_seeds", "WITH g AS (SELECT kind, n, rep FROM (SELECT DISTINCT p_type AS kind FROM part) a CROSS JOIN (VALUES (512), (1024)) b(n) CROSS JOIN (SELECT unnest(range(0, 3)) AS rep) c), h AS (SELECT *, sha256('gate|' || kind || '|' || CAST(n AS VARCHAR) || '|' || CAST(rep AS VARCHAR)) AS h FROM g) SELECT kind, CAST(n AS INTEGER) AS n, CAST(rep AS INTEGER) AS rep, CAST(('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)) AS BIGINT) AS seed FROM h")
 def task_grid_with_seeds(spark, sf_dir):
-    """A grid of tasks, each with the seed of its parts."""
-    g = spark.createDataFrame([("henon",), ("white",)], "kind string").withColumn("n", F.explode(F.array(F.lit(512), F.lit(1024)))).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    """A grid of tasks over the kinds that the parts table holds, each with the seed of its parts."""
+    g = read(spark, sf_dir, "part", ["p_type"]).select(F.col("p_type").alias("kind")).distinct().withColumn("n", F.explode(F.array(F.lit(512), F.lit(1024)))).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(2))))
     return g.withColumn("seed", seed_of(F.lit("gate"), F.col("kind"), F.col("n").cast("string"), F.col("rep").cast("string")))
 
 

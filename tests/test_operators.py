@@ -91,7 +91,7 @@ def test_tertiles_equal_pandas_qcut(spark):
 
 
 def test_grid_tiles_the_box(spark):
-    g = P.grid(spark, -2.25, -56.0, -3.75, -54.25, 0.25).toPandas()
+    g = P.grid(spark.createDataFrame([(-3.75, -2.25, -56.0, -54.25)], "south double, north double, west double, east double"), 0.25).toPandas()
     assert len(g) == 56
     assert ((g.north - g.south) * (g.east - g.west)).sum() == pytest.approx(2.625)
     assert g.share.min() * 0.0625 == pytest.approx(0.015625)

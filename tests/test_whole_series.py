@@ -34,14 +34,6 @@ def test_other_years_have_results(spark, late, name):
 
 
 def test_reference_counts(spark, late):
-    import inspect
-
-    from sedge.plans import jobs
-
-    assert {k: p.default for k, p in inspect.signature(jobs.gate).parameters.items() if k != "spark"} == {"lengths": (2048, 8766), "noise": (0.0, 0.2), "repetitions": 10, "replicates": 39}
-    got = jobs.gate(spark, (300, 500), (0.0, 0.2), 2, 39).toPandas()
-    assert len(got) == 7 * 4 and (got["n"] == 2).all()
-    assert (got[(got.kind == "logistic") & (got.noise == 0)]["rate"] == 1).all()
     suite = registry.QUERIES["surrogate_suite_cells"](spark, late).toPandas()
     assert suite["n_null"].max() == 39
 

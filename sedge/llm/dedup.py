@@ -109,9 +109,9 @@ def fingerprints(s: np.ndarray, bounds: np.ndarray, n: np.ndarray) -> np.ndarray
     return mix(segment_sums(mix(s), bounds) + n.astype(np.uint64)).view(np.int64)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, band keys and the signature's low bytes (null without words) of every whole text."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def features(rows: DataFrame) -> DataFrame:
+    """row, doc_id, text_hash, n_shingles, two fingerprints of the set, band keys and the signature's low bytes (null without words) of every whole text. rows: row, doc_id, text."""
+    id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
@@ -132,9 +132,11 @@ def features(docs: DataFrame) -> DataFrame:
             none = pa.array(n == 0)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()), mask=none)
             short = pa.array([None if k == 0 else x.tobytes() for k, x in zip(n, low, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.concatenate(one)), pa.array(np.concatenate(two)), listed, short], ["doc_id", "n_shingles", "fp", "fp2", "bands", "sig"])
+            made = [pa.array(n), pa.array(np.concatenate(one)), pa.array(np.concatenate(two)), listed, short]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], ["row", "doc_id", "text_hash", "n_shingles", "fp", "fp2", "bands", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(freed(run), f"doc_id {id_type}, n_shingles long, fp long, fp2 long, bands array<long>, sig binary")
+    kind = f"row long, doc_id {id_type}, text_hash long, n_shingles long, fp long, fp2 long, bands array<long>, sig binary"
+    return rows.select("row", "doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(freed(run), kind)
 
 
 def _bytes(column: pa.Array) -> np.ndarray:
@@ -143,7 +145,7 @@ def _bytes(column: pa.Array) -> np.ndarray:
 
 def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (src, dst) of classes whose signatures agree."""
-    one, two = classes.select(F.col("fp").alias("src"), F.col("sig").alias("a")), classes.select(F.col("fp").alias("dst"), F.col("sig").alias("b"))
+    one, two = classes.select(F.col("id").alias("src"), F.col("sig").alias("a")), classes.select(F.col("id").alias("dst"), F.col("sig").alias("b"))
 
     def run(batches):
         for b in batches:
@@ -154,12 +156,14 @@ def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def coarse(classes: DataFrame) -> DataFrame:
-    """(node, root) of classes that may be linked: a superset of the true components. classes: fp, bands, sig."""
-    rows = classes.select("fp", F.explode("bands").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low")).where("n > 1")
-    rows = keep(rows.join(sizes, "key").select("key", "fp", "n", "low"), "bands")
-    large = rows.where(F.col("n") > BUCKET).select(F.col("fp").alias("src"), F.col("low").alias("dst")).distinct()
-    members = rows.where(F.col("n") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("all"))
+    """(node, root) of classes that may be linked: a superset of the true components. classes: id, bands, sig."""
+    rows = classes.select("id", F.explode("bands").alias("key"))
+    sizes = keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).where("n > 1"), "buckets")
+    # a passage that very many texts share makes a bucket of as many rows: its rows are dealt over several parts
+    hot = hot_keys(sizes, "key", sizes.agg(F.sum("n")).first()[0] or 0)
+    rows = keep(spread_join(rows, sizes, "key", hot).select("key", "id", "n", "low"), "bands")
+    large = rows.where(F.col("n") > BUCKET).select(F.col("id").alias("src"), F.col("low").alias("dst")).distinct()
+    members = rows.where(F.col("n") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("all"))
     pairs = members.select(F.explode(F.expr("flatten(transform(all, (a, i) -> transform(slice(all, i + 2, size(all)), b -> struct(a as src, b as dst))))")).alias("p")).select("p.*")
     small = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED_BANDS).select("src", "dst")
     return components(large.unionAll(agreeing(small, classes)), "coarse")
@@ -220,30 +224,17 @@ def local_links(texts: list[str], left: np.ndarray | None = None) -> list[tuple[
     return out
 
 
-def _own_texts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row for each class (and mark), in order, with a text whose set has the class's fingerprint: a doc_id with several texts brings others along."""
-    batch = pa.RecordBatch.from_arrays([pa.array(pdf["text"].fillna("").tolist(), pa.large_string())], ["text"])
-    found = []
-    for _, _, data, offs in text_batches(batch):
-        s, doc = distinct(*shingles(data, offs))
-        bounds = segment_bounds(doc, len(offs) - 1)
-        found.append(fingerprints(s, bounds, np.diff(bounds)))
-    pdf = pdf[np.concatenate(found) == pdf["fp"].to_numpy()]
-    by = [c for c in ("fp", "rest") if c in pdf.columns]
-    return pdf.drop_duplicates(by).sort_values(by, kind="stable")
-
-
-def _table(fp: np.ndarray, links: list[tuple[int, int]]) -> pd.DataFrame:
-    out = pd.DataFrame({"src": fp[[a for a, _ in links]], "dst": fp[[b for _, b in links]]}, dtype="int64")
+def _table(ids: np.ndarray, links: list[tuple[int, int]]) -> pd.DataFrame:
+    out = pd.DataFrame({"src": ids[[a for a, _ in links]], "dst": ids[[b for _, b in links]]}, dtype="int64")
     return out[out.src != out.dst]
 
 
 def _chunk_links(texts: DataFrame, *by: str) -> DataFrame:
-    """Links among the rows of each chunk. texts: fp, text and the columns that name the chunk."""
+    """Links among the rows of each chunk. texts: id, text and the columns that name the chunk."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _own_texts(pdf)
-        return _table(pdf["fp"].to_numpy(), local_links(pdf["text"].tolist()) if len(pdf) else [])
+        pdf = pdf.sort_values("id")
+        return _table(pdf["id"].to_numpy(), local_links(pdf["text"].tolist()) if len(pdf) else [])
 
     return texts.groupBy(*by).applyInPandas(run, "src long, dst long")
 
@@ -252,30 +243,30 @@ def _rest_links(texts: DataFrame, *by: str) -> DataFrame:
     """Links of the rows marked `rest` with all rows of the chunk."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _own_texts(pdf)
+        pdf = pdf.sort_values(["id", "rest"])
         left = np.flatnonzero(pdf["rest"].to_numpy())
-        return _table(pdf["fp"].to_numpy(), local_links(pdf["text"].tolist(), left) if len(left) else [])
+        return _table(pdf["id"].to_numpy(), local_links(pdf["text"].tolist(), left) if len(left) else [])
 
     return texts.groupBy(*by).applyInPandas(run, "src long, dst long")
 
 
 def _candidate_chunks(rest: DataFrame, every: DataFrame) -> DataFrame:
-    """(root, fp, chunk): which chunks hold a class of another part whose signature agrees with that of a rest class.
+    """(root, id, chunk): which chunks hold a class of another part whose signature agrees with that of a rest class.
 
-    rest, every: root, fp, part, sig, every also chunk. Signatures meet in
+    rest, every: root, id, part, sig, every also chunk. Signatures meet in
     squares of GRID by GRID within their group.
     """
     blocks = lambda df, name: df.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / GRID).alias(name))
     counts = blocks(rest, "rests").join(blocks(every, "alls"), "root")
     # groups are few against their rows, and each row of either table goes to as many squares as the other has blocks
-    left = rest.join(counts, "root").select("root", F.pmod(F.xxhash64("fp", F.lit(4)), F.col("rests")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("alls") - 1)).alias("j"), F.lit(True).alias("rest"), "fp", "part", F.lit(0).cast("long").alias("chunk"), "sig")
-    right = every.join(counts, "root").select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("i"), F.pmod(F.xxhash64("fp", F.lit(5)), F.col("alls")).alias("j"), F.lit(False).alias("rest"), "fp", "part", "chunk", "sig")
+    left = rest.join(counts, "root").select("root", F.pmod(F.xxhash64("id", F.lit(4)), F.col("rests")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("alls") - 1)).alias("j"), F.lit(True).alias("rest"), "id", "part", F.lit(0).cast("long").alias("chunk"), "sig")
+    right = every.join(counts, "root").select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("i"), F.pmod(F.xxhash64("id", F.lit(5)), F.col("alls")).alias("j"), F.lit(False).alias("rest"), "id", "part", "chunk", "sig")
 
     def run(t: pa.Table) -> pa.Table:
         is_rest = t["rest"].to_numpy()
         at, other = np.flatnonzero(is_rest), np.flatnonzero(~is_rest)
         sig = _bytes(t["sig"].combine_chunks())
-        fp, part, chunk = t["fp"].to_numpy(), t["part"].to_numpy(), t["chunk"].to_numpy()
+        ids, part, chunk = t["id"].to_numpy(), t["part"].to_numpy(), t["chunk"].to_numpy()
         found = []
         theirs = np.ascontiguousarray(sig[other].T)
         for i in at:
@@ -283,89 +274,99 @@ def _candidate_chunks(rest: DataFrame, every: DataFrame) -> DataFrame:
             for k, mine in enumerate(sig[i]):
                 same += theirs[k] == mine
             hit = other[(same >= AGREE) & (part[other] != part[i])]
-            found += [(fp[i], c) for c in np.unique(chunk[hit])]
+            found += [(ids[i], c) for c in np.unique(chunk[hit])]
         out = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table({"root": np.full(len(out), t["root"][0].as_py() if t.num_rows else 0, np.int64), "fp": out[:, 0], "chunk": out[:, 1]})
+        return pa.table({"root": np.full(len(out), t["root"][0].as_py() if t.num_rows else 0, np.int64), "id": out[:, 0], "chunk": out[:, 1]})
 
-    return left.unionAll(right).groupBy("root", "i", "j").applyInArrow(run, "root long, fp long, chunk long").distinct()
+    return left.unionAll(right).groupBy("root", "i", "j").applyInArrow(run, "root long, id long, chunk long").distinct()
 
 
 def _salt(key: str, chunks: str, seed: int) -> F.Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.col(chunks))
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Confirmed links (src, dst) between classes, enough to span their components. classes: fp, doc_id, bands, sig."""
+def links(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Confirmed links (src, dst) between classes, enough to span their components. rows: row, text; classes: id (a row with the class's set), bands, sig."""
     groups = coarse(classes)
     sizes = keep(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     hot = hot_keys(sizes, "root", total)
-    members = spread_join(groups, sizes.select("root", F.ceil(F.col("n") / CHUNK).alias("chunks")), "root", hot).select(F.col("node").alias("fp"), "root", "chunks")
-    named = classes.select("fp", "doc_id").join(members, "fp")
-    texts = docs.select("doc_id", "text").join(named, "doc_id")
-    texts = keep(texts.select("root", "chunks", _salt("fp", "chunks", 1).alias("chunk"), "fp", "text"), "texts")
+    members = spread_join(groups, sizes.select("root", F.ceil(F.col("n") / CHUNK).alias("chunks")), "root", hot).select(F.col("node").alias("id"), "root", "chunks")
+    texts = rows.select(F.col("row").alias("id"), "text").join(members, "id")
+    texts = keep(texts.select("root", "chunks", _salt("id", "chunks", 1).alias("chunk"), "id", "text"), "texts")
     one = _chunk_links(texts, "root", "chunk")
     large = texts.where("chunks > 1")
     if large.isEmpty():
         return keep(one, "links")
-    two = _chunk_links(large.withColumn("chunk", _salt("fp", "chunks", 2)), "root", "chunk")
+    two = _chunk_links(large.withColumn("chunk", _salt("id", "chunks", 2)), "root", "chunk")
     found = keep(one.unionAll(two), "links")
     # what is outside of the largest component of a large group
     part = components(found, "inner")
-    ids = members.where("chunks > 1").select("root", _salt("fp", "chunks", 1).alias("chunk"), "fp").join(part.select(F.col("node").alias("fp"), F.col("root").alias("part")), "fp", "left").withColumn("part", F.coalesce("part", "fp"))
-    ids = keep(ids.join(classes.select("fp", "sig"), "fp").select("root", "chunk", "fp", "part", "sig"), "parts")
+    ids = members.where("chunks > 1").select("root", _salt("id", "chunks", 1).alias("chunk"), "id").join(part.select(F.col("node").alias("id"), F.col("root").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    ids = keep(ids.join(classes.select("id", "sig"), "id").select("root", "chunk", "id", "part", "sig"), "parts")
     counts = ids.groupBy("root", "part").agg(F.count(F.lit(1)).alias("n"))
     main = keep(counts.groupBy("root").agg(F.max(F.struct("n", "part")).alias("m")).select("root", F.col("m.part").alias("main")), "main")
-    rest = spread_join(ids, main, "root", hot).where(F.col("part") != F.col("main")).select("root", "fp", "part", "sig")
+    rest = spread_join(ids, main, "root", hot).where(F.col("part") != F.col("main")).select("root", "id", "part", "sig")
     rest = keep(rest, "rest")
     meet = keep(_candidate_chunks(rest, ids.join(rest.select("root").distinct(), "root", "left_semi")), "meet")
     # the chunks that hold candidates, and the rest classes that meet them, CHUNK at a time
     rounds = keep(meet.groupBy("root", "chunk").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("rounds")), "rounds")
-    queries = meet.join(rounds, ["root", "chunk"]).withColumn("round", _salt("fp", "rounds", 3)).join(large.select("fp", "text"), "fp")
-    rows = large.join(rounds, ["root", "chunk"]).withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)))
-    shape = ["root", "chunk", "round", "fp", "text"]
-    more = _rest_links(queries.select(*shape).withColumn("rest", F.lit(True)).unionAll(rows.select(*shape).withColumn("rest", F.lit(False))), "root", "chunk", "round")
+    queries = meet.join(rounds, ["root", "chunk"]).withColumn("round", _salt("id", "rounds", 3)).join(large.select("id", "text"), "id")
+    every = large.join(rounds, ["root", "chunk"]).withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)))
+    shape = ["root", "chunk", "round", "id", "text"]
+    more = _rest_links(queries.select(*shape).withColumn("rest", F.lit(True)).unionAll(every.select(*shape).withColumn("rest", F.lit(False))), "root", "chunk", "round")
     return keep(found.unionAll(more), "links-all")
 
 
+def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(seen, classes, groups): features of each row; each set's class with its group; each group with its lead row. rows: row (no two alike), doc_id, text."""
+    seen = keep(features(rows), "features")
+    sets = seen.where("n_shingles > 0")
+    # the row that stands for others: the least doc_id, rows without one last, then the least row number
+    lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    equal = sets.groupBy("fp", "fp2", "n_shingles").agg(F.min(lead).alias("lead"), F.count(F.lit(1)).alias("copies"))
+    equal = equal.select(F.col("lead.row").alias("id"), F.struct("fp", "fp2").alias("set"), "lead", "copies")
+    whole = keep(equal.join(sets.select(F.col("row").alias("id"), "bands", "sig"), "id"), "classes")
+    roots = components(links(rows, whole), "final")
+    named = whole.select("id", "set", "lead", "copies").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    named = keep(named.withColumn("root", F.coalesce("root", "id")), "named")
+    groups = keep(named.groupBy("root").agg(F.min("lead").alias("lead"), F.sum("copies").alias("members"), F.count(F.lit(1)).alias("n")), "groups")
+    return seen, named, groups
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document.
+    """doc_id, n_shingles, component_id and kept of every row of docs.
 
     component_id is the least doc_id that links reach, kept whether it is the
     document's own. Null, empty or blank text has no shingles and is linked
-    with nothing. Repeated rows are equal documents; rows of one doc_id share
-    its kept value. Rows without doc_id are linked with equal sets only, and
-    null is a component's id only where all of its ids are null. No rows, no
-    rows; other columns don't matter.
+    with nothing. Each row is a document: repeated rows are linked with each
+    other, rows of one doc_id with different texts only where their sets are.
+    Rows without doc_id take part; null is a component's id only where all of
+    its ids are null. No rows, no rows; other columns don't matter.
     """
-    seen = keep(features(docs), "features")
-    sets = seen.where("n_shingles > 0")
-    classes = sets.groupBy("fp", "fp2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    # one row has the bands: they follow from the set
-    whole = sets.select("fp", "doc_id", "bands", "sig").join(classes.select("fp", "doc_id"), ["fp", "doc_id"]).dropDuplicates(["fp"])
-    whole = keep(whole, "classes")
-    roots = components(links(docs, whole), "final")
-    named = keep(classes.select("fp", "doc_id", "copies").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
-    first = keep(named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("members"), F.count(F.lit(1)).alias("n")), "first")
-    hot = hot_keys(first, "root", first.agg(F.sum("n")).first()[0] or 0)
-    by_class = spread_join(named.select("fp", "root"), first.where("members > 1").select("root", "component_id"), "root", hot).select("fp", "component_id")
+    rows = keep(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+    seen, named, groups = grouped(rows)
+    hot = hot_keys(groups, "root", groups.agg(F.sum("n")).first()[0] or 0)
+    by_class = spread_join(named.select("set", "root"), groups.where("members > 1").select("root", F.col("lead.doc_id").alias("component_id")), "root", hot).select("set", "component_id", F.lit(True).alias("linked"))
     # a set with very many copies is one key: its rows are dealt too
-    counted = keep(named.select("fp", F.col("copies").alias("n")), "copies")
-    crowd = hot_keys(counted, "fp", counted.agg(F.sum("n")).first()[0] or 0)
-    known = seen.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("fp")).otherwise(F.xxhash64("doc_id")).alias("fp"))
-    out = spread_join(known, by_class, "fp", crowd, "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    counted = named.select("set", F.col("copies").alias("n"))
+    crowd = hot_keys(counted, "set", counted.agg(F.sum("n")).first()[0] or 0)
+    known = seen.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.struct("fp", "fp2")).otherwise(F.struct(F.col("row").alias("fp"), F.lit(0).cast("long").alias("fp2"))).alias("set"))
+    out = spread_join(known, by_class, "set", crowd, "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group, that with the least doc_id, with all its columns.
+    """One row of each group, that with the least doc_id (rows without one last), with all its columns.
 
-    Of repeated rows of a doc_id one stays. Documents without doc_id stay, one
-    of each text. Other columns keep their names and values.
+    Texts without words are copies only of rows with the same doc_id and text.
+    Rows of one doc_id with different texts are different documents. Other
+    columns keep their names and values; no rows, no rows.
     """
-    kept = keep(near_duplicates(docs), "near")
-    drop = kept.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("any")).where(~F.col("any")).select("doc_id")
-    extra = own(docs, "_no_id")
-    rows = docs.join(drop, "doc_id", "left_anti").withColumn(extra, F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
-    return rows.dropDuplicates(["doc_id", extra]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    row = own(docs, "_row")
+    rows = keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    seen, _, groups = grouped(rows.select(F.col(row).alias("row"), "doc_id", "text"))
+    blank = seen.where("n_shingles = 0").groupBy("doc_id", "text_hash").agg(F.min("row").alias("row")).select("row")
+    stay = keep(groups.select(F.col("lead.row").alias("row")).unionAll(blank).select(F.col("row").alias(row)), "stay")
+    return rows.join(stay, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -99,12 +99,19 @@ def parse(page: str) -> list[Block]:
     """The blocks of a page in document order; the first is the page itself."""
     blocks = [Block("html", -1, 0, ())]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the block each belongs to
-    opened: Counter[str] = Counter()
+    block_at = [0]  # where in the stack blocks are, all and by name, and the open inline elements above each
+    where: dict[str, list[int]] = defaultdict(list)
+    inline: list[Counter[str]] = [Counter()]
     link = 0
 
     def close(i: int) -> None:
-        for name, _ in stack[i:]:
-            opened[name] -= 1
+        for name, _ in reversed(stack[i:]):
+            if name in BLOCKS:
+                where[name].pop()
+                block_at.pop()
+                inline.pop()
+            else:
+                inline[-1][name] -= 1
         del stack[i:]
 
     for text, slash, name, attributes in _tokens(page):
@@ -119,32 +126,21 @@ def parse(page: str) -> list[Block]:
         if slash:
             if name == "a":
                 link = max(0, link - 1)
-            if opened[name] > 0:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        close(i)
-                        break
-                    if name not in BLOCKS and stack[i][0] in BLOCKS:
-                        break  # an inline end tag doesn't close blocks
+            if where[name] if name in BLOCKS else inline[-1][name]:  # an inline end tag doesn't close blocks
+                i = len(stack) - 1
+                while stack[i][0] != name:  # what is passed is closed
+                    i -= 1
+                close(i)
             continue
         if name == "br":
             blocks[stack[-1][1]].items.append(" ")
             continue
-        if name in P_CLOSERS and opened["p"] > 0:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
+        if name in P_CLOSERS and stack[block_at[-1]][0] == "p":
+            close(block_at[-1])
         if name in IMPLIED:
             ended, scope = IMPLIED[name]
-            cut = 0
-            for i in range(len(stack) - 1, 0, -1) if any(opened[e] > 0 for e in ended) else ():
-                if stack[i][0] in scope:
-                    break
-                if stack[i][0] in ended:
-                    cut = i
+            floor = max((where[e][-1] for e in scope if where[e]), default=0)
+            cut = min((where[e][bisect_right(where[e], floor)] for e in ended if where[e] and where[e][-1] > floor), default=0)
             if cut:
                 close(cut)
         if name in VOID:
@@ -159,12 +155,15 @@ def parse(page: str) -> list[Block]:
             link = 0
             blocks.append(Block(name, parent, blocks[parent].depth + 1, _names(attributes)))
             blocks[parent].items.append(len(blocks) - 1)
+            where[name].append(len(stack))
+            block_at.append(len(stack))
+            inline.append(Counter())
             stack.append((name, len(blocks) - 1))
         else:
             if name == "a":
                 link += 1
+            inline[-1][name] += 1
             stack.append((name, stack[-1][1]))
-        opened[name] += 1
         if len(stack) > 400:  # nesting beyond this shares a block; its end tags find their own starts
             stack[-1] = (name, stack[399][1])
     return _with_text_blocks(blocks)

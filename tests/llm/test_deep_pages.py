@@ -28,3 +28,23 @@ def test_deep_pages_take_little_time():
         start = time.process_time()
         dom.parse(tag * 5000 + end * 5000)
         assert time.process_time() - start < 20
+
+
+def test_end_tags_and_implied_ends_across_blocks():
+    """Reading stays linear where what a tag would end is beyond a block."""
+    n = 20_000
+    pages = ["<i><div>" + "<b></i>" * n, "<a><div>" + "<b></a>" * n, "<p><div>" + "<b>" * n + "<hr>" * n, "<li><ul>" + "<b>" * n + "<li>x" * n, "<td><table>" + "<b>" * n + "<td>x" * n, "<dt><dl>" + "<b>" * n + "<dd>x" * n]
+    pages += ["<li><ul>" + "<div>" * n + "<li></li>" * n, "<tr><table>" + "<div>" * n + "<td></td><tr></tr>" * (n // 2), "<b><p>" + "<i></b>" * n]
+    for page in pages:
+        start = time.process_time()
+        dom.parse(page)
+        assert time.process_time() - start < 10, page[:20]
+
+
+def test_what_implied_ends_close():
+    """An item ends the one before it in its own list, a row the cells of its table only."""
+    family = family_of_text("<ul><li>a<ul><li>b</ul><li>c</ul>", "c")
+    assert family.count("li") == family.count("ul") == 1
+    assert family_of_text("<ul><li>a<ul><li>b", "b").count("li") == 2
+    assert family_of_text("<table><tr><td>a<table><tr><td>b<tr><td>c", "c").count("table") == 2
+    assert family_of_text("<table><tr><td>a<b>x<tr><td>c", "c").count("tr") == 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["climate", "events", "relations", "statistics", "descriptors", "reports", "jobs", "geometry", "tables", "bootstraps", "functions", "surrogate_jobs", "verdicts", "coupled", "associations"]
+MODULES: list[str] = ["climate", "events", "relations", "statistics", "descriptors", "reports", "jobs", "geometry", "tables", "bootstraps", "functions", "surrogate_jobs", "verdicts", "coupled", "associations", "batches"]
 
 
 def load_all() -> None:

@@ -23,7 +23,7 @@ def picks(clusters: DataFrame, key: str, draws: int, seed: str, by: Sequence[str
     """(by, draw, key, times): how often each draw, of as many clusters as there are, takes each. clusters: by and key, one row each."""
     w = Window.partitionBy(*by)
     numbered = clusters.select(*by, key, (F.row_number().over(w.orderBy(key)) - 1).cast("long").alias("_i"), F.count(F.lit(1)).over(w).alias("_n"))
-    taken = numbered.groupBy(*by).agg(F.max("_n").alias("_n")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    taken = numbered.groupBy(*by).agg(F.max("_n").alias("_n")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).repartition("draw", *by).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     taken = taken.select(*by, "draw", (drawn(seed, F.col("draw"), F.col("_k")) % F.col("_n")).alias("_i")).groupBy(*by, "draw", "_i").agg(F.count(F.lit(1)).alias("times"))
     return taken.join(numbered.drop("_n"), [*by, "_i"]).select(*by, "draw", key, "times")
 

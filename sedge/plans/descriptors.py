@@ -73,62 +73,74 @@ def run_length_distribution(spark, sf_dir):
     return Y.run_entropy(ends, CELL, "len").select("cell", r6("entropy", "entropy"), r6("mean_length", "mean_length"), "runs")
 
 
-_HOURS = "h AS (SELECT date_trunc('hour', ts) AS t, avg(value) AS x FROM events GROUP BY 1), n AS (SELECT row_number() OVER (ORDER BY t) AS i, x FROM h), e AS (SELECT i, x AS a, lead(x, 2) OVER (ORDER BY i) AS b, lead(x) OVER (ORDER BY i) AS y FROM n)"
+_HOURS = "h AS (SELECT event_type AS cell, date_trunc('hour', ts) AS t, avg(value) AS x FROM events GROUP BY 1, 2), n AS (SELECT cell, row_number() OVER (PARTITION BY cell ORDER BY t) AS i, x FROM h), e AS (SELECT cell, i, x AS a, lead(x, 2) OVER w AS b, lead(x) OVER w AS y FROM n WINDOW w AS (PARTITION BY cell ORDER BY i))"
 
 
 def _hours(spark, sf_dir):
-    """Mean of each hour and its number: one short series, some hundred rows whatever the table holds."""
-    h = read(spark, sf_dir, "events", ["ts", "value"]).groupBy(F.date_trunc("hour", "ts").alias("t")).agg(F.avg("value").alias("x"))
-    w = Window.orderBy("i")
-    n = h.select(F.row_number().over(Window.orderBy("t")).alias("i"), "x")
-    return n.select("i", F.col("x").alias("a"), F.lead("x", 2).over(w).alias("b"), F.lead("x").over(w).alias("y"))
+    """By kind of event, the mean of each hour and its number: a series a cell, of as many hours as the table spans."""
+    h = read(spark, sf_dir, "events", ["event_type", "ts", "value"]).groupBy(F.col("event_type").alias("cell"), F.date_trunc("hour", "ts").alias("t")).agg(F.avg("value").alias("x"))
+    w = Window.partitionBy("cell").orderBy("i")
+    n = h.select("cell", F.row_number().over(Window.partitionBy("cell").orderBy("t")).alias("i"), "x")
+    return n.select("cell", "i", F.col("x").alias("a"), F.lead("x", 2).over(w).alias("b"), F.lead("x").over(w).alias("y"))
 
 
-@query("correlation_sum", f"WITH {_HOURS}, p AS (SELECT sqrt(pow(u.a - v.a, 2) + pow(u.b - v.b, 2)) AS d FROM e u JOIN e v ON v.i > u.i + 5 AND u.b IS NOT NULL AND v.b IS NOT NULL) SELECT r AS radius, round(avg(CASE WHEN d < r THEN 1.0 ELSE 0 END), 6) + 0.0 AS c FROM p CROSS JOIN (VALUES (2.0::DOUBLE), (5.0::DOUBLE), (10.0::DOUBLE), (20.0::DOUBLE)) q(r) GROUP BY 1")
-def correlation_sum(spark, sf_dir):
-    """Share of pairs of delay vectors within a radius, near times left out."""
-    e = _hours(spark, sf_dir).where("b is not null")
-    p = e.select(F.col("i").alias("i1"), F.col("a").alias("a1"), F.col("b").alias("b1")).join(F.broadcast(e), F.col("i") > F.col("i1") + 5)
-    d = F.hypot(F.col("a1") - F.col("a"), F.col("b1") - F.col("b"))
-    return p.select(d.alias("d"), F.explode(F.array(*(F.lit(r) for r in (2.0, 5.0, 10.0, 20.0)))).alias("radius")).groupBy("radius").agg(r6(F.avg(F.when(F.col("d") < F.col("radius"), 1.0).otherwise(0.0)), "c"))
+#: Vectors of a series whose pairs with all others are one group of a join.
+_BLOCK = 256
+
+
+def _against(rows, other, condition):
+    """rows with all of `other` of the same cell under a condition, by cell and block of rows, so that one long series is many groups."""
+    left = rows.withColumn("_b", F.floor(F.col("i") / _BLOCK))
+    blocks = left.groupBy("cell").agg(F.max("_b").alias("_most"))
+    right = other.join(blocks, "cell").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_most")))).drop("_most")
+    return left.join(right, ["cell", "_b"]).where(condition).drop("_b")
 
 
-@query("recurrence_det_lam", f"""WITH {_HOURS}, p AS (SELECT u.i, v.i AS j FROM e u JOIN e v ON v.i > u.i + 2 AND u.b IS NOT NULL AND v.b IS NOT NULL AND sqrt(pow(u.a - v.a, 2) + pow(u.b - v.b, 2)) < 8),
-    d AS (SELECT j - i AS k, i - row_number() OVER (PARTITION BY j - i ORDER BY i) AS g FROM p), l AS (SELECT count(*) AS len FROM d GROUP BY k, g), c AS (SELECT i, j - row_number() OVER (PARTITION BY i ORDER BY j) AS g FROM p), m AS (SELECT count(*) AS len FROM c GROUP BY i, g)
-    SELECT (SELECT CAST(sum(len) AS BIGINT) FROM l) AS points, round((SELECT sum(len) FILTER (WHERE len >= 2) / sum(len) FROM l), 6) + 0.0 AS det, (SELECT max(len) FROM l) AS longest, round((SELECT sum(len) FILTER (WHERE len >= 2) / sum(len) FROM m), 6) + 0.0 AS lam""")
+@query("correlation_sum", f"WITH {_HOURS}, p AS (SELECT u.cell, sqrt(pow(u.a - v.a, 2) + pow(u.b - v.b, 2)) AS d FROM e u JOIN e v ON v.cell = u.cell AND v.i > u.i + 5 AND u.b IS NOT NULL AND v.b IS NOT NULL) SELECT cell, r AS radius, round(avg(CASE WHEN d < r THEN 1.0 ELSE 0 END), 6) + 0.0 AS c FROM p CROSS JOIN (VALUES (2.0::DOUBLE), (5.0::DOUBLE), (10.0::DOUBLE), (20.0::DOUBLE)) q(r) GROUP BY 1, 2")
+def correlation_sum(spark, sf_dir):
+    """Share of pairs of a cell's delay vectors within a radius, near times left out."""
+    e = _hours(spark, sf_dir).where("b is not null").select("cell", "i", "a", "b")
+    p = _against(e, e.select("cell", F.col("i").alias("j"), F.col("a").alias("a2"), F.col("b").alias("b2")), F.col("j") > F.col("i") + 5)
+    d = F.hypot(F.col("a") - F.col("a2"), F.col("b") - F.col("b2"))
+    shares = p.select("cell", d.alias("d")).groupBy("cell").agg(*(F.avg(F.when(F.col("d") < r, 1.0).otherwise(0.0)).alias(f"c{k}") for k, r in enumerate((2.0, 5.0, 10.0, 20.0))))
+    return shares.select("cell", F.explode(F.array(*(F.struct(F.lit(r).alias("radius"), F.col(f"c{k}").alias("c")) for k, r in enumerate((2.0, 5.0, 10.0, 20.0))))).alias("s")).select("cell", "s.radius", r6("s.c", "c"))
+
+
+@query("recurrence_det_lam", f"""WITH {_HOURS}, p AS (SELECT u.cell, u.i, v.i AS j FROM e u JOIN e v ON v.cell = u.cell AND v.i > u.i + 2 AND u.b IS NOT NULL AND v.b IS NOT NULL AND sqrt(pow(u.a - v.a, 2) + pow(u.b - v.b, 2)) < 8),
+    d AS (SELECT cell, j - i AS k, i - row_number() OVER (PARTITION BY cell, j - i ORDER BY i) AS g FROM p), l AS (SELECT cell, count(*) AS len FROM d GROUP BY cell, k, g), c AS (SELECT cell, i, j - row_number() OVER (PARTITION BY cell, i ORDER BY j) AS g FROM p), m AS (SELECT cell, count(*) AS len FROM c GROUP BY cell, i, g),
+    x AS (SELECT cell, CAST(sum(len) AS BIGINT) AS points, round(coalesce(sum(len) FILTER (WHERE len >= 2), 0) / sum(len), 6) + 0.0 AS det, max(len) AS longest FROM l GROUP BY 1), y AS (SELECT cell, round(coalesce(sum(len) FILTER (WHERE len >= 2), 0) / sum(len), 6) + 0.0 AS lam FROM m GROUP BY 1)
+    SELECT cell, points, det, longest, lam FROM x JOIN y USING (cell)""")
 def recurrence_det_lam(spark, sf_dir):
-    """Recurrences of delay vectors on diagonals and columns."""
-    e = _hours(spark, sf_dir).where("b is not null")
-    p = e.select("i", F.col("a").alias("a1"), F.col("b").alias("b1")).join(F.broadcast(e.select(F.col("i").alias("j"), "a", "b")), F.col("j") > F.col("i") + 2)
-    p = p.where(F.hypot(F.col("a1") - F.col("a"), F.col("b1") - F.col("b")) < 8).select("i", "j")
-    diag = p.select((F.col("j") - F.col("i")).alias("k"), (F.col("i") - F.row_number().over(Window.partitionBy(F.col("j") - F.col("i")).orderBy("i"))).alias("g")).groupBy("k", "g").agg(F.count(F.lit(1)).alias("len"))
-    col = p.select("i", (F.col("j") - F.row_number().over(Window.partitionBy("i").orderBy("j"))).alias("g")).groupBy("i", "g").agg(F.count(F.lit(1)).alias("len"))
+    """Recurrences of a cell's delay vectors on diagonals and columns."""
+    e = _hours(spark, sf_dir).where("b is not null").select("cell", "i", "a", "b")
+    near = (F.col("j") > F.col("i") + 2) & (F.hypot(F.col("a") - F.col("a2"), F.col("b") - F.col("b2")) < 8)
+    p = _against(e, e.select("cell", F.col("i").alias("j"), F.col("a").alias("a2"), F.col("b").alias("b2")), near).select("cell", "i", "j")
+    k = F.col("j") - F.col("i")
+    diag = p.select("cell", k.alias("k"), (F.col("i") - F.row_number().over(Window.partitionBy("cell", k).orderBy("i"))).alias("g")).groupBy("cell", "k", "g").agg(F.count(F.lit(1)).alias("len"))
+    col = p.select("cell", "i", (F.col("j") - F.row_number().over(Window.partitionBy("cell", "i").orderBy("j"))).alias("g")).groupBy("cell", "i", "g").agg(F.count(F.lit(1)).alias("len"))
     share = F.sum(F.when(F.col("len") >= 2, F.col("len")).otherwise(0)) / F.sum("len")
-    return diag.agg(F.sum("len").alias("points"), r6(share, "det"), F.max("len").alias("longest")).crossJoin(col.agg(r6(share, "lam")))
+    return diag.groupBy("cell").agg(F.sum("len").alias("points"), r6(share, "det"), F.max("len").alias("longest")).join(col.groupBy("cell").agg(r6(share, "lam")), "cell")
 
 
-@query("knn_prediction_error", f"""WITH {_HOURS}, s AS (SELECT *, max(i) OVER () AS n FROM e WHERE b IS NOT NULL AND y IS NOT NULL), d AS (SELECT t.i, t.y, l.y AS ly, row_number() OVER (PARTITION BY t.i ORDER BY round(sqrt(pow(t.a - l.a, 2) + pow(t.b - l.b, 2)), 9), l.i) AS k FROM s t JOIN s l ON t.i > t.n * 0.6 AND l.i <= l.n * 0.6),
-    f AS (SELECT i, y, avg(ly) AS p FROM d WHERE k <= 5 GROUP BY 1, 2) SELECT count(*) AS n, round(sqrt(avg(pow(y - p, 2))) / stddev_pop(y), 6) + 0.0 AS error FROM f""")
+@query("knn_prediction_error", f"""WITH {_HOURS}, s AS (SELECT *, max(i) OVER (PARTITION BY cell) AS n FROM e WHERE b IS NOT NULL AND y IS NOT NULL), d AS (SELECT t.cell, t.i, t.y, l.y AS ly, row_number() OVER (PARTITION BY t.cell, t.i ORDER BY round(sqrt(pow(t.a - l.a, 2) + pow(t.b - l.b, 2)), 9), l.i) AS k FROM s t JOIN s l ON l.cell = t.cell AND t.i > t.n * 0.6 AND l.i <= l.n * 0.6),
+    f AS (SELECT cell, i, y, avg(ly) AS p FROM d WHERE k <= 5 GROUP BY 1, 2, 3) SELECT cell, count(*) AS n, round(sqrt(avg(pow(y - p, 2))) / stddev_pop(y), 6) + 0.0 AS error FROM f GROUP BY 1""")
 def knn_prediction_error(spark, sf_dir):
-    """Error of five nearest neighbours, the first part of a series predicting the rest."""
-    s = _hours(spark, sf_dir).where("b is not null and y is not null")
-    n = s.agg(F.max("i").alias("n"))
-    s = s.crossJoin(F.broadcast(n))
-    lib = s.where("i <= n * 0.6").select(F.col("i").alias("li"), F.col("a").alias("la"), F.col("b").alias("lb"), F.col("y").alias("ly"))
-    d = s.where("i > n * 0.6").crossJoin(F.broadcast(lib)).withColumn("d", F.round(F.hypot(F.col("a") - F.col("la"), F.col("b") - F.col("lb")), 9))
-    f = d.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy("d", "li"))).where("k <= 5").groupBy("i", "y").agg(F.avg("ly").alias("p"))
-    return f.agg(F.count(F.lit(1)).alias("n"), r6(F.sqrt(F.avg(F.pow(F.col("y") - F.col("p"), 2))) / F.stddev_pop("y"), "error"))
-
-
-@query("false_nearest_neighbours", f"""WITH {_HOURS}, f AS (SELECT i, a, b, lead(a, 4) OVER (ORDER BY i) AS c FROM e), s AS (SELECT * FROM f WHERE c IS NOT NULL), d AS (SELECT u.i, sqrt(pow(u.a - v.a, 2) + pow(u.b - v.b, 2)) AS d, abs(u.c - v.c) AS g, row_number() OVER (PARTITION BY u.i ORDER BY round(sqrt(pow(u.a - v.a, 2) + pow(u.b - v.b, 2)), 9), v.i) AS k FROM s u JOIN s v ON abs(u.i - v.i) > 5)
-    SELECT count(*) AS n, round(avg(CASE WHEN d > 0 AND (g / d > 10 OR sqrt(d * d + g * g) > 2 * (SELECT stddev_pop(a) FROM s)) THEN 1.0 ELSE 0 END), 6) + 0.0 AS share FROM d WHERE k = 1""")
+    """Error of five nearest neighbours, the first part of a cell's series predicting the rest."""
+    s = _hours(spark, sf_dir).where("b is not null and y is not null").withColumn("n", F.max("i").over(Window.partitionBy("cell")))
+    lib = s.where("i <= n * 0.6").select("cell", F.col("i").alias("li"), F.col("a").alias("la"), F.col("b").alias("lb"), F.col("y").alias("ly"))
+    d = _against(s.where("i > n * 0.6"), lib, F.lit(True)).withColumn("d", F.round(F.hypot(F.col("a") - F.col("la"), F.col("b") - F.col("lb")), 9))
+    f = d.withColumn("k", F.row_number().over(Window.partitionBy("cell", "i").orderBy("d", "li"))).where("k <= 5").groupBy("cell", "i", "y").agg(F.avg("ly").alias("p"))
+    return f.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), r6(F.sqrt(F.avg(F.pow(F.col("y") - F.col("p"), 2))) / F.stddev_pop("y"), "error"))
+
+
+@query("false_nearest_neighbours", f"""WITH {_HOURS}, f AS (SELECT cell, i, a, b, lead(a, 4) OVER (PARTITION BY cell ORDER BY i) AS c FROM e), s AS (SELECT *, stddev_pop(a) OVER (PARTITION BY cell) AS sd FROM f WHERE c IS NOT NULL),
+    d AS (SELECT u.cell, u.i, u.sd, sqrt(pow(u.a - v.a, 2) + pow(u.b - v.b, 2)) AS d, abs(u.c - v.c) AS g, row_number() OVER (PARTITION BY u.cell, u.i ORDER BY round(sqrt(pow(u.a - v.a, 2) + pow(u.b - v.b, 2)), 9), v.i) AS k FROM s u JOIN s v ON v.cell = u.cell AND abs(u.i - v.i) > 5)
+    SELECT cell, count(*) AS n, round(avg(CASE WHEN d > 0 AND (g / d > 10 OR sqrt(d * d + g * g) > 2 * sd) THEN 1.0 ELSE 0 END), 6) + 0.0 AS share FROM d WHERE k = 1 GROUP BY 1""")
 def false_nearest_neighbours(spark, sf_dir):
-    """Neighbours that part when one coordinate more is seen."""
-    w = Window.orderBy("i")
-    s = _hours(spark, sf_dir).withColumn("c", F.lead("a", 4).over(w)).where("c is not null").select("i", "a", "b", "c")
-    o = s.select(*(F.col(c).alias(f"{c}2") for c in "iabc"))
-    d = s.crossJoin(F.broadcast(o)).where(F.abs(F.col("i") - F.col("i2")) > 5).withColumn("d", F.hypot(F.col("a") - F.col("a2"), F.col("b") - F.col("b2"))).withColumn("g", F.abs(F.col("c") - F.col("c2")))
-    near = d.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy(F.round("d", 9), "i2"))).where("k = 1")
-    sd = s.agg(F.stddev_pop("a").alias("sd"))
+    """Neighbours of a cell's vectors that part when one coordinate more is seen."""
+    w = Window.partitionBy("cell").orderBy("i")
+    s = _hours(spark, sf_dir).withColumn("c", F.lead("a", 4).over(w)).where("c is not null").select("cell", "i", "a", "b", "c", F.stddev_pop("a").over(Window.partitionBy("cell")).alias("sd"))
+    d = _against(s, s.select("cell", *(F.col(c).alias(f"{c}2") for c in "iabc")), F.abs(F.col("i") - F.col("i2")) > 5).withColumn("d", F.hypot(F.col("a") - F.col("a2"), F.col("b") - F.col("b2"))).withColumn("g", F.abs(F.col("c") - F.col("c2")))
+    near = d.withColumn("k", F.row_number().over(Window.partitionBy("cell", "i").orderBy(F.round("d", 9), "i2"))).where("k = 1")
     false = (F.col("d") > 0) & ((F.col("g") / F.col("d") > 10) | (F.hypot("d", "g") > 2 * F.col("sd")))
-    return near.crossJoin(F.broadcast(sd)).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.when(false, 1.0).otherwise(0.0)), "share"))
+    return near.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.when(false, 1.0).otherwise(0.0)), "share"))

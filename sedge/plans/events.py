@@ -36,7 +36,7 @@ def case_crossover_percentile(spark, sf_dir):
 
 # A panel by event time: suppliers, months before and after each one's first large shipment, against its nation.
 _PANEL = """m AS (SELECT l_suppkey AS unit, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, avg(l_quantity) AS x FROM lineitem GROUP BY 1, 2),
-    e AS (SELECT l_suppkey AS unit, CAST(date_trunc('month', min(l_shipdate)) AS DATE) AS start FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-06-01' AND l_quantity >= 50 GROUP BY 1),
+    e AS (SELECT l_suppkey AS unit, CAST(date_trunc('month', min(l_shipdate)) AS DATE) AS start FROM lineitem WHERE l_shipdate >= (SELECT date_trunc('month', min(l_shipdate)) FROM lineitem) + INTERVAL 24 MONTH AND l_quantity >= 50 GROUP BY 1),
     p AS (SELECT m.unit, m.month, s.s_nationkey AS nation, CAST((year(m.month) - year(e.start)) * 12 + month(m.month) - month(e.start) AS INTEGER) AS k, m.x FROM m JOIN e ON e.unit = m.unit JOIN supplier s ON s.s_suppkey = m.unit),
     c AS (SELECT m.month, s.s_nationkey AS nation, sum(m.x) AS sx, count(*) AS nx FROM m JOIN supplier s ON s.s_suppkey = m.unit GROUP BY 1, 2),
     panel AS (SELECT p.unit, p.month, p.k, p.x, CASE WHEN c.nx > 1 THEN (c.sx - p.x) / (c.nx - 1) END AS control FROM p JOIN c ON c.month = p.month AND c.nation = p.nation WHERE p.k BETWEEN -24 AND 36)"""
@@ -46,7 +46,9 @@ def _panel(spark, sf_dir):
     items = read(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate", "l_quantity"])
     month = F.trunc("l_shipdate", "MM").cast("date")
     m = items.groupBy(F.col("l_suppkey").alias("unit"), month.alias("month")).agg(F.avg("l_quantity").alias("x"))
-    e = items.where("l_shipdate >= timestamp'1997-06-01' and l_quantity >= 50").groupBy(F.col("l_suppkey").alias("unit")).agg(F.trunc(F.min("l_shipdate"), "MM").cast("date").alias("start"))
+    # an event needs the 24 months before it
+    first = items.agg(F.add_months(F.trunc(F.min("l_shipdate"), "MM"), 24).alias("first"))
+    e = items.crossJoin(F.broadcast(first)).where("l_shipdate >= first and l_quantity >= 50").groupBy(F.col("l_suppkey").alias("unit")).agg(F.trunc(F.min("l_shipdate"), "MM").cast("date").alias("start"))
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("unit"), F.col("s_nationkey").alias("nation"))
     rows = m.join(s, "unit")
     c = rows.groupBy("month", "nation").agg(F.sum("x").alias("sx"), F.count("x").alias("nx"))

@@ -143,11 +143,12 @@ def territory_weighted_means(spark, sf_dir):
     return read(spark, sf_dir, "customer").groupBy(label.alias("label")).agg((F.round(F.sum(F.col("c_acctbal") * w) / F.sum(w), 5) + F.lit(0.0)).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-@query("frequency_and_recency", """WITH y AS (SELECT l_suppkey AS cell, year(l_shipdate) AS year, count(*) FILTER (WHERE l_quantity >= 45) AS n FROM lineitem GROUP BY 1, 2) SELECT cell, CAST(sum(n) AS BIGINT) AS burnt, round(sum(n * (2002 - year)) / sum(n), 6) + 0.0 AS since, round(sum(n) / count(*), 6) + 0.0 AS frequency FROM y GROUP BY 1 HAVING sum(n) > 0""")
+@query("frequency_and_recency", """WITH y AS (SELECT l_suppkey AS cell, year(l_shipdate) AS year, count(*) FILTER (WHERE l_quantity >= 45) AS n FROM lineitem GROUP BY 1, 2) SELECT cell, CAST(sum(n) AS BIGINT) AS burnt, round(sum(n * ((SELECT max(year) FROM y) + 1 - year)) / sum(n), 6) + 0.0 AS since, round(sum(n) / count(*), 6) + 0.0 AS frequency FROM y GROUP BY 1 HAVING sum(n) > 0""")
 def frequency_and_recency(spark, sf_dir):
-    """How often, and how long ago on average."""
+    """How often, and how long ago on average, seen from the year after the table's last."""
     y = read(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate", "l_quantity"]).groupBy(F.col("l_suppkey").alias("cell"), F.year("l_shipdate").alias("year")).agg(F.count(F.when(F.col("l_quantity") >= 45, 1)).alias("n"))
-    return y.groupBy("cell").agg(F.sum("n").alias("burnt"), r6(F.sum(F.col("n") * (2002 - F.col("year"))) / F.sum("n"), "since"), r6(F.sum("n") / F.count(F.lit(1)), "frequency")).where("burnt > 0")
+    y = y.crossJoin(F.broadcast(y.agg((F.max("year") + 1).alias("now"))))  # one row
+    return y.groupBy("cell").agg(F.sum("n").alias("burnt"), r6(F.sum(F.col("n") * (F.col("now") - F.col("year"))) / F.sum("n"), "since"), r6(F.sum("n") / F.count(F.lit(1)), "frequency")).where("burnt > 0")
 
 
 @query("regression_design", """WITH s AS (SELECT c_custkey, c_mktsegment, c_acctbal FROM customer) SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 6) + 0.0 AS z, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS building, CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 0 END AS machinery FROM s""")

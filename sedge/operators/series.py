@@ -140,3 +140,21 @@ def decayed_maximum(series: DataFrame, cell: Sequence[str], order: str, x: str,
     rows = series.withColumn("_row", F.row_number().over(w))
     lifted = F.max(F.when(F.col(x) > 0, F.log(x) - F.col("_row") * F.log(F.lit(decay)))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn(name, F.coalesce(F.exp(lifted + F.col("_row") * F.log(F.lit(decay))), F.lit(0.0))).drop("_row")
+
+
+def latest(rows: DataFrame, series: DataFrame, cell: Sequence[str], at: str, x: str) -> DataFrame:
+    """rows with x of the series at their time or the last before it, null if there is none. series: cell, at and x, one row each.
+
+    Both are one table in order of time within buckets of a cell and a month; a
+    bucket's first rows take the last value of the cell's buckets before.
+    """
+    bucket = F.trunc(at, "MM").alias("_bucket")
+    points = series.where(F.col(x).isNotNull()).select(*cell, at, F.struct(F.col(x).alias("v")).alias("_p"), F.lit(0).alias("_kind"))
+    asked = rows.select(*cell, at, F.struct(*rows.columns).alias("_row"), F.lit(1).alias("_kind"))
+    both = points.unionByName(asked, allowMissingColumns=True).select("*", bucket)
+    ends = both.groupBy(*cell, "_bucket").agg(F.max_by(F.col("_p.v"), F.when(F.col("_kind") == 0, F.col(at))).alias("_last"))
+    before = Window.partitionBy(*cell).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*cell, "_bucket", F.last("_last", True).over(before).alias("_carried"))
+    w = Window.partitionBy(*cell, "_bucket").orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    got = both.withColumn("_v", F.last("_p.v", True).over(w)).where("_kind = 1").join(carried, [*cell, "_bucket"])
+    return got.select("_row.*", F.coalesce("_v", "_carried").alias(x))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sedge.operators import series as S
 from sedge.plans.base import r6
 from sedge.plans.registry import query
 from sedge.sources.tables import first_of, read
@@ -117,23 +118,14 @@ def self_join_base_grid(spark, sf_dir):
     return g.where("tau > 1").join(b, ["cell", "variable"]).select("cell", "variable", "tau", r6(F.col("v") - F.col("base"), "change"), (F.col("v") > F.col("base")).alias("higher"))
 
 
-@query("asof_fallback_join", """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS seen, CAST(o_orderdate AS DATE) - 2 AS composite FROM orders),
-    k AS (SELECT o_orderkey, coalesce(seen, composite + 4) AS at FROM o), d AS (SELECT CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS x FROM lineitem GROUP BY 1) SELECT k.o_orderkey, k.at, d.x FROM k ASOF LEFT JOIN d ON k.at >= d.day""")
+@query("asof_fallback_join", """WITH o AS (SELECT o_orderkey, o_custkey % 100 + 1 AS cell, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS seen, CAST(o_orderdate AS DATE) - 2 AS composite FROM orders),
+    k AS (SELECT o_orderkey, cell, coalesce(seen, composite + 4) AS at FROM o), d AS (SELECT l_suppkey AS cell, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS x FROM lineitem GROUP BY 1, 2) SELECT k.o_orderkey, k.cell, k.at, d.x FROM k ASOF LEFT JOIN d ON d.cell = k.cell AND k.at >= d.day""")
 def asof_fallback_join(spark, sf_dir):
-    """The latest value at an instant, the instant falling back where it is missing.
-
-    Both sides are one table ordered by time, within buckets of a month; a
-    bucket's first rows take the last value of the buckets before.
-    """
+    """The latest value of a cell at an instant, the instant falling back where it is missing."""
     day = F.to_date("o_orderdate")
-    k = read(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.when(F.col("o_orderkey") % 3 != 0, day), F.date_add(F.date_sub(day, 2), 4)).alias("at"))
-    d = read(spark, sf_dir, "lineitem", ["l_shipdate", "l_quantity"]).groupBy(F.to_date("l_shipdate").alias("at")).agg(F.sum("l_quantity").alias("x"))
-    rows = d.select("at", F.lit(None).cast("long").alias("o_orderkey"), "x", F.lit(0).alias("kind")).unionAll(k.select("at", "o_orderkey", F.lit(None).cast("double").alias("x"), F.lit(1).alias("kind"))).withColumn("bucket", F.trunc("at", "MM"))
-    carry = d.groupBy(F.trunc("at", "MM").alias("bucket")).agg(F.max_by("x", "at").alias("last"))
-    months = rows.select("bucket").distinct().join(carry, "bucket", "left")
-    carried = months.select("bucket", F.last("last", True).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    w = Window.partitionBy("bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("v", F.last("x", True).over(w)).where("kind = 1").join(carried, "bucket").select("o_orderkey", "at", F.coalesce("v", "carried").alias("x"))
+    k = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 100 + 1).alias("cell"), F.coalesce(F.when(F.col("o_orderkey") % 3 != 0, day), F.date_add(F.date_sub(day, 2), 4)).alias("at"))
+    d = read(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate", "l_quantity"]).groupBy(F.col("l_suppkey").alias("cell"), F.to_date("l_shipdate").alias("at")).agg(F.sum("l_quantity").alias("x"))
+    return S.latest(k, d, ["cell"], "at", "x").select("o_orderkey", "cell", "at", "x")
 
 
 @query("summary_quantiles", """SELECT s_nationkey AS zone, count(*) AS n, count(DISTINCT l_suppkey) AS cells, round(min(l_quantity), 6) + 0.0 AS low, round(quantile_cont(l_quantity, 0.1), 6) + 0.0 AS p10, round(median(l_quantity), 6) + 0.0 AS mid, round(quantile_cont(l_quantity, 0.9), 6) + 0.0 AS p90, round(avg(l_quantity), 6) + 0.0 AS mean FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1""")

@@ -137,3 +137,22 @@ def test_points_and_cells_of_polygons(spark):
     areas = {r["polygon"]: r["a"] for r in G.polygon_cell_areas(polys, 0.25).groupBy("polygon").agg(F.sum("area").alias("a")).collect()}
     assert areas == pytest.approx({"p": 1.0, "q": 1.0})
     assert G.covered_cell_areas(polys, 0.25).agg(F.sum("area")).first()[0] == pytest.approx(1.75)
+
+
+def test_latest_values_by_cell(spark):
+    """As-of values by loops: ties at the instant, months without values, cells without a series."""
+    import random
+    from datetime import date, timedelta
+
+    from sedge.operators import series as S
+
+    rnd, start = random.Random(3), date(2020, 1, 20)
+    points = {(c, start + timedelta(days=d)): None if rnd.random() < 0.2 else float(d) for c in "ab" for d in rnd.sample(range(400), 12)}
+    asked = [(k, rnd.choice("abc"), start + timedelta(days=rnd.randint(-30, 420))) for k in range(150)]
+    series = spark.createDataFrame([(c, d, v) for (c, d), v in points.items()], "cell string, at date, x double")
+    got = {r["k"]: r["x"] for r in S.latest(spark.createDataFrame(asked, "k int, cell string, at date"), series, ["cell"], "at", "x").collect()}
+    assert len(got) == 150
+    for k, c, d in asked:
+        seen = [(e, v) for (b, e), v in points.items() if b == c and e <= d and v is not None]
+        assert got[k] == (max(seen)[1] if seen else None)
+    assert S.latest(spark.createDataFrame([], "k int, cell string, at date"), series, ["cell"], "at", "x").count() == 0

@@ -9,6 +9,7 @@ from sedge.kernels import dynamics as D
 from sedge.operators import series_tests as T
 from sedge.plans.coupled import measures
 from sedge.plans.registry import query
+from sedge.sources.cubes import read_points, write_cube
 from sedge.sources.parts import Batch, scratch
 from sedge.sources.tables import read
 
@@ -60,3 +61,18 @@ def resumed_yearly_totals(spark, sf_dir):
         batch.run(orders.select("part"), compute, size=2, rounds=rounds)
     bad = batch.damaged().select("part", F.lit(False).alias("_sound"))
     return batch.results().drop("round").join(bad, "part", "left").select("part", "orders", "total", F.coalesce("_sound", F.lit(True)).alias("sound"))
+
+
+@query("blocked_point_reads", """WITH c AS (SELECT CAST(l_shipdate AS DATE) AS day, (l_suppkey // 10) * 0.25 AS lat, (l_suppkey % 10) * 0.25 AS lon, round(sum(l_quantity), 6) AS x FROM lineitem GROUP BY 1, 2, 3),
+    p AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, ((o_custkey % 100) // 10) * 0.25 AS lat, (o_custkey % 10) * 0.25 AS lon FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1997)
+    SELECT k, p.day, p.lat, p.lon, c.x + 0.0 AS x FROM p LEFT JOIN c ON c.day = p.day AND c.lat = p.lat AND c.lon = p.lon""")
+def blocked_point_reads(spark, sf_dir):
+    """A cube of days and places written in chunks, read at the places and days of urgent orders of one year: only chunks that they touch."""
+    items = read(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate", "l_quantity"])
+    place = lambda k: ((F.floor(k / 10) * 0.25).alias("lat"), ((k % 10) * 0.25).alias("lon"))
+    cube = items.groupBy(F.to_date("l_shipdate").alias("day"), *place(F.col("l_suppkey"))).agg(F.round(F.sum("l_quantity"), 6).alias("x"))
+    orders = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and year(o_orderdate) = 1997")
+    points = orders.select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day"), *place(F.col("o_custkey") % 100))
+    path = scratch(spark)
+    write_cube(cube, path, "day", "lat", "lon")
+    return read_points(spark, path, points, "day", "lat", "lon", ["x"]).select("k", "day", "lat", "lon", (F.col("x") + F.lit(0.0)).alias("x"))

@@ -334,7 +334,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit
     integers), decoded_sha256 (decoded text in UTF-8). Null text is empty:
-    0 tokens and the digests of nothing. Repeated rows and doc_ids repeat.
+    0 tokens and the digests of nothing. Long texts are encoded whole.
+    Repeated rows and doc_ids repeat; no rows, no rows; other columns don't
+    matter.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 

@@ -204,7 +204,10 @@ def extract(pages: DataFrame, fitted: Model | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page.
 
     Null or empty html has empty text; so has a page without an article.
-    Repeated rows repeat; text outside of tags counts as a block.
+    Repeated rows repeat; text outside of tags counts as a block. Long pages
+    are read whole, in time that grows with their length; blocks that the model
+    finds as likely article as not are left out. No rows, no rows; other
+    columns don't matter.
     """
     shared = pages.sparkSession.sparkContext.broadcast(fitted or model())
     kinds = [pages.schema[c].dataType.simpleString() for c in ("page_id", "url")]

@@ -197,7 +197,9 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
 
     Null text and text without a letter is 'und' with score 0; so is all
     without a network. score is the mean probability of the language over the
-    windows. Only the text counts. Repeated rows repeat.
+    windows, which cover long texts whole; of equal ones the first language
+    learned is taken. Only the text counts. Repeated rows repeat; no rows, no
+    rows; other columns don't matter.
     """
     net = docs.sparkSession.sparkContext.broadcast(network)
     id_type = docs.schema["doc_id"].dataType.simpleString()

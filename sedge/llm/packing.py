@@ -172,8 +172,9 @@ def pack(docs: DataFrame, path: str, width: int = WIDTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every document.
 
     Documents longer than a sequence are cut, no others; null text is the end
-    id alone. Repeated rows are packed as often as they occur. No rows, no
-    sequences.
+    id alone. Repeated rows are packed as often as they occur; which of equally
+    long pieces goes where is their order within a task. No rows, no sequences;
+    other columns don't matter.
     """
     spark = docs.sparkSession
     cut = keep(pieces(docs, path, width), "pieces")

@@ -46,7 +46,8 @@ def assign(docs: DataFrame, weights: Sequence[float], id_column: str = "doc_id",
     Returns doc_id, size (UTF-8 bytes of the text, null none, plus 8),
     text_crc32, law ('key'), shard, slot (gapless from 0 in each shard, by a
     hash of the key) and grown_shard. A null key counts as the text 'null';
-    repeated keys share a shard and get slots of their own.
+    repeated keys share a shard and get slots of their own, those of equal rows
+    in any order. No rows, no rows; other columns don't matter.
 
     A shard is numbered in blocks, ranges of that hash of about BLOCK_ROWS
     rows, so that no task holds a shard; the blocks' sizes give their starts.

@@ -203,8 +203,9 @@ def grade(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame
     """doc_id, severity (expected grade), p_toxic and kept of every whole text.
 
     kept is severity under the model's cut. Null or empty text has no evidence and is kept;
-    so is everything if there are too few labels of either kind. Repeated rows
-    and doc_ids repeat.
+    so is everything if there are too few labels of either kind. Long texts are
+    graded whole; a severity equal to the cut is rejected. Repeated rows and
+    doc_ids repeat; no rows, no rows; other columns don't matter.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, rows))
     id_type = docs.schema["doc_id"].dataType.simpleString()

@@ -17,12 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.llm.common import freed, keep
+from sedge.llm.common import freed, give_back, keep
 
 #: Occurrences that make a phrase a candidate, words of the longest, phrases returned for each language.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text in a block.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 24
+ZSTD = {"compression": "zstd"}
 
 # Characters that end a piece, and those that part words.
 _PIECE, _SPACE = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
@@ -51,8 +52,22 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64)
 
 
+def _after_null(numbers: np.ndarray) -> pa.Array:
+    """Numbers but for the first, which is null: the block's own row."""
+    return pa.array(numbers.astype(np.int64), mask=np.arange(len(numbers)) == 0)
+
+
+def _first(packed: bytes, n: int) -> pa.Array:
+    """The block's places in its own row, then n nulls."""
+    return pa.concat_arrays([pa.array([packed], pa.binary()), pa.nulls(n, pa.binary())])
+
+
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For each block a row with its places, and one with number, word and count for each of its words. docs: lang, text."""
+    """For each block a row with its places, and one with number, word and count for each of its words. docs: lang, text.
+
+    Blocks are numbered with room for all of their places, so that block +
+    number is another one for each row, of pairs later on too.
+    """
 
     def run(batches):
         task, made = TaskContext.get().partitionId(), 0
@@ -63,16 +78,13 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             numbers, parts, _ = open_blocks.pop(lang)
             places = np.concatenate(parts)
             n = len(numbers) - 1
-            words = [w.decode() for w in numbers][1:]
-            block, made = (task << 32) + made, made + 1
-            count = np.bincount(places, minlength=n + 1)[1:]
+            words = pa.array([None] + [w.decode() for w in numbers][1:], pa.string())
+            block, made = (task << 40) + made, made + len(places) + 1
+            count = np.bincount(places, minlength=n + 1)
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block] * (n + 1), pa.int64()), pa.array([lang] * (n + 1), pa.string()), pa.array([None, *range(1, n + 1)], pa.int64()),
-                    pa.array([None, *words], pa.string()), pa.array([None, *count.tolist()], pa.int64()), pa.array([_packed(places)] + [None] * n, pa.binary()),
-                ],
+                [pa.array(np.full(n + 1, block)), pa.array([lang] * (n + 1), pa.string()), _after_null(np.arange(n + 1)), words, _after_null(count), _first(_packed(places), n)],
                 ["block", "lang", "number", "word", "n", "places"],
-            )
+            )
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -101,38 +113,52 @@ def pairs(places: DataFrame, named: DataFrame) -> DataFrame:
     places: block, places; named: block, number, id of the grams that have one.
     """
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def named_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _PAIRS.empty_table()
         at = _unpacked(left["places"][0].as_py())
         number, ids = right["number"].to_numpy(), right["id"].to_numpy()
         size = max(int(at.max(initial=0)), int(number.max())) + 1
-        known = np.zeros(size, bool)
-        known[number] = True
-        id_of = np.zeros(size, np.int64)
-        id_of[number] = ids
+        known, id_of = np.zeros(size, bool), np.zeros(size, np.int64)
+        known[number], id_of[number] = True, ids
         known[0] = False
         ok = known[at]
         where = np.flatnonzero(ok[:-1] & ok[1:])
         if not len(where):
             return _PAIRS.empty_table()
         pair, back, times = np.unique(at[where] * size + at[where + 1], return_inverse=True, return_counts=True)
-        new = np.zeros(len(at), np.int64)
+        new = np.zeros(len(at), np.uint32)
         new[where] = back + 1
+        new = new[(new > 0) | np.concatenate([[True], new[:-1] > 0])]  # one 0 parts as well as several
         n, block = len(pair), left["block"][0].as_py()
-        return pa.table(
-            [
-                pa.array([block] * (n + 1), pa.int64()), pa.array([None, *range(1, n + 1)], pa.int64()), pa.array([None, *id_of[pair // size].tolist()], pa.int64()),
-                pa.array([None, *id_of[pair % size].tolist()], pa.int64()), pa.array([None, *times.tolist()], pa.int64()), pa.array([_packed(new)] + [None] * n, pa.binary()),
-            ],
-            schema=_PAIRS,
-        )
+        first, last = (np.concatenate([[0], id_of[x]]) for x in (pair // size, pair % size))
+        return pa.table([pa.array(np.full(n + 1, block)), _after_null(np.arange(n + 1)), _after_null(first), _after_null(last), _after_null(np.concatenate([[0], times])), _first(_packed(new), n)], schema=_PAIRS)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return named_pairs(left, right)
+        finally:
+            give_back()
 
     kind = "block long, number long, left long, right long, n long, places binary"
     fresh = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns)).groupBy("block")  # noqa: E731  both may come from one table
     return fresh(places).cogroup(fresh(named)).applyInArrow(run, kind)
 
 
+def frequent(rows: DataFrame, key: list[str], least: int, k: int) -> DataFrame:
+    """(block, number, key, f, id) of the rows whose key occurs `least` times or more over all blocks. rows: block, number, n, key.
+
+    All rows are dealt by key once; a key has one row a block at most. Its id is
+    the least block + number of its rows.
+    """
+    w = Window.partitionBy(*key)
+    # two numbers in one: most of the bytes that are dealt are such rows
+    packed = rows.select("block", F.expr("shiftleft(number, 31) | n").alias("_p"), *key).repartition(*key)
+    one = packed.select("block", F.expr("shiftright(_p, 31)").alias("number"), F.expr("_p & 2147483647").alias("_n"), *key)
+    counted = one.withColumn("f", F.sum("_n").over(w)).withColumn("id", F.min(F.col("block") + F.col("number")).over(w)).where(F.col("f") >= least)
+    return keep(counted.select("block", "number", *key, "f", "id"), f"often-{k}", **ZSTD)
+
+
 def grams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n) of all words, and for each length the frequent grams.
 
@@ -140,24 +166,21 @@ def grams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_byt
     and last 1, 2, ... words), and from two words on its parents left and right
     with their counts f_left and f_right.
     """
-    read = keep(blocks(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), block_bytes), "places-1")
+    read = keep(blocks(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), block_bytes), "places-1", **ZSTD)
     rows = read.where("number is not null")
     total = keep(rows.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    names = rows.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    names = keep(names.withColumn("id", F.monotonically_increasing_id()), "names-1")
+    often = frequent(rows.select("block", "number", "n", "lang", "word"), ["lang", "word"], least, 1)
+    # a gram's row where its id comes from is the one that stands for it
+    names = often.where("id = block + number")
     out = [names.select("id", "lang", F.array("word").alias("words"), "f", F.array("f").alias("prefixes"), F.array("f").alias("suffixes"))]
-    named = rows.select("block", "lang", "word", "number").join(names, ["lang", "word"]).select("block", "number", "id")
     for k in range(2, longest + 1):
-        read = keep(pairs(read.where("number is null").select("block", "places"), named), f"places-{k}")
-        rows = read.where("number is not null").select("block", "number", "left", "right", "n")
-        names = rows.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        names = keep(names.withColumn("id", F.monotonically_increasing_id()), f"names-{k}")
+        read = keep(pairs(read.where("number is null").select("block", "places"), often.select("block", "number", "id")), f"places-{k}", **ZSTD)
+        often = frequent(read.where("number is not null").select("block", "number", "n", "left", "right"), ["left", "right"], least, k)
         first = out[-1].select(F.col("id").alias("left"), "lang", F.col("words").alias("head"), F.col("f").alias("f_left"), "prefixes")
         last = out[-1].select(F.col("id").alias("right"), F.element_at("words", -1).alias("tail"), F.col("f").alias("f_right"), "suffixes")
-        whole = names.join(first, "left").join(last, "right")
+        whole = often.where("id = block + number").select("id", "left", "right", "f").join(first, "left").join(last, "right")
         grown = lambda c: F.concat(c, F.array("f")).alias(c)
         out.append(keep(whole.select("id", "lang", F.concat("head", F.array("tail")).alias("words"), "f", grown("prefixes"), grown("suffixes"), "left", "right", "f_left", "f_right"), f"grams-{k}"))
-        named = rows.join(names, ["left", "right"]).select("block", "number", "id")
     return total, out
 
 

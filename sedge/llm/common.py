@@ -43,22 +43,33 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors."""
+def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Writes df to the shared folder (with the writer's options) and reads it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sedge-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_in = path
+    return kept
 
 
-def clear(spark: SparkSession) -> int:
-    """Deletes what keep() wrote; results that were not written elsewhere are lost with it."""
-    n = 0
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+def _delete(spark: SparkSession, where: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written() -> list[str]:
+    """Folders that keep() wrote and that are there still."""
+    return list(_WRITTEN)
+
+
+def clear(spark: SparkSession, *but: DataFrame, spare: Iterable[str] = ()) -> int:
+    """Deletes what keep() wrote, except `but` and the folders to `spare`; results that were not written elsewhere are lost with it."""
+    stay = {df.kept_in for df in but} | set(spare)
+    gone = [p for p in _WRITTEN if p not in stay]
+    _WRITTEN[:] = [p for p in _WRITTEN if p in stay]
+    return sum(_delete(spark, p) for p in gone)
 
 
 # ---- what a worker holds between tasks ----
@@ -67,7 +78,7 @@ def clear(spark: SparkSession) -> int:
 _CACHES: list[Callable[[], object]] = []
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Empties the caches of this worker and returns freed memory to the system: workers are used again, by other operators too."""
     for clear_cache in _CACHES:
         clear_cache()
@@ -85,7 +96,7 @@ def freed(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return task
 

@@ -368,5 +368,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     seen, _, groups = grouped(rows.select(F.col(row).alias("row"), "doc_id", "text"))
     blank = seen.where("n_shingles = 0").groupBy("doc_id", "text_hash").agg(F.min("row").alias("row")).select("row")
-    stay = keep(groups.select(F.col("lead.row").alias("row")).unionAll(blank).select(F.col("row").alias(row)), "stay")
-    return rows.join(stay, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    stay = groups.select(F.col("lead.row").alias("row")).unionAll(blank)
+    # what goes are fewer rows than what stays, as a rule
+    drop = keep(seen.select("row").join(stay, "row", "left_anti").select(F.col("row").alias(row)), "drop")
+    return rows.join(drop, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -5,9 +5,11 @@ on all that the stage before it kept. All but the last return the columns of
 documents. The labels table of sf_dir is what toxicity and quality learn from.
 
 Null and empty texts pass toxicity and go in quality, which asks for 50 words;
-very long texts are judged whole; repeated rows of a doc_id leave near_dedup as
-one; rows without doc_id stay, one of each text. Extra columns come along
-whatever they are called, up to the last stage. An empty table stays empty.
+very long texts are judged whole; each row is a document, so that near_dedup
+keeps one of repeated rows, of rows of one doc_id with different texts all that
+are no copies, and treats rows without doc_id like others. Extra columns come
+along whatever they are called, up to the last stage. An empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -15,31 +17,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sedge.llm import bpe, dedup, packing, pii, quality, toxicity
-from sedge.llm.common import keep, table
+from sedge.llm.common import clear, give_back, keep, table, written
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose expected severity is under the cut."""
-    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
+    """Documents whose expected severity is under the cut; null and blank texts stay, as do columns of any name; no labels, no cut."""
+    out = toxicity.accepted(docs, table(spark, sf_dir, "labels"))
+    give_back()  # what the fit held
+    return out
 
 
 def poor_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and that the forest finds usual."""
-    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+    """Documents that pass the base rule and that the forest finds usual; null and blank texts go, having no 50 words."""
+    out = quality.accepted(docs, table(spark, sf_dir, "labels"))
+    give_back()
+    return out
 
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One row of each group of near duplicates, that of the least doc_id; texts without words are copies only of their like under one doc_id."""
     return dedup.deduplicated(docs)
 
 
 def private_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data masked."""
+    """All documents, personal data masked; null stays null."""
     return pii.redacted(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their sequences and offsets."""
+    """Pieces with their sequences and offsets; a null or blank text is a piece of its end mark."""
     return packing.pack(docs, bpe.vocabulary())
 
 
@@ -50,7 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, others = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        clear(spark, docs, spare=others)  # the stage's own tables, and what it read
     return STAGES[-1][1](spark, docs, sf_dir)

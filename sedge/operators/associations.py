@@ -93,16 +93,30 @@ def battery(cells: DataFrame, key: str, lat: str, lon: str, models: Sequence[Mod
 
 
 def residuals(ranks: DataFrame, names: Sequence[str]) -> DataFrame:
-    """ranks with rx and ry, what the controls leave of x and y, and e, what rx leaves of ry: one variable at a time is taken from the rest, by sums over the model (a row a model, whose number the plan bounds)."""
+    """ranks with rx and ry, what the controls leave of x and y, and e, what rx leaves of ry.
+
+    One variable at a time is taken from the rest. The slopes come from one
+    table of sums of products (a row a model, whose number the plan bounds), so
+    ranks are read twice, however many controls there are. A variable of which
+    those before leave under 1e-10 of its squares takes nothing.
+    """
     left = [*names[2:], "x", "y"]
-    rows = ranks.join(F.broadcast(ranks.groupBy("model").agg(*(F.avg(v).alias(f"_m_{v}") for v in left))), "model").select(*ranks.columns, *((F.col(v) - F.col(f"_m_{v}")).alias(f"_{v}") for v in left))
+    pair = lambda a, b: f"_s_{a}_{b}" if left.index(a) <= left.index(b) else f"_s_{b}_{a}"
+    pairs = list(combinations_with_replacement(left, 2))
+    sums = ranks.groupBy("model").agg(F.count(F.lit(1)).alias("_n"), *(F.avg(v).alias(f"_m_{v}") for v in left), *(F.sum(F.col(a) * F.col(b)).alias(pair(a, b)) for a, b in pairs))
+    sums = sums.withColumns({pair(a, b): F.expr(f"{pair(a, b)} - _n * _m_{a} * _m_{b}") for a, b in pairs}).withColumns({f"_w_{v}": F.col(pair(v, v)) for v in left})
+    for k, v in enumerate(left[:-1]):
+        rest = left[k + 1 :]
+        some = F.col(pair(v, v)) > F.greatest(F.col(f"_w_{v}") * 1e-10, F.lit(1e-9))
+        sums = sums.withColumns({f"_b_{v}_{w}": F.when(some, F.col(pair(v, w)) / F.col(pair(v, v))).otherwise(0.0) for w in rest})
+        sums = sums.withColumns({pair(w, u): F.col(pair(w, u)) - F.col(f"_b_{v}_{w}") * F.col(pair(v, u)) for w, u in combinations_with_replacement(rest, 2)})
+    slopes = sums.select("model", *(f"_m_{v}" for v in left), *(f"_b_{v}_{w}" for v, w in combinations(left, 2)))
+    rows = ranks.join(F.broadcast(slopes), "model").withColumns({f"_{v}": F.col(v) - F.col(f"_m_{v}") for v in left})
     for k, v in enumerate(left[:-1]):
         if v == "x":
             rows = rows.withColumn("rx", F.col("_x")).withColumn("ry", F.col("_y"))
-        rest = left[k + 1 :]
-        slopes = rows.groupBy("model").agg(*(F.when(F.sum(F.col(f"_{v}") * F.col(f"_{v}")) > 1e-9, F.sum(F.col(f"_{v}") * F.col(f"_{w}")) / F.sum(F.col(f"_{v}") * F.col(f"_{v}"))).otherwise(0.0).alias(f"_b_{w}") for w in rest))
-        rows = rows.join(F.broadcast(slopes), "model").withColumns({f"_{w}": F.col(f"_{w}") - F.col(f"_b_{w}") * F.col(f"_{v}") for w in rest}).drop(*(f"_b_{w}" for w in rest))
-    return rows.withColumn("e", F.col("_y")).drop(*(f"_{v}" for v in left))
+        rows = rows.withColumns({f"_{w}": F.col(f"_{w}") - F.col(f"_b_{v}_{w}") * F.col(f"_{v}") for w in left[k + 1 :]})
+    return rows.select(*ranks.columns, "rx", "ry", F.col("_y").alias("e"))
 
 
 #: Nodes and weights on (0, 1) of the double exponential rule, which holds at ends where powers below 1 meet.
@@ -142,16 +156,17 @@ def spatial_inference(cells: DataFrame, key: str, lat: str, lon: str, models: Se
 
     n_eff is Clifford, Richardson and Hemon's: 1 + n^2 / sum over pairs of the
     products of both residuals' autocorrelations in classes of `width` degrees
-    up to `reach` (all pairs if the table spans less); df is n_eff - 2 less one
-    for each control. moran is Moran's I of what is left of the response, over
+    up to `reach` (all pairs if the table spans less), which meet by blocks;
+    df is n_eff - 2 less one for each control. moran is Moran's I of what is left of the response, over
     neighbours within `radius`.
     """
     names = variables(models)
-    r = residuals(dealt(cells, key, lat, lon, models), names).select("model", F.col(key).alias("_k"), "rx", "ry", "e").cache()
+    r = residuals(dealt(cells, key, lat, lon, models), names).select("model", F.col(key).alias("_k"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), F.lit(1.0).alias("one"), "rx", "ry", "e").cache()
     stats = r.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rx") * F.col("rx")).alias("xx"), F.sum(F.col("ry") * F.col("ry")).alias("yy"), F.sum(F.col("rx") * F.col("ry")).alias("xy"), F.sum(F.col("e") * F.col("e")).alias("ee"))
-    pairs = P.neighbours(cells, key, lat, lon, reach).select("a", "b", F.ceil(F.round(F.col("distance") / width, 9)).alias("class"), (F.col("distance") <= radius).alias("near"))
-    met = pairs.join(r.select(F.col("_k").alias("a"), "model", F.col("rx").alias("xa"), F.col("ry").alias("ya"), F.col("e").alias("ea")), "a").join(r.select(F.col("_k").alias("b"), "model", F.col("rx").alias("xb"), F.col("ry").alias("yb"), F.col("e").alias("eb")), ["b", "model"])
-    classes = met.groupBy("model", "class").agg(F.count(F.lit(1)).alias("w"), F.sum(F.col("xa") * F.col("xb")).alias("gx"), F.sum(F.col("ya") * F.col("yb")).alias("gy"), F.count(F.when(F.col("near"), 1)).alias("m"), F.sum(F.when(F.col("near"), F.col("ea") * F.col("eb"))).alias("ge"))
+    # a row a cell with all models' values; rows of one key and place add up, as their products do
+    by = lambda m, v: F.sum(F.when(F.col("model") == m, F.col(v)).otherwise(0.0))
+    wide = r.groupBy("_k", "_lat", "_lon").agg(*(by(m.name, v).alias(f"{v}{i}") for i, m in enumerate(models) for v in ("one", "rx", "ry", "e")))
+    classes = P.class_sums(wide, "_k", "_lat", "_lon", [m.name for m in models], radius, width, reach)
     rho = lambda g, s: F.col(g) / F.col("w") / (F.col(s) / F.col("n"))
     total = classes.join(stats, "model").groupBy("model").agg(F.sum(F.col("w") * rho("gx", "xx") * rho("gy", "yy")).alias("_v"), F.sum("m").alias("m"), F.sum("ge").alias("ge"))
     g = stats.join(total, "model", "left")

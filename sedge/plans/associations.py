@@ -97,6 +97,6 @@ def registered_tests(spark, sf_dir):
     table = cells(spark, sf_dir)
     blocks = A.battery(table, "k", "lat", "lon", MODELS, 1.0, DRAWS, "battery").select("model", "cells", "partial", "lo", "hi", "p")
     spatial = A.spatial_inference(table, "k", "lat", "lon", MODELS, 0.26, 0.5, 1000.0).select("model", "n_eff", F.col("p").alias("p_n_eff"), "moran")
-    both = blocks.join(spatial, "model").withColumn("_f", F.lit(1))  # a family of as many tests as the plan has models
+    both = blocks.join(spatial, "model").withColumn("_f", F.lit(1)).cache()  # a family of as many tests as the plan has models, which the adjustments read eight times
     one = I.adjusted(both, ["_f"], "p").withColumnsRenamed({"bh": "p_bh", "holm": "p_holm"})
     return I.adjusted(one, ["_f"], "p_n_eff").withColumnRenamed("holm", "p_n_eff_holm").drop("_f", "bh")

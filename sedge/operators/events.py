@@ -4,12 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions.calendar import same_date
 
 
+#: Units or controls of a block, about, and pairs of them that one step of a task meets.
+BLOCK, STEP = 4096, 1 << 17
+
+
+def nearest(units: DataFrame, controls: DataFrame, by: str, key: str, x: Sequence[str], count: int) -> DataFrame:
+    """(unit, control, d, place): the `count` controls of the same `by` nearest to each unit in x; distances equal to nine digits go by the control's key, null ones come last.
+
+    units, controls: by, key (long) and x. Blocks of units meet blocks of
+    controls and each unit keeps its best of every block, so that a task holds
+    two blocks and what is ranked is `count` rows a unit and block.
+    """
+    blocks = lambda df, name: df.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
+    counts = blocks(units, "_is").join(blocks(controls, "_js"), by)
+    own = lambda n: F.pmod(F.xxhash64(key), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    shape = lambda df, i, j, unit: df.join(counts, by).select(F.col(by).alias("_by"), i.alias("_i"), j.alias("_j"), F.lit(unit).alias("_unit"), F.col(key).cast("long").alias("_key"), *(F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(x)))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_key")  # so that the first of equal ones has the least key
+        is_unit, keys = t["_unit"].to_numpy(), t["_key"].to_numpy()
+        at = np.column_stack([t[f"_x{k}"].to_numpy() for k in range(len(x))])
+        a, b = np.flatnonzero(is_unit), np.flatnonzero(~is_unit)
+        found = []
+        step = max(1, STEP // max(1, len(b)))
+        for lo in range(0, len(a) if len(b) else 0, step):
+            part = a[lo : lo + step]
+            d = np.sqrt(sum((at[part, None, k] - at[b, k]) ** 2 for k in range(len(x))))
+            rank = np.where(np.isnan(d), 1e300, np.floor(d * 1e9 + 0.5))
+            for _ in range(min(count, len(b))):
+                best = rank.argmin(1)
+                rows = np.arange(len(part))
+                found.append((keys[part], keys[b[best]], d[rows, best]))
+                rank[rows, best] = np.inf
+        unit, control, d = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"unit": unit, "control": control, "d": pa.array(d, mask=np.isnan(d))})
+
+    met = shape(units, own("_is"), every("_js"), True).unionAll(shape(controls, every("_is"), own("_js"), False))
+    best = met.groupBy("_by", "_i", "_j").applyInArrow(run, "unit long, control long, d double")
+    place = F.row_number().over(Window.partitionBy("unit").orderBy(F.col("d").isNull(), F.round("d", 9), "control"))
+    return best.withColumn("place", place).where(F.col("place") <= count)
+
+
 def matched_dates(events: DataFrame, day: str, years: Sequence[int], reach: int) -> DataFrame:
     """Each event with the dates within `reach` days of the same date in the other years.
 

@@ -139,7 +139,5 @@ def nearest_controls(spark, sf_dir):
     a = read(spark, sf_dir, "supplier").join(q, "s_suppkey")
     stats = a.agg(*(f(c).alias(f"{n}_{c}") for c in ("s_acctbal", "q") for n, f in (("m", F.avg), ("s", F.stddev_samp))))
     z = a.crossJoin(F.broadcast(stats)).select("s_suppkey", (F.col("s_nationkey") % 5).alias("zone"), (F.col("s_suppkey") % 7 == 0).alias("treated"), ((F.col("s_acctbal") - F.col("m_s_acctbal")) / F.col("s_s_acctbal")).alias("z1"), ((F.col("q") - F.col("m_q")) / F.col("s_q")).alias("z2"))
-    t = z.where("treated").select(F.col("s_suppkey").alias("unit"), "zone", F.col("z1").alias("t1"), F.col("z2").alias("t2"))
-    d = t.join(z.where("not treated").select(F.col("s_suppkey").alias("control"), "zone", "z1", "z2"), "zone").withColumn("d", F.sqrt(F.pow(F.col("t1") - F.col("z1"), 2) + F.pow(F.col("t2") - F.col("z2"), 2)))
-    place = F.row_number().over(Window.partitionBy("unit").orderBy(F.round("d", 9), "control"))
-    return d.withColumn("place", place).where("place <= 3").select("unit", "control", "place", r6("d", "distance"))
+    near = E.nearest(z.where("treated"), z.where("not treated"), "zone", "s_suppkey", ["z1", "z2"], 3)
+    return near.select("unit", "control", "place", r6("d", "distance"))

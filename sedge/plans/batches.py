@@ -9,7 +9,7 @@ from sedge.kernels import dynamics as D
 from sedge.operators import series_tests as T
 from sedge.plans.coupled import measures
 from sedge.plans.registry import query
-from sedge.sources.cubes import read_points, write_cube
+from sedge.sources.cubes import DAYS, fitting, read_points, write_cube
 from sedge.sources.parts import Batch, scratch
 from sedge.sources.tables import read
 
@@ -70,9 +70,10 @@ def blocked_point_reads(spark, sf_dir):
     """A cube of days and places written in chunks, read at the places and days of urgent orders of one year: only chunks that they touch."""
     items = read(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate", "l_quantity"])
     place = lambda k: ((F.floor(k / 10) * 0.25).alias("lat"), ((k % 10) * 0.25).alias("lon"))
-    cube = items.groupBy(F.to_date("l_shipdate").alias("day"), *place(F.col("l_suppkey"))).agg(F.round(F.sum("l_quantity"), 6).alias("x"))
+    placed = items.select(F.to_date("l_shipdate").alias("day"), *place(F.col("l_suppkey")), "l_quantity")
+    cube = placed.groupBy("day", "lat", "lon").agg(F.round(F.sum("l_quantity"), 6).alias("x"))
     orders = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and year(o_orderdate) = 1997")
     points = orders.select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day"), *place(F.col("o_custkey") % 100))
-    path = scratch(spark)
-    write_cube(cube, path, "day", "lat", "lon")
-    return read_points(spark, path, points, "day", "lat", "lon", ["x"]).select("k", "day", "lat", "lon", (F.col("x") + F.lit(0.0)).alias("x"))
+    path, degrees = scratch(spark), fitting(placed, "day", "lat", "lon")
+    write_cube(cube, path, "day", "lat", "lon", DAYS, degrees)
+    return read_points(spark, path, points, "day", "lat", "lon", ["x"], DAYS, degrees).select("k", "day", "lat", "lon", (F.col("x") + F.lit(0.0)).alias("x"))

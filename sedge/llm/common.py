@@ -235,13 +235,18 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def label_of(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label): null labels and ids don't count; of unequal labels of one doc_id the least holds."""
+    return labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """docs with an int column `label`: about `rows` labelled documents, or all if there are fewer.
 
     Those with the smallest hash of doc_id, the same ones on every run. Null
     labels and ids don't count; of unequal labels of one doc_id the least holds.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+    known = label_of(labels, label)
     share = min(1.0, rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     return docs.drop("label").join(F.broadcast(chosen), "doc_id")  # about `rows` pairs of numbers

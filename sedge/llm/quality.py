@@ -6,17 +6,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from sedge.llm.common import freed, labelled, mix, segment_bounds, segment_sums, text_batches, words
+from sedge.llm.common import clear, freed, keep, label_of, mix, segment_bounds, segment_sums, text_batches, words, written
 
-#: Labelled rows that the forest is fitted and calibrated on, at most.
-FIT_ROWS = 20_000
 #: Characters that count as symbols, fixed by the rule.
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RATIOS = ["mean_word", "symbols_per_word", "repeated", "upper", "exclaims", "bars", "marks_per_word"]
 TREES, SUBSAMPLE, SEED = 128, 256, 20240229
+#: Bins of the scores, each of which is cumulated in one task.
+BINS = 4096
 #: The share of good labelled documents that pass the base rule and that the threshold may reject, at most.
 LOSE_GOOD = 0.004
 
@@ -104,19 +105,25 @@ def _c(n: float) -> float:
     return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def grow(x: np.ndarray, trees: int = TREES, size: int = SUBSAMPLE, seed: int = SEED) -> Forest:
-    """Random splits over random features; a split may fall outside of the node's range by half of it, so that what lies beyond all that was seen is cut off early."""
+def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray, deviation: np.ndarray, trees: int = TREES, size: int = SUBSAMPLE, seed: int = SEED) -> Forest:
+    """Random splits over random features; a split may fall outside of the node's range by half of it, so that what lies beyond all that was seen is cut off early.
+
+    x: rows in random order, of which each tree takes its own `size`, or draws
+    them if there are too few for that. low, high and deviation are those of
+    all rows, in x or not.
+    """
     rng = np.random.default_rng(seed)
+    apart = len(x) >= trees * size
     size = min(size, len(x))
     depth = max(1, int(np.ceil(np.log2(max(size, 2)))))
     n = 2 ** (depth + 1)
     shape = (trees, n)
     feature, split = np.full(shape, -1), np.zeros(shape)
     left, right, length = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape)
-    low, high = (x.min(0), x.max(0)) if len(x) else (0, 0)
-    wide = np.maximum(x.std(0), 0.02 * np.maximum(1, np.abs(x).max(0))) if len(x) else 1.0
+    wide = np.maximum(deviation, 0.02 * np.maximum(1, np.maximum(np.abs(low), np.abs(high))))
     for t in range(trees):
-        todo, used = [(0, x[rng.choice(len(x), size, replace=False)] if len(x) else x, 0)], 1
+        mine = x[t * size : (t + 1) * size] if apart else x[rng.choice(len(x), size, replace=False)] if len(x) else x
+        todo, used = [(0, mine, 0)], 1
         while todo:
             node, rows, d = todo.pop()
             if d == depth or len(rows) <= 1:
@@ -132,45 +139,71 @@ def grow(x: np.ndarray, trees: int = TREES, size: int = SUBSAMPLE, seed: int = S
     return Forest(feature, split, left, right, length, depth, max(_c(size), 1.0))
 
 
-def fit(x: np.ndarray, good: np.ndarray, failed: np.ndarray, trees: int = TREES) -> Forest:
-    """Grows the forest on the good rows that pass the base rule and sets the threshold from all labelled rows that do.
+def threshold(scores: DataFrame) -> float:
+    """Of the thresholds that reject at most LOSE_GOOD of the good rows, the one that parts good and bad best (rates of both; midway to the next score).
 
-    Of the thresholds that reject at most LOSE_GOOD of the good rows, the one
-    that parts good and bad best (rates of both; midway to the next score).
-    With fewer than 20 such good rows nothing is known and all are kept.
+    scores: score, good and bad (how many rows have it), each score once. Rows
+    are counted up to every score: within a bin, after all that lower bins have.
     """
-    x, good = x[~failed], good[~failed]
-    if good.sum() < 20:
-        forest = grow(np.zeros((0, len(RATIOS))), 1)
-        forest.threshold = 2.0
-        return forest
-    forest = grow(x[good], trees)
-    score = forest.score(x)
-    ordered = np.unique(score)
-    lost = 1 - np.searchsorted(np.sort(score[good]), ordered, "right") / good.sum()
-    caught = 1 - np.searchsorted(np.sort(score[~good]), ordered, "right") / max(1, (~good).sum())
-    worth = np.where(lost <= LOSE_GOOD, caught - lost, -1.0)
-    at = int(np.argmax(worth))
-    forest.threshold = float(ordered[at] + ordered[min(at + 1, len(ordered) - 1)]) / 2 + 1e-9
-    return forest
-
-
-def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Forest:
-    """The forest of at most about `rows` labelled documents (quality 1 is good); their statistics come to the driver, not their texts."""
-    known = labelled(docs, labels, "quality", rows)
+    binned = scores.withColumn("bin", F.least(F.floor(F.col("score") * BINS), F.lit(BINS)))
+    totals = binned.groupBy("bin").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    lower, whole = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
+    # at most BINS + 1 rows
+    totals = totals.select("bin", *(F.coalesce(F.sum(c).over(lower), F.lit(0)).alias(f"{c}0") for c in "gb"), *(F.sum(c).over(whole).alias(f"{c}1") for c in "gb"))
+    up = Window.partitionBy("bin").orderBy("score")
+    upto = binned.join(F.broadcast(totals), "bin").select("score", *((F.sum(c).over(up) + F.col(f"{k}0")).alias(k) for c, k in (("good", "g"), ("bad", "b"))), "g1", "b1")
+    lost, caught = 1 - F.col("g") / F.col("g1"), 1 - F.col("b") / F.greatest(F.col("b1"), F.lit(1))
+    best = upto.where(lost <= LOSE_GOOD).agg(F.max(F.struct((caught - lost).alias("worth"), (-F.col("score")).alias("at")))["at"]).first()[0]
+    at = -best
+    after = scores.where(F.col("score") > at).agg(F.min("score")).first()[0]
+    return float(at + (at if after is None else after)) / 2 + 1e-9
+
+
+def fit_on(docs: DataFrame, labels: DataFrame) -> Forest:
+    """The forest of all labelled documents that pass the base rule (quality 1 is good): grown on the good ones, its threshold set on all.
+
+    Each tree takes SUBSAMPLE good rows, as the method has it, drawn by hash
+    from all of them; ranges, deviations and the threshold are aggregates over
+    all rows. The drawn rows' statistics come to the driver, no texts. With
+    fewer than 20 good rows nothing is known and all are kept.
+    """
+    id_type, others = docs.schema["doc_id"].dataType.simpleString(), written()
 
     def run(batches):
         for b in batches:
             counts, x = statistics(b)
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(base_failed(counts)), *(pa.array(c) for c in x.T)], ["label", "failed", *RATIOS])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in x.T)], ["doc_id", *RATIOS]).filter(pa.array(~base_failed(counts)))
+
+    # statistics meet the labels, not texts: both tables grow
+    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(freed(run), f"doc_id {id_type}, " + ", ".join(f"{c} double" for c in RATIOS))
+    rows = keep(rows.join(label_of(labels, "quality"), "doc_id"), "quality-labelled")
+    good = rows.where("label = 1")
+    ends = good.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{k}_{c}") for k, f in (("low", F.min), ("high", F.max), ("wide", F.stddev_pop)) for c in RATIOS)).first()
+    if ends["n"] < 20:
+        clear(docs.sparkSession, spare=others)
+        none = np.zeros(len(RATIOS))
+        forest = grow(np.zeros((0, len(RATIOS))), none, none, none, 1)
+        forest.threshold = 2.0
+        return forest
+    drawn = good.orderBy(F.xxhash64(F.lit(SEED), "doc_id", *RATIOS), *RATIOS).limit(TREES * SUBSAMPLE).select(*RATIOS).toArrow()
+    low, high, wide = (np.array([ends[f"{k}_{c}"] for c in RATIOS]) for k in ("low", "high", "wide"))
+    # sums come in any order: digits that hold whatever it is
+    forest = grow(np.column_stack([drawn[c].to_numpy() for c in RATIOS]), low, high, wide.round(9))
+    model = docs.sparkSession.sparkContext.broadcast(forest)
 
-    found = known.select("doc_id", "text", "label").mapInArrow(freed(run), "label int, failed boolean, " + ", ".join(f"{c} double" for c in RATIOS)).toArrow()
-    x = np.column_stack([found[c].to_numpy() for c in RATIOS]) if found.num_rows else np.zeros((0, len(RATIOS)))
-    order = np.lexsort(x.T) if len(x) else np.zeros(0, np.int64)  # whatever order the rows came in
-    return fit(x[order], found["label"].to_numpy()[order] == 1, found["failed"].to_numpy()[order])
+    def scored(batches):
+        for b in batches:
+            x = np.column_stack([b.column(k).to_numpy() for k in range(len(RATIOS))])
+            is_good = b.column(len(RATIOS)).to_numpy() == 1
+            yield pa.RecordBatch.from_arrays([pa.array(model.value.score(x)), pa.array(is_good.astype(np.int64)), pa.array((~is_good).astype(np.int64))], ["score", "good", "bad"])
+
+    scores = rows.select(*RATIOS, "label").mapInArrow(freed(scored), "score double, good long, bad long").groupBy("score").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    forest.threshold = threshold(keep(scores, "quality-scores"))
+    clear(docs.sparkSession, spare=others)
+    return forest
 
 
-def judge(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the rule statistics, base_failed, score and kept of every whole text.
 
     Null or empty text has no words: all counts 0, base_failed, not kept.
@@ -179,7 +212,7 @@ def judge(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame
     count whole. Repeated rows and doc_ids repeat; no rows, no rows; other
     columns don't matter.
     """
-    forest = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, rows))
+    forest = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", *COUNTS, "base_failed", "score", "kept"]
 
@@ -193,13 +226,13 @@ def judge(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(freed(run), f"doc_id {id_type}, {kinds}, base_failed boolean, score double, kept boolean")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that judge() keeps, with all their columns whatever they are called.
 
     Null and empty texts have no words and go; repeated rows go or stay
     together; an empty table gives an empty one.
     """
-    forest = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, rows))
+    forest = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels))
 
     def run(batches):
         for b in batches:

@@ -155,6 +155,12 @@ def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(one, "src").join(two, "dst").select("src", "dst", "a", "b").mapInArrow(freed(run), "src long, dst long")
 
 
+def star(joined: DataFrame) -> DataFrame:
+    """Edges (src, dst) with the components of (id, low): an id with the least of its lows, and that with its others, which many ids share. An id has a low a band at most."""
+    lows = joined.groupBy("id").agg(F.collect_set("low").alias("lows")).select("id", "lows", F.array_min("lows").alias("dst"))
+    return lows.select(F.explode(F.concat(F.array("id"), "lows")).alias("src"), "dst").where("src != dst").distinct()
+
+
 def coarse(classes: DataFrame) -> DataFrame:
     """(node, root) of classes that may be linked: a superset of the true components. classes: id, bands, sig."""
     rows = classes.select("id", F.explode("bands").alias("key"))
@@ -162,7 +168,7 @@ def coarse(classes: DataFrame) -> DataFrame:
     # a passage that very many texts share makes a bucket of as many rows: its rows are dealt over several parts
     hot = hot_keys(sizes, "key", sizes.agg(F.sum("n")).first()[0] or 0)
     rows = keep(spread_join(rows, sizes, "key", hot).select("key", "id", "n", "low"), "bands")
-    large = rows.where(F.col("n") > BUCKET).select(F.col("id").alias("src"), F.col("low").alias("dst")).distinct()
+    large = star(rows.where(F.col("n") > BUCKET).select("id", "low"))
     members = rows.where(F.col("n") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("all"))
     pairs = members.select(F.explode(F.expr("flatten(transform(all, (a, i) -> transform(slice(all, i + 2, size(all)), b -> struct(a as src, b as dst))))")).alias("p")).select("p.*")
     small = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED_BANDS).select("src", "dst")

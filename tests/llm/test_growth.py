@@ -137,3 +137,16 @@ def test_rare_languages_are_learned(spark):
     rows = [(i, "the of and " * 40, "en") for i in range(3000)] + [(5000 + i, "żółć gęś " * 40, "pl") for i in range(12)]
     got = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 60).to_pandas()
     assert set(got.lang) == {"en", "pl"} and (got.lang == "pl").sum() >= 12
+
+
+def test_large_buckets_make_stars(spark):
+    """Pipeline: ids that share many large buckets are joined by an edge each, not by one for each bucket; the components stay."""
+    from sedge.llm.components import components
+    from sedge.llm.dedup import star
+
+    rows = [(i, b * 7 if i >= b * 7 else i) for i in range(40, 400) for b in range(6)] + [(1000 + i, 1000) for i in range(30)] + [(1005, 3)]
+    joined = spark.createDataFrame(rows, "id long, low long")
+    edges = star(joined)
+    whole = components(joined.selectExpr("id as src", "low as dst"), "whole").collect()
+    assert sorted(map(tuple, components(edges, "star").collect())) == sorted(map(tuple, whole))
+    assert edges.count() < 450 < joined.where("id != low").distinct().count() / 4

@@ -4,9 +4,12 @@ Texts are read once, into blocks of a language: a block is its words by numbers
 of its own, with a 0 where a piece ends. Words that are frequent over the whole
 corpus get a global id by a join; then, for k from 2 to 5, each place where two
 (k-1)-grams with ids are adjacent is a pair of ids, pairs are counted over all
-blocks, and frequent ones get an id by a join again. A phrase's pair of ids is
-also its pointers to its first and last k-1 words: counts of all prefixes and
-suffixes, and what a longer phrase makes superfluous, are found along them.
+blocks, and frequent ones get an id by a join again. Most pairs are rare, so
+pairs are first counted by bin of their hash, about a byte a pair of a block;
+only pairs of bins that are frequent as a whole, which all frequent pairs are
+in, become rows and are counted one by one. A phrase's pair of ids is also its
+pointers to its first and last k-1 words: counts of all prefixes and suffixes,
+and what a longer phrase makes superfluous, are found along them.
 """
 
 from __future__ import annotations
@@ -17,12 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.llm.common import freed, give_back, keep
+from sedge.llm.common import drop, freed, give_back, keep, mix
 
 #: Occurrences that make a phrase a candidate, words of the longest, phrases returned for each language.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text in a block.
 BLOCK_BYTES = 1 << 24
+#: Words for each bin of pairs, bins that one task adds up at once.
+BIN_WORDS, RANGE_BINS = 4, 1 << 19
 ZSTD = {"compression": "zstd"}
 
 # Characters that end a piece, and those that part words.
@@ -43,13 +48,17 @@ class _Numbers(dict):
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    """Numbers in two bytes each, or four if they need them; the first byte says which."""
-    kind = "<u2" if not len(numbers) or numbers.max() < 1 << 16 else "<u4"
-    return bytes([int(kind[2])]) + numbers.astype(kind).tobytes()
+    """Numbers from 0 on in as few bytes each as the largest needs, all first bytes first, compressed; their count and width stand before."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(numbers).to_bytes(7, "little") + bytes([width]) + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64)
+    n, width = int.from_bytes(packed[:7], "little"), packed[7]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.Codec("zstd").decompress(packed[8:], n * width), np.uint8).reshape(width, n).T
+    return out.view("<i8").reshape(n)
 
 
 def _after_null(numbers: np.ndarray) -> pa.Array:
@@ -104,45 +113,103 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(freed(run), "block long, lang string, number long, word string, n long, places binary")
 
 
+def _merged(places: np.ndarray) -> np.ndarray:
+    """One 0 parts as well as several."""
+    return places[(places > 0) | np.concatenate([[True], places[:-1] > 0])]
+
+
+def _adjacent(at: np.ndarray, id_of: np.ndarray, bins: int) -> tuple[np.ndarray, ...]:
+    """Where two grams are adjacent in the places `at`, which pair each is; and of each pair the ids, count and bin."""
+    where = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
+    size = len(id_of)
+    pair, back, times = np.unique(at[where] * size + at[where + 1], return_inverse=True, return_counts=True)
+    left, right = id_of[pair // size], id_of[pair % size]
+    bin_of = mix(mix(left) + right.astype(np.uint64)) % np.uint64(bins)
+    return where, back, left, right, times, bin_of.astype(np.int64)
+
+
+_BINNED = pa.schema([("block", pa.int64()), ("range", pa.int64()), ("bins", pa.binary()), ("n", pa.binary()), ("places", pa.binary()), ("ids", pa.binary())])
 _PAIRS = pa.schema([("block", pa.int64()), ("number", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64()), ("places", pa.binary())])
 
 
-def pairs(places: DataFrame, named: DataFrame) -> DataFrame:
-    """Adjacent named grams of each block, as pairs of ids with a number within the block and a count, and a row with the places of these numbers.
+def _by_block(left: DataFrame, right: DataFrame, run, schema: pa.Schema) -> DataFrame:
+    """run(left, right) for the rows of each block that has some in both."""
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right) if left.num_rows and right.num_rows else schema.empty_table()
+        finally:
+            give_back()
+
+    kinds = {pa.int64(): "long", pa.binary(): "binary"}
+    fresh = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns)).groupBy("block")  # noqa: E731  both may come from one table
+    return fresh(left).cogroup(fresh(right)).applyInArrow(task, ", ".join(f"`{f.name}` {kinds[f.type]}" for f in schema))
+
+
+def binned(places: DataFrame, named: DataFrame, ranges: int, least: int, range_bins: int = RANGE_BINS) -> DataFrame:
+    """For each block a row with its places of named grams and their ids, and for each range of bins one with its bins and their counts (`least` at most).
 
     places: block, places; named: block, number, id of the grams that have one.
     """
 
-    def named_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _PAIRS.empty_table()
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         at = _unpacked(left["places"][0].as_py())
         number, ids = right["number"].to_numpy(), right["id"].to_numpy()
-        size = max(int(at.max(initial=0)), int(number.max())) + 1
-        known, id_of = np.zeros(size, bool), np.zeros(size, np.int64)
-        known[number], id_of[number] = True, ids
-        known[0] = False
-        ok = known[at]
-        where = np.flatnonzero(ok[:-1] & ok[1:])
-        if not len(where):
-            return _PAIRS.empty_table()
-        pair, back, times = np.unique(at[where] * size + at[where + 1], return_inverse=True, return_counts=True)
-        new = np.zeros(len(at), np.uint32)
-        new[where] = back + 1
-        new = new[(new > 0) | np.concatenate([[True], new[:-1] > 0])]  # one 0 parts as well as several
-        n, block = len(pair), left["block"][0].as_py()
-        first, last = (np.concatenate([[0], id_of[x]]) for x in (pair // size, pair % size))
-        return pa.table([pa.array(np.full(n + 1, block)), _after_null(np.arange(n + 1)), _after_null(first), _after_null(last), _after_null(np.concatenate([[0], times])), _first(_packed(new), n)], schema=_PAIRS)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = np.zeros(max(int(at.max(initial=0)), int(number.max())) + 1, np.int64)
+        own[number] = np.arange(1, len(number) + 1)
+        own[0] = 0
+        at, ids = _merged(own[at]), np.concatenate([[0], ids])
+        *_, times, bin_of = _adjacent(at, ids, ranges * range_bins)
+        if not len(times):
+            return _BINNED.empty_table()
+        order = np.argsort(bin_of)
+        bins, start = np.unique(bin_of[order], return_index=True)
+        count = np.minimum(np.add.reduceat(times[order], start), least)
+        edge = np.flatnonzero(np.diff(bins // range_bins, prepend=-1))
+        parts = list(zip(edge, [*edge[1:], len(bins)], strict=True))
+        block, none = left["block"][0].as_py(), [None] * len(parts)
+        steps = [np.diff(bins[a:b], prepend=bins[a] // range_bins * range_bins) for a, b in parts]
+        return pa.table([[block] * (len(parts) + 1), [None, *(bins[edge] // range_bins).tolist()], [None, *map(_packed, steps)], [None, *(_packed(count[a:b]) for a, b in parts)], [_packed(at), *none], [_packed(ids), *none]], schema=_BINNED)
+
+    return _by_block(places, named, run, _BINNED)
+
+
+def frequent_bins(rows: DataFrame, least: int, range_bins: int = RANGE_BINS) -> DataFrame:
+    """(block, range, bins) with those of each row's bins that hold `least` pairs or more over all blocks. rows: block, range, bins, n."""
+
+    def run(rows: pa.Table) -> pa.Table:
         try:
-            return named_pairs(left, right)
+            total, first = np.zeros(range_bins, np.int64), rows["range"][0].as_py() * range_bins
+            for bins, n in zip(rows["bins"], rows["n"], strict=True):
+                total[np.cumsum(_unpacked(bins.as_py()))] += _unpacked(n.as_py())
+            often = total >= least
+            out = [b[often[b]] for b in (np.cumsum(_unpacked(bins.as_py())) for bins in rows["bins"])]
+            some = [i for i, b in enumerate(out) if len(b)]
+            return pa.table({"block": rows["block"].take(pa.array(some, pa.int64())), "range": rows["range"].take(pa.array(some, pa.int64())), "bins": pa.array([_packed(np.diff(out[i] + first, prepend=0)) for i in some], pa.binary())})
         finally:
             give_back()
 
-    kind = "block long, number long, left long, right long, n long, places binary"
-    fresh = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns)).groupBy("block")  # noqa: E731  both may come from one table
-    return fresh(places).cogroup(fresh(named)).applyInArrow(run, kind)
+    return rows.select("block", "range", "bins", "n").groupBy("range").applyInArrow(run, "block long, `range` long, bins binary")
+
+
+def pairs(places: DataFrame, often: DataFrame, ranges: int, range_bins: int = RANGE_BINS) -> DataFrame:
+    """Adjacent named grams of each block whose bin is frequent, as pairs of ids with a number within the block and a count, and a row with the places of these numbers.
+
+    places: block, places, ids; often: block, bins.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        at, ids = (_unpacked(left[c][0].as_py()) for c in ("places", "ids"))
+        where, back, first, last, times, bin_of = _adjacent(at, ids, ranges * range_bins)
+        often = np.isin(bin_of, np.concatenate([np.cumsum(_unpacked(b.as_py())) for b in right["bins"]]))
+        number = np.where(often, np.cumsum(often), 0)
+        new = np.zeros(len(at), np.int64)
+        new[where] = number[back]
+        n, block = int(often.sum()), left["block"][0].as_py()
+        column = lambda values: _after_null(np.concatenate([[0], values[often]]))
+        return pa.table([pa.array(np.full(n + 1, block)), _after_null(np.arange(n + 1)), column(first), column(last), column(times), _first(_packed(_merged(new)), n)], schema=_PAIRS)
+
+    return _by_block(places, often, run, _PAIRS)
 
 
 def frequent(rows: DataFrame, key: list[str], least: int, k: int) -> DataFrame:
@@ -169,18 +236,24 @@ def grams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_byt
     read = keep(blocks(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), block_bytes), "places-1", **ZSTD)
     rows = read.where("number is not null")
     total = keep(rows.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    ranges = (total.agg(F.sum("n")).first()[0] or 0) // (BIN_WORDS * RANGE_BINS) + 1
     often = frequent(rows.select("block", "number", "n", "lang", "word"), ["lang", "word"], least, 1)
     # a gram's row where its id comes from is the one that stands for it
     names = often.where("id = block + number")
     out = [names.select("id", "lang", F.array("word").alias("words"), "f", F.array("f").alias("prefixes"), F.array("f").alias("suffixes"))]
     for k in range(2, longest + 1):
-        read = keep(pairs(read.where("number is null").select("block", "places"), often.select("block", "number", "id")), f"places-{k}", **ZSTD)
+        bins = keep(binned(read.where("number is null").select("block", "places"), often.select("block", "number", "id"), ranges, least), f"bins-{k}", **ZSTD)
+        drop(read)
+        kept = frequent_bins(bins.where("`range` is not null"), least)
+        read = keep(pairs(bins.where("`range` is null").select("block", "places", "ids"), kept.select("block", "bins"), ranges), f"places-{k}", **ZSTD)
+        drop(bins)
         often = frequent(read.where("number is not null").select("block", "number", "n", "left", "right"), ["left", "right"], least, k)
         first = out[-1].select(F.col("id").alias("left"), "lang", F.col("words").alias("head"), F.col("f").alias("f_left"), "prefixes")
         last = out[-1].select(F.col("id").alias("right"), F.element_at("words", -1).alias("tail"), F.col("f").alias("f_right"), "suffixes")
         whole = often.where("id = block + number").select("id", "left", "right", "f").join(first, "left").join(last, "right")
         grown = lambda c: F.concat(c, F.array("f")).alias(c)
         out.append(keep(whole.select("id", "lang", F.concat("head", F.array("tail")).alias("words"), "f", grown("prefixes"), grown("suffixes"), "left", "right", "f_left", "f_right"), f"grams-{k}"))
+    drop(read)
     return total, out
 
 

@@ -72,6 +72,12 @@ def clear(spark: SparkSession, *but: DataFrame, spare: Iterable[str] = ()) -> in
     return sum(_delete(spark, p) for p in gone)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes what keep() wrote for df; all that is read from it must have been written."""
+    _WRITTEN.remove(df.kept_in)
+    _delete(df.sparkSession, df.kept_in)
+
+
 # ---- what a worker holds between tasks ----
 
 #: What empties a worker's caches; modules that have one add it.

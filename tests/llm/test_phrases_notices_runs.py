@@ -8,8 +8,9 @@ from collections import Counter
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
-from sedge.llm import collocations, licenses, periodic
+from sedge.llm import collocations, common, licenses, periodic
 
 SCHEMA = "doc_id long, text string, lang string, n long, runs string, block long, score string"
 
@@ -78,6 +79,44 @@ def test_scores_beyond_64_bits(spark):
     assert row.select(collocations.least_cut()).first()["cut"]["score"] == 1000 * a * n // (left * right)
 
 
+def test_rare_pairs_make_no_rows(spark, monkeypatch):
+    """Most pairs of frequent words are rare: they are counted by bin, and no row is written or dealt for them."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(60)) + (" . x y z" if i % 2 else ""), "en") for i in range(240)]
+    dealt, frequent = {}, collocations.frequent
+
+    def counted(df, key, least, k):
+        dealt[k] = df.agg(F.sum("n"), F.count("n")).first()
+        return frequent(df, key, least, k)
+
+    monkeypatch.setattr(collocations, "frequent", counted)
+    before = len(common.written())
+    got = collocations.mine(table_of(spark, rows).repartition(3), 100, 5, 2000, 6000)
+    assert sorted(map(tuple, got.collect())) == phrases(rows, 100, 5, 2000) and got.count() == 1
+    assert dealt[1][0] == 240 * 60 + 360 and dealt[2][0] == 240 and dealt[2][1] < 120
+    assert not [x for x in common.written()[before:] if "-places-" in x or "-bins-" in x]
+
+
+@pytest.mark.parametrize("ranges, range_bins", [(1, 1), (3, 2), (5, 64)])
+def test_pairs_of_few_bins(spark, ranges, range_bins):
+    """However pairs clash in bins, no frequent one is lost, and counts stay those of the pairs."""
+    docs = table_of(spark, some_texts(8)).repartition(4).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    read = common.keep(collocations.blocks(docs, 900), "test-places")
+    named = read.where("number is not null").groupBy("lang", "word").agg(F.min(F.col("block") + F.col("number")).alias("id"))
+    often = read.where("number is not null").join(named, ["lang", "word"]).select("block", "number", "id")
+    places = read.where("number is null").select("block", "places")
+    sums = {}
+    for least in (1, 12):
+        bins = common.keep(collocations.binned(places, often, ranges, least, range_bins), "test-bins")
+        kept = collocations.frequent_bins(bins.where("`range` is not null"), least, range_bins)
+        made = collocations.pairs(bins.where("`range` is null").select("block", "places", "ids"), kept.select("block", "bins"), ranges, range_bins)
+        sums[least] = {(r["left"], r["right"]): r["n"] for r in made.where("number is not null").groupBy("left", "right").agg(F.sum("n").alias("n")).collect()}
+    assert len(sums[1]) > 60 and set(sums[12].items()) <= set(sums[1].items())
+    assert {x for x, n in sums[1].items() if n >= 12} <= set(sums[12])
+    assert range_bins < 64 or len(sums[12]) < len(sums[1])
+
+
 def test_wide_numbers():
     import numpy as np
 

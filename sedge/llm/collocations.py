@@ -7,9 +7,9 @@ corpus get a global id by a join; then, for k from 2 to 5, each place where two
 blocks, and frequent ones get an id by a join again. Most pairs are rare, so
 pairs are first counted by bin of their hash, about a byte a pair of a block;
 only pairs of bins that are frequent as a whole, which all frequent pairs are
-in, become rows and are counted one by one. A phrase's pair of ids is also its
-pointers to its first and last k-1 words: counts of all prefixes and suffixes,
-and what a longer phrase makes superfluous, are found along them.
+in, are counted one by one, a range of bins in a task. A phrase's pair of ids is
+also its pointers to its first and last k-1 words: counts of all prefixes and
+suffixes, and what a longer phrase makes superfluous, are found along them.
 """
 
 from __future__ import annotations
@@ -129,7 +129,12 @@ def _adjacent(at: np.ndarray, id_of: np.ndarray, bins: int) -> tuple[np.ndarray,
 
 
 _BINNED = pa.schema([("block", pa.int64()), ("range", pa.int64()), ("bins", pa.binary()), ("n", pa.binary()), ("places", pa.binary()), ("ids", pa.binary())])
-_PAIRS = pa.schema([("block", pa.int64()), ("number", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64()), ("places", pa.binary())])
+_PAIRS = pa.schema([("block", pa.int64()), ("range", pa.int64()), ("first", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("n", pa.binary()), ("places", pa.binary())])
+_COUNTED = pa.schema([("block", pa.int64()), ("number", pa.binary()), ("ids", pa.binary()), ("id", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("f", pa.int64())])
+
+
+def _kinds(schema: pa.Schema) -> str:
+    return ", ".join(f"`{f.name}` {'long' if f.type == pa.int64() else 'binary'}" for f in schema)
 
 
 def _by_block(left: DataFrame, right: DataFrame, run, schema: pa.Schema) -> DataFrame:
@@ -141,20 +146,20 @@ def _by_block(left: DataFrame, right: DataFrame, run, schema: pa.Schema) -> Data
         finally:
             give_back()
 
-    kinds = {pa.int64(): "long", pa.binary(): "binary"}
     fresh = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns)).groupBy("block")  # noqa: E731  both may come from one table
-    return fresh(left).cogroup(fresh(right)).applyInArrow(task, ", ".join(f"`{f.name}` {kinds[f.type]}" for f in schema))
+    return fresh(left).cogroup(fresh(right)).applyInArrow(task, _kinds(schema))
 
 
 def binned(places: DataFrame, named: DataFrame, ranges: int, least: int, range_bins: int = RANGE_BINS) -> DataFrame:
     """For each block a row with its places of named grams and their ids, and for each range of bins one with its bins and their counts (`least` at most).
 
-    places: block, places; named: block, number, id of the grams that have one.
+    places: block, places; named: block, number, id of the grams that have one, a row each or packed.
     """
+    whole = lambda c: np.concatenate([_unpacked(x.as_py()) for x in c]) if pa.types.is_binary(c.type) else c.to_numpy()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         at = _unpacked(left["places"][0].as_py())
-        number, ids = right["number"].to_numpy(), right["id"].to_numpy()
+        number, ids = whole(right["number"]), whole(right["id"])
         own = np.zeros(max(int(at.max(initial=0)), int(number.max())) + 1, np.int64)
         own[number] = np.arange(1, len(number) + 1)
         own[0] = 0
@@ -193,26 +198,63 @@ def frequent_bins(rows: DataFrame, least: int, range_bins: int = RANGE_BINS) ->
 
 
 def pairs(places: DataFrame, often: DataFrame, ranges: int, range_bins: int = RANGE_BINS) -> DataFrame:
-    """Adjacent named grams of each block whose bin is frequent, as pairs of ids with a number within the block and a count, and a row with the places of these numbers.
+    """For each block a row with its places of pairs by number, and for each range of bins one with its pairs of ids and counts, numbered on from `first`.
 
-    places: block, places, ids; often: block, bins.
+    Adjacent named grams whose bin is frequent are pairs. places: block, places, ids; often: block, bins.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         at, ids = (_unpacked(left[c][0].as_py()) for c in ("places", "ids"))
         where, back, first, last, times, bin_of = _adjacent(at, ids, ranges * range_bins)
-        often = np.isin(bin_of, np.concatenate([np.cumsum(_unpacked(b.as_py())) for b in right["bins"]]))
-        number = np.where(often, np.cumsum(often), 0)
+        some = np.flatnonzero(np.isin(bin_of, np.concatenate([np.cumsum(_unpacked(b.as_py())) for b in right["bins"]])))
+        some = some[np.lexsort((last[some], first[some], bin_of[some] // range_bins))]
+        number = np.zeros(len(bin_of), np.int64)
+        number[some] = np.arange(1, len(some) + 1)
         new = np.zeros(len(at), np.int64)
         new[where] = number[back]
-        n, block = int(often.sum()), left["block"][0].as_py()
-        column = lambda values: _after_null(np.concatenate([[0], values[often]]))
-        return pa.table([pa.array(np.full(n + 1, block)), _after_null(np.arange(n + 1)), column(first), column(last), column(times), _first(_packed(_merged(new)), n)], schema=_PAIRS)
+        range_of = bin_of[some] // range_bins
+        edge = np.flatnonzero(np.diff(range_of, prepend=-1))
+        parts = [some[a:b] for a, b in zip(edge, [*edge[1:], len(some)], strict=True)]
+        block, none = left["block"][0].as_py(), [None] * len(parts)
+        packed = ([None, *(_packed(values[p]) for p in parts)] for values in (first, last, times))
+        return pa.table([[block] * (len(parts) + 1), [None, *range_of[edge].tolist()], [None, *(edge + 1).tolist()], *packed, [_packed(_merged(new)), *none]], schema=_PAIRS)
 
     return _by_block(places, often, run, _PAIRS)
 
 
-def frequent(rows: DataFrame, key: list[str], least: int, k: int) -> DataFrame:
+def frequent_pairs(rows: DataFrame, least: int) -> DataFrame:
+    """(id, left, right, f) of pairs that occur `least` times or more over all blocks, and rows with a block's numbers of such pairs and their ids.
+
+    rows: those of `pairs` that have a range. A block has a pair once at most.
+    An id is the least block + number of its pair.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        try:
+            block, first = rows["block"].to_numpy(), rows["first"].to_numpy()
+            left, right, n = ([_unpacked(x.as_py()) for x in rows[c]] for c in ("left", "right", "n"))
+            number = [a + np.arange(len(x)) for a, x in zip(first, left, strict=True)]
+            ends = np.cumsum([len(x) for x in left])[:-1]
+            own = np.concatenate([b + x for b, x in zip(block, number, strict=True)])
+            left, right, n = map(np.concatenate, (left, right, n))
+            order = np.lexsort((right, left))
+            new = np.concatenate([[True], (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)])
+            start, which = np.flatnonzero(new), np.cumsum(new) - 1
+            f, ids = np.add.reduceat(n[order], start), np.minimum.reduceat(own[order], start)
+            often, id_of = f >= least, np.zeros(len(order), np.int64)
+            id_of[order] = np.where(often, ids, -1)[which]
+            found = [(b, _packed(x[i >= 0]), _packed(i[i >= 0])) for b, x, i in zip(block, number, np.split(id_of, ends), strict=True) if (i >= 0).any()]
+            of, m = order[start][often], int(often.sum())
+            lists = [[x[c] for x in found] + [None] * m for c in range(3)]
+            grams = [pa.concat_arrays([pa.nulls(len(found), pa.int64()), pa.array(x[often] if x is f or x is ids else x[of])]) for x in (ids, left, right, f)]
+            return pa.table([*lists, *grams], schema=_COUNTED)
+        finally:
+            give_back()
+
+    return rows.select("block", "range", "first", "left", "right", "n").groupBy("range").applyInArrow(run, _kinds(_COUNTED))
+
+
+def frequent(rows: DataFrame, key: list[str], least: int) -> DataFrame:
     """(block, number, key, f, id) of the rows whose key occurs `least` times or more over all blocks. rows: block, number, n, key.
 
     All rows are dealt by key once; a key has one row a block at most. Its id is
@@ -223,7 +265,7 @@ def frequent(rows: DataFrame, key: list[str], least: int, k: int) -> DataFrame:
     packed = rows.select("block", F.expr("shiftleft(number, 31) | n").alias("_p"), *key).repartition(*key)
     one = packed.select("block", F.expr("shiftright(_p, 31)").alias("number"), F.expr("_p & 2147483647").alias("_n"), *key)
     counted = one.withColumn("f", F.sum("_n").over(w)).withColumn("id", F.min(F.col("block") + F.col("number")).over(w)).where(F.col("f") >= least)
-    return keep(counted.select("block", "number", *key, "f", "id"), f"often-{k}", **ZSTD)
+    return keep(counted.select("block", "number", *key, "f", "id"), "often-1", **ZSTD)
 
 
 def grams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[DataFrame]]:
@@ -237,20 +279,22 @@ def grams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_byt
     rows = read.where("number is not null")
     total = keep(rows.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     ranges = (total.agg(F.sum("n")).first()[0] or 0) // (BIN_WORDS * RANGE_BINS) + 1
-    often = frequent(rows.select("block", "number", "n", "lang", "word"), ["lang", "word"], least, 1)
+    often = frequent(rows.select("block", "number", "n", "lang", "word"), ["lang", "word"], least)
     # a gram's row where its id comes from is the one that stands for it
     names = often.where("id = block + number")
+    named = often.select("block", "number", "id")
     out = [names.select("id", "lang", F.array("word").alias("words"), "f", F.array("f").alias("prefixes"), F.array("f").alias("suffixes"))]
     for k in range(2, longest + 1):
-        bins = keep(binned(read.where("number is null").select("block", "places"), often.select("block", "number", "id"), ranges, least), f"bins-{k}", **ZSTD)
+        bins = keep(binned(read.where(f"{'number' if k == 2 else '`range`'} is null").select("block", "places"), named, ranges, least), f"bins-{k}", **ZSTD)
         drop(read)
         kept = frequent_bins(bins.where("`range` is not null"), least)
         read = keep(pairs(bins.where("`range` is null").select("block", "places", "ids"), kept.select("block", "bins"), ranges), f"places-{k}", **ZSTD)
         drop(bins)
-        often = frequent(read.where("number is not null").select("block", "number", "n", "left", "right"), ["left", "right"], least, k)
+        often = keep(frequent_pairs(read.where("`range` is not null"), least), f"often-{k}", **ZSTD)
+        named = often.where("id is null").select("block", "number", F.col("ids").alias("id"))
         first = out[-1].select(F.col("id").alias("left"), "lang", F.col("words").alias("head"), F.col("f").alias("f_left"), "prefixes")
         last = out[-1].select(F.col("id").alias("right"), F.element_at("words", -1).alias("tail"), F.col("f").alias("f_right"), "suffixes")
-        whole = often.where("id = block + number").select("id", "left", "right", "f").join(first, "left").join(last, "right")
+        whole = often.where("id is not null").select("id", "left", "right", "f").join(first, "left").join(last, "right")
         grown = lambda c: F.concat(c, F.array("f")).alias(c)
         out.append(keep(whole.select("id", "lang", F.concat("head", F.array("tail")).alias("words"), "f", grown("prefixes"), grown("suffixes"), "left", "right", "f_left", "f_right"), f"grams-{k}"))
     drop(read)

@@ -7,6 +7,7 @@ documents is one byte array with offsets and no Python object per word.
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -78,6 +79,12 @@ def drop(df: DataFrame) -> None:
     _delete(df.sparkSession, df.kept_in)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of steps that are over: it does so only once the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 # ---- what a worker holds between tasks ----
 
 #: What empties a worker's caches; modules that have one add it.
